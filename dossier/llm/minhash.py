@@ -147,7 +147,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75) -> Dat
 
     Documents are linked when 100 * intersection >= percent * union of their sets of `size`-word shingles.
     Equal word sequences form a class first, and only its smallest doc_id goes on. Each band bucket links its
-    members to its smallest one (a star), so a bucket of m yields m - 1 candidates; the survivors of a
+    members to two hubs (stars), so a bucket of m yields less than 2 m candidates; the survivors of a
     signature screen are confirmed on full sets. Where a star leaves several components in a bucket, members of
     different ones are compared by signature in blocks, so no link between components is lost.
 
@@ -160,12 +160,15 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75) -> Dat
     first = seen.where("class is not null and doc_id is not null").groupBy("class").agg(F.min(F.struct("doc_id", "n", "bands", "sig")).alias("r"))
     reps = checkpointed(first.select("class", "r.*"))
 
-    # Stars: the buckets with company, their smallest member, and everyone else's candidate edge to it.
+    # Stars: the buckets with company, two hubs of each (the smallest member, and one by a hash that differs from
+    # bucket to bucket), and everyone else's candidate edges to them.
     rows = reps.select("doc_id", F.explode("bands").alias("key"))
-    hubs = rows.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("other")).where("hub <> other").select("key", "hub")
-    company = checkpointed(rows.join(hubs, "key").select("key", "hub", "doc_id"))
+    second = F.min(F.struct(F.xxhash64("doc_id", "key"), "doc_id"))["doc_id"]
+    hubs = rows.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("other"), second.alias("second")).where("hub <> other").select("key", "hub", "second")
+    company = checkpointed(rows.join(hubs, "key").select("key", "hub", "second", "doc_id"))
     side = {x: reps.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab"}
-    stars = company.where("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    edge = F.explode(F.array("hub", "second")).alias("h")
+    stars = company.select("doc_id", edge).where("h <> doc_id").select(F.least("h", "doc_id").alias("a"), F.greatest("h", "doc_id").alias("b")).distinct()
     likely = checkpointed(_screened(stars.join(side["b"], "b").join(side["a"], "a"), percent))
     links = checkpointed(_linked(docs, likely, size, percent))
     found = components(links)
