@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dossier.llm.embedding_dedup import op1_embedding_near_dedup
 from dossier.llm.minhash import op7_minhash_near_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op7_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
