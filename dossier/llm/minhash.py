@@ -15,12 +15,12 @@ from dossier.llm.shingles import shingles, words
 
 #: Bins of the permutation, and rows of a band: 32 bands of 4 miss a pair of similarity 0.75 once in 200,000.
 BINS, ROWS = 128, 4
-#: A candidate whose signatures agree in fewer bins than this share is over six deviations from similarity 0.75.
-SCREEN = 0.5
+#: A candidate whose signatures agree in fewer bins than this share is over four deviations from similarity 0.75.
+SCREEN = 0.58
 #: Members of a bucket that are compared with each other at once where stars leave more than one component.
-BLOCK = 512
-#: Rows of such blocks that one call handles.
-UNIT = 20_000
+BLOCK = 4096
+#: Bytes of such blocks that one call handles, about.
+UNIT = 32 << 20
 
 
 def _orders() -> np.ndarray:
@@ -116,28 +116,63 @@ def _screened(df: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
+def _cells(cells: pa.Table) -> Iterator[tuple[np.ndarray, int]]:
+    """Rows of each cell of the grids, ordered by part, and the row from which all may stand on the other side.
+
+    In a cell (i, i) each row meets all after it; in a cell (i, j) the rows of part i meet those of part j.
+    """
+    key, i, j, part = (np.asarray(cells.column(x)) for x in ("key", "i", "j", "part"))
+    order = np.lexsort((part, j, i, key))
+    edge = np.flatnonzero(np.r_[True, (np.diff(key[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0), True])
+    for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+        rows = order[lo:hi]
+        yield rows, 0 if i[rows[0]] == j[rows[0]] else int(np.searchsorted(part[rows], i[rows[0]], side="right"))
+
+
+def _met(cells: pa.Table, percent: int):
+    """For each row of a cell that may be linked across components: the row, and the rows that pass size and signature."""
+    n, component = (np.asarray(cells.column(x)).copy() for x in ("n", "component"))
+    sigs = np.frombuffer(b"".join(cells.column("sig").to_pylist()), np.uint16).reshape(-1, BINS)
+    for rows, turn in _cells(cells):
+        for k in range(turn or len(rows)):
+            r, others = rows[k], rows[turn or k + 1 :]
+            others = others[(component[others] != component[r]) & (100 * np.minimum(n[others], n[r]) >= percent * np.maximum(n[others], n[r]))]
+            if len(others):
+                others = others[np.count_nonzero(sigs[others] == sigs[r], axis=1) >= SCREEN * BINS]
+                if len(others):
+                    yield rows, r, others, component
+
+
+def _likely(percent: int):
+    """The rows of cells that meet a likely partner of another component there; never the pairs."""
+
+    def run(cells: pa.Table) -> pa.Table:
+        keep = np.zeros(len(cells), bool)
+        for _, r, others, _ in _met(cells, percent):
+            keep[r] = keep[others] = True
+        return cells.filter(pa.array(keep))
+
+    return run
+
+
 def _across(percent: int):
-    """Pairs of different components inside the cells of buckets' grids, by their signatures."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Links between components, confirmed on full sets; a link joins its components in the cell, so few are given."""
 
     def run(cells: pa.Table) -> pa.Table:
-        key, i, j, part, ids, n, component = (np.asarray(cells.column(x)) for x in ("key", "i", "j", "part", "id", "n", "component"))
-        sigs = np.frombuffer(b"".join(cells.column("sig").to_pylist()), np.uint16).reshape(-1, BINS)
-        order = np.lexsort((part, j, i, key))
-        edge = np.flatnonzero(np.r_[True, (np.diff(key[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0), True])
-        out_a, out_b = [], []
-        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-            rows = order[lo:hi]
-            within = i[rows[0]] == j[rows[0]]
-            turn = int(np.searchsorted(part[rows], i[rows[0]], side="right"))
-            for k in range(len(rows) if within else turn):
-                r, others = rows[k], rows[k + 1 :] if within else rows[turn:]
-                others = others[(component[others] != component[r]) & (100 * np.minimum(n[others], n[r]) >= percent * np.maximum(n[others], n[r]))]
-                if len(others):
-                    others = others[(sigs[others] == sigs[r]).mean(axis=1) >= SCREEN]
-                    out_a += np.minimum(ids[others], ids[r]).tolist()
-                    out_b += np.maximum(ids[others], ids[r]).tolist()
-        return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], schema=schema)
+        ids = np.asarray(cells.column("id"))
+        sets = [np.frombuffer(x, np.uint64) for x in cells.column("shingles").to_pylist()]
+        a, b = [], []
+        for rows, r, others, component in _met(cells, percent):
+            flat = np.concatenate([sets[o] for o in others])
+            sizes = np.array([len(sets[o]) for o in others])
+            at = np.minimum(np.searchsorted(sets[r], flat), len(sets[r]) - 1)
+            both = np.add.reduceat(sets[r][at] == flat, np.r_[0, np.cumsum(sizes)[:-1]])
+            for o in others[100 * both >= percent * (len(sets[r]) + sizes - both)]:
+                if component[o] != component[r]:
+                    a.append(min(ids[r], ids[o]))
+                    b.append(max(ids[r], ids[o]))
+                    component[rows[component[rows] == component[o]]] = component[r]
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -149,7 +184,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75) -> Dat
     Equal word sequences form a class first, and only its smallest doc_id goes on. Each band bucket links its
     members to two hubs (stars), so a bucket of m yields less than 2 m candidates; the survivors of a
     signature screen are confirmed on full sets. Where a star leaves several components in a bucket, members of
-    different ones are compared by signature in blocks, so no link between components is lost.
+    different ones are compared in blocks, by signature and then on full sets, so no link between components is lost.
 
     Nulls and texts without words have n_shingles 0 and stay alone; a null doc_id gets no component and is not
     kept; repeated rows get equal results; rows that share a doc_id but not a text count as one document;
@@ -176,13 +211,16 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75) -> Dat
     # What stars leave: buckets that still hold several components. Blocks are runs of one component where possible.
     member = company.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     open_keys = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y and m > 2").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
-    spread = checkpointed(member.join(open_keys, "key").withColumn("part", F.pmod(F.xxhash64("component"), F.col("parts")).cast("int")))
-    units = 1 + (spread.agg(F.sum("parts")).first()[0] or 0) // UNIT
-    cells = spread.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")).join(reps.select("doc_id", "n", "sig"), "doc_id")
+    spread = checkpointed(member.join(open_keys, "key").withColumn("part", F.pmod(F.xxhash64("component"), F.col("parts")).cast("int")).join(reps.select("doc_id", "n", "sig"), "doc_id"))
+    cells = spread.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
     cells = cells.select("key", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", F.col("doc_id").alias("id"), "n", "component", "sig")
-    rest = cells.withColumn("unit", F.pmod(F.xxhash64("key", "i", "j"), F.lit(units))).groupBy("unit").applyInArrow(_across(percent), "a long, b long").distinct()
-    rest = rest.join(likely, ["a", "b"], "left_anti")
-    more = _linked(docs, checkpointed(rest), size, percent)
+    unit = lambda bytes_: F.pmod(F.xxhash64("key", "i", "j"), F.lit(1 + int(bytes_ or 0) // UNIT)).alias("unit")
+    kind = "key long, i int, j int, part int, id long, n long, component long, sig binary"
+    rows = cells.select("*", unit(spread.agg(F.sum(F.col("parts") * 300)).first()[0]))
+    likely = checkpointed(rows.groupBy("unit").applyInArrow(lambda t: _likely(percent)(t.drop_columns("unit")), kind))
+    sets = docs.join(likely.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id long, shingles binary")
+    full = likely.join(sets.withColumnRenamed("doc_id", "id"), "id").select(unit(likely.agg(F.sum(300 + 8 * F.col("n"))).first()[0]), *likely.columns, "shingles")
+    more = full.groupBy("unit").applyInArrow(_across(percent), "a long, b long")
     found = components(links.unionByName(more))
 
     named = reps.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("class", F.coalesce("component", "doc_id").alias("component"))
