@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dossier.llm import mixing, topk, url_rules
+from dossier.llm.chat import op2_chat_format
 from dossier.llm.embedding_dedup import op1_embedding_near_dedup
+from dossier.llm.langid import op6_language_id
 from dossier.llm.minhash import op7_minhash_near_dedup
+from dossier.llm.packing import op8_packing
+from dossier.llm.toxicity import op5_toxicity
+
+QUERIES = (op1_embedding_near_dedup, op2_chat_format, topk.op4_top_k, op5_toxicity, op6_language_id, op7_minhash_near_dedup, op8_packing, mixing.op9_mixing, url_rules.op10_url_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op7_minhash_near_dedup)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_top_k": topk.ORACLE, "op9_mixing": mixing.ORACLE, "op10_url_rules": url_rules.ORACLE}
