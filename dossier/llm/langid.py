@@ -135,8 +135,10 @@ def identified(docs: DataFrame, filters: Filters | None) -> DataFrame:
     """docs with lang_pred and score: the language that holds most n-grams of the text, and the share that it holds.
 
     Counts are corrected for each filter's false positives; ties go to the first language by name. A text that is
-    null or has no letter, and every text where filters is None, gets `und` and 0.
+    null or has no letter, and every text where filters is None, gets `und` and 0. Columns of docs with these names
+    are replaced.
     """
+    docs = docs.drop("lang_pred", "score")
     if filters is None:
         return docs.withColumn("lang_pred", F.lit(UNDETERMINED)).withColumn("score", F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(filters)
