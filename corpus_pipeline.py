@@ -1,3 +1,64 @@
-"""The corpus pipeline: language ID, toxicity, near-duplicates, mixing, packing."""
+"""The corpus pipeline: language ID, toxicity, near-duplicates, mixing, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the
+columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from dossier.llm import langid, minhash, mixing, packing, toxicity
+from dossier.llm.common import shared_dir, table
+
+#: A text of which every language holds less than this share of n-grams is in none of them.
+LEAST_SHARE = 0.25
+TOXIC = 0.7
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts in a learned language stay."""
+    got = langid.identified(docs, langid.fit(docs))
+    return got.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that score below TOXIC stay."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).where(F.col("score") < TOXIC).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the smallest doc_id stays, as one row; rows without doc_id go."""
+    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    one = F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id"))
+    return docs.join(kept, "doc_id", "left_semi").withColumn("_row", one).where("_row = 1").select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row as often as its source's target asks."""
+    return mixing.repeated(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 1024 tokens."""
+    return packing.packed(docs).drop("ids")
+
+
+STAGES = [("language_id", language_id), ("toxicity", drop_toxic), ("minhash_near_dedup", near_dedup), ("mixing", mix), ("packing", pack)]
+#: SQL expresses neither the language model nor the tokenizer; tests hold each stage against a plain version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for number, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{number}-{name}")
+        docs = spark.read.parquet(f"{at}/{number}-{name}")
+    return docs

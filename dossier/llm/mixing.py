@@ -40,25 +40,49 @@ def targets(sizes: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int
     return chosen.select("source", "source_size", F.when(F.col("level") * F.col("w") <= F.col("stop"), F.col("level") * F.col("w")).otherwise(F.col("stop").cast("double")).alias("target"))
 
 
-def mixed(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """docs' doc_id and source with size, source_size, target and copies, the times that the mix takes the row.
+def _sizes(docs: DataFrame) -> DataFrame:
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+
+
+def rates(sizes: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """source, source_size, target, whole, part, seed: what each source's rows are taken by.
 
-    Each source's repetition rate is target / source_size; a row is taken floor(rate) times, and once more when a
-    number drawn from a seed and its doc_id lies below the fraction. Of SEEDS seeds, each source takes the one whose
-    total comes nearest to its target, the first of several. A null text has size 0, rows of a source without words
-    are not taken, repeated rows draw alike, a null doc_id draws as an empty id, no rows give no rows.
+    A row is taken `whole` times, and once more when the number that `seed` draws from its doc_id is below `part`.
+    Of SEEDS seeds, each source has the one whose total comes nearest to its target, the first of several.
     """
-    sizes = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
     plan = targets(sizes, weights=weights, most=most).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    plan = plan.withColumn("whole", F.floor("rate").cast("long")).withColumn("part", F.col("rate") - F.floor("rate"))
+    plan = plan.select("source", "source_size", "target", F.floor("rate").cast("long").alias("whole"), (F.col("rate") - F.floor("rate")).alias("part"))
     rated = sizes.join(plan, sizes["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     extra = [F.when(_uniform(s) < F.col("part"), F.col("size")).otherwise(0) for s in range(SEEDS)]
-    draws = rated.groupBy("source").agg(F.max("target").alias("t"), F.max(F.col("whole") * F.col("source_size")).alias("base"), F.array(*[F.sum(x) for x in extra]).alias("drawn"))
-    misses = F.transform("drawn", lambda x, i: F.struct(F.abs(F.col("base") + x - F.col("t")).alias("miss"), i.alias("seed")))
-    best = draws.select(F.col("source").alias("of"), F.array_min(misses)["seed"].alias("seed"))
-    full = rated.join(best, rated["source"].eqNullSafe(best["of"]))
+    draws = rated.groupBy("source").agg(*[F.max(c).alias(c) for c in ("source_size", "target", "whole", "part")], F.array(*[F.sum(x) for x in extra]).alias("drawn"))
+    misses = F.transform("drawn", lambda x, i: F.struct(F.abs(F.col("whole") * F.col("source_size") + x - F.col("target")).alias("miss"), i.alias("seed")))
+    return checkpointed(draws.select("source", "source_size", "target", "whole", "part", F.array_min(misses)["seed"].alias("seed")))
+
+
+def with_copies(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """docs (doc_id, source and others) with their source's source_size and target, and copies."""
+    plan = plan.withColumnRenamed("source", "_source")
+    got = docs.join(plan, docs["source"].eqNullSafe(plan["_source"]))
     hit = F.element_at(F.array(*[_uniform(s) for s in range(SEEDS)]), F.col("seed") + 1) < F.col("part")
-    return full.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + hit.cast("long")).alias("copies"))
+    return got.withColumn("copies", F.col("whole") + hit.cast("long")).drop("_source", "whole", "part", "seed")
+
+
+def mixed(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """docs' doc_id and source with size, source_size, target and copies, the times that the mix takes the row.
+
+    Each source's repetition rate is target / source_size; a row is taken floor(rate) times, and once more with the
+    fraction as its chance. A null text has size 0, rows of a source without words are not taken, repeated rows draw alike,
+    a null doc_id draws as an empty id, other columns are ignored, no rows give no rows.
+    """
+    sizes = checkpointed(_sizes(docs))
+    return with_copies(sizes, rates(sizes, weights=weights, most=most))
+
+
+def repeated(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """docs with each row as often as the mix takes it."""
+    plan = rates(checkpointed(_sizes(docs)), weights=weights, most=most)
+    return with_copies(docs, plan).where("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossier.llm import mixing, topk, url_rules
+import corpus_pipeline
+from dossier.llm import mixing, topk, url_rules, warc
 from dossier.llm.chat import op2_chat_format
 from dossier.llm.embedding_dedup import op1_embedding_near_dedup
 from dossier.llm.langid import op6_language_id
@@ -14,12 +15,12 @@ from dossier.llm.minhash import op7_minhash_near_dedup
 from dossier.llm.packing import op8_packing
 from dossier.llm.toxicity import op5_toxicity
 
-QUERIES = (op1_embedding_near_dedup, op2_chat_format, topk.op4_top_k, op5_toxicity, op6_language_id, op7_minhash_near_dedup, op8_packing, mixing.op9_mixing, url_rules.op10_url_rules)
+QUERIES = (op1_embedding_near_dedup, op2_chat_format, warc.op3_warc, topk.op4_top_k, op5_toxicity, op6_language_id, op7_minhash_near_dedup, op8_packing, mixing.op9_mixing, url_rules.op10_url_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_top_k": topk.ORACLE, "op9_mixing": mixing.ORACLE, "op10_url_rules": url_rules.ORACLE}
+    return {"op3_warc": warc.ORACLE, "op4_top_k": topk.ORACLE, "op9_mixing": mixing.ORACLE, "op10_url_rules": url_rules.ORACLE}
