@@ -195,10 +195,10 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75) -> Dat
     first = seen.where("class is not null and doc_id is not null").groupBy("class").agg(F.min(F.struct("doc_id", "n", "bands", "sig")).alias("r"))
     reps = checkpointed(first.select("class", "r.*"))
 
-    # Stars: the buckets with company, two hubs of each (the smallest member, and one by a hash that differs from
-    # bucket to bucket), and everyone else's candidate edges to them.
+    # Stars: the buckets with company, two hubs of each (the smallest member, and the least by a hash), and everyone
+    # else's candidate edges to them.
     rows = reps.select("doc_id", F.explode("bands").alias("key"))
-    second = F.min(F.struct(F.xxhash64("doc_id", "key"), "doc_id"))["doc_id"]
+    second = F.min(F.struct(F.xxhash64("doc_id"), "doc_id"))["doc_id"]
     hubs = rows.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("other"), second.alias("second")).where("hub <> other").select("key", "hub", "second")
     company = checkpointed(rows.join(hubs, "key").select("key", "hub", "second", "doc_id"))
     side = {x: reps.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab"}
