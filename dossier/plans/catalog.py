@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dossier.plans import scores
+
+
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: list = []
+MODULES = [scores]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
