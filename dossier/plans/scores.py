@@ -11,7 +11,8 @@ from dossier.plans.registry import Registry, Tables
 
 R = Registry()
 
-_BANDS = F.array(*[F.struct(F.lit(lo).cast("double").alias("lo"), F.lit(hi).cast("double").alias("hi"), F.lit(s).cast("double").alias("score")) for lo, hi, s in ((0, 10, 5), (10, 25, 10), (25, None, 15))])
+def _bands():
+    return F.array(*[F.struct(F.lit(lo).cast("double").alias("lo"), F.lit(hi).cast("double").alias("hi"), F.lit(s).cast("double").alias("score")) for lo, hi, s in ((0, 10, 5), (10, 25, 10), (25, None, 15))])
 _D = "::DECIMAL(20,6)"
 
 
@@ -39,7 +40,7 @@ def _(t: Tables):
 
 @R.query("m2_band_upper", "SELECT p_partkey, CASE WHEN p_size <= 10 THEN 5.0 WHEN p_size <= 25 THEN 10.0 ELSE 15.0 END::DOUBLE AS score FROM part")
 def _(t: Tables):
-    return t.part.select("p_partkey", S.band_score(_BANDS, F.col("p_size"), "upper").alias("score"))
+    return t.part.select("p_partkey", S.band_score(_bands(), F.col("p_size"), "upper").alias("score"))
 
 
 @R.query("m3_band_half_open", """
@@ -48,12 +49,12 @@ SELECT p_partkey, max_by(score, lo)::DOUBLE AS score FROM v JOIN b ON v >= lo AN
 def _(t: Tables):
     # "More than n" counts as n + 1; here the type PROMO stands for such a claim.
     value = F.col("p_size") + F.when(F.col("p_type") == "PROMO", 1).otherwise(0)
-    return t.part.select("p_partkey", S.band_score(_BANDS, value).alias("score"))
+    return t.part.select("p_partkey", S.band_score(_bands(), value).alias("score"))
 
 
 @R.query("m4_band_inclusive", "SELECT p_partkey, CASE WHEN p_size <= 10 THEN 5.0 WHEN p_size <= 25 THEN 10.0 ELSE 15.0 END::DOUBLE AS score FROM part")
 def _(t: Tables):
-    return t.part.select("p_partkey", S.band_score(_BANDS, F.col("p_size"), "inclusive").alias("score"))
+    return t.part.select("p_partkey", S.band_score(_bands(), F.col("p_size"), "inclusive").alias("score"))
 
 
 @R.query("m5_per_unit", "SELECT p_partkey, least(least(p_size, CASE WHEN p_type = 'SMALL' THEN 3 ELSE p_size END) * 4.5, 20)::DOUBLE AS score FROM part")
@@ -115,7 +116,7 @@ SELECT p_partkey, round(least(greatest(CASE WHEN p_size % 2 = 0 THEN round((raw
 def _(t: Tables):
     # Marks by the criterion's formula, a tenth less where a cited page did not confirm the claim.
     got = _matched(t).join(t.part.select("p_partkey", "p_size", "p_type"), "p_partkey")
-    raw = F.when(F.col("match") == "none", 0.0).when(F.col("p_type") == "PROMO", S.per_unit_score(F.col("p_size"), F.lit(2.0), F.lit(None).cast("double"), F.lit(20))).otherwise(S.band_score(_BANDS, F.col("p_size")))
+    raw = F.when(F.col("match") == "none", 0.0).when(F.col("p_type") == "PROMO", S.per_unit_score(F.col("p_size"), F.lit(2.0), F.lit(None).cast("double"), F.lit(20))).otherwise(S.band_score(_bands(), F.col("p_size")))
     score = F.when(F.col("p_size") % 2 == 0, S.one_decimal(raw * 0.9)).otherwise(raw.cast("decimal(20,6)"))
     return got.select("p_partkey", S.clamp(score, F.lit(20)).cast("double").alias("score"), "match")
 
@@ -123,7 +124,7 @@ def _(t: Tables):
 @R.query("m12_score_source", """SELECT p_partkey, coalesce(CASE WHEN p_size < 20 THEN CASE WHEN p_size < 10 THEN 5.0 ELSE 10.0 END END, CASE WHEN p_type = 'LARGE' THEN 20.0 END, CASE WHEN p_retailprice > 1000 THEN 12.0 END, 0.0)::DOUBLE AS score,
 CASE WHEN p_size < 20 THEN 'bands' WHEN p_type = 'LARGE' THEN 'binary' WHEN p_retailprice > 1000 THEN 'external' ELSE 'none' END AS source FROM part""")
 def _(t: Tables):
-    candidates = {"bands": F.when(F.col("p_size") < 20, S.band_score(_BANDS, F.col("p_size"))), "binary": F.when(F.col("p_type") == "LARGE", 20.0), "external": F.when(F.col("p_retailprice") > 1000, 12.0), "none": F.lit(0.0)}
+    candidates = {"bands": F.when(F.col("p_size") < 20, S.band_score(_bands(), F.col("p_size"))), "binary": F.when(F.col("p_type") == "LARGE", 20.0), "external": F.when(F.col("p_retailprice") > 1000, 12.0), "none": F.lit(0.0)}
     return t.part.select("p_partkey", F.coalesce(*candidates.values()).alias("score"), F.coalesce(*[F.when(c.isNotNull(), F.lit(k)) for k, c in candidates.items()]).alias("source"))
 
 
