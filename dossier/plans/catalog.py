@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossier.plans import scores
+from dossier.plans import reviews, risks, scores
 
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [scores]
+MODULES = [scores, risks, reviews]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
