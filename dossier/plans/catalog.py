@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossier.plans import chunks, evidence, reviews, risks, scores
+from dossier.plans import chunks, evidence, layouts, reviews, risks, scores
 
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [scores, risks, reviews, chunks, evidence]
+MODULES = [scores, risks, reviews, chunks, evidence, layouts]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
