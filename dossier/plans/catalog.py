@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossier.plans import chunks, evidence, layouts, reviews, risks, schemes, scores
+from dossier.plans import chunks, evidence, facts, jobs, layouts, reviews, risks, schemes, scores
 
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [scores, risks, reviews, chunks, evidence, layouts, schemes]
+MODULES = [scores, risks, reviews, chunks, evidence, layouts, schemes, facts, jobs]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
