@@ -103,7 +103,7 @@ def fit(docs: DataFrame) -> Filters | None:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 19):
                 hashes, owner, _ = ngrams(batch.column("text"))
                 langs = batch.column("lang").to_pylist()
                 names = sorted(set(langs))
@@ -146,7 +146,7 @@ def identified(docs: DataFrame, filters: Filters | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", 1 << 19):
                 names, score = shared.value.decide(batch.column("text"))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score)], names=[*batch.schema.names, "lang_pred", "score"])
 

@@ -26,9 +26,9 @@ SHORT = 48
 #: Inside a run without a sentence's end, a cut may stand at every so many tokens.
 STRIDE = 16
 #: Tokens that a task plans at once; the unfinished last sequence is carried on.
-PLAN = 1 << 19
+PLAN = 1 << 18
 #: Pieces of text whose ids a task remembers.
-MEMORY = 300_000
+MEMORY = 100_000
 SPECIAL = "<|endoftext|>"
 
 

@@ -41,7 +41,7 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     stops = inside.copy()
     stops[:-1] &= ~inside[1:] | edge[1:-1]
     first, last = np.flatnonzero(starts), np.flatnonzero(stops)
-    up, down = _powers(1 << max(20, n.bit_length()))
+    up, down = _powers(1 << max(20, (n - 1).bit_length()))
     total = np.cumsum(_BYTE[data] * up[:n], dtype=np.uint64)
     before = np.where(first > 0, total[first - 1], np.uint64(0))
     return mix((total[last] - before) * down[first] + (last - first + 1).astype(np.uint64)), np.searchsorted(first, offsets)
