@@ -10,13 +10,13 @@ from dossier.llm.common import checkpointed, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Seeds that each source may choose from: the one whose draw comes nearest to its target.
-SEEDS = 16
+SEEDS = 32
 
 
-def _uniform(seed: int) -> Column:
+def _uniform(seed: Column) -> Column:
     """A number in [0, 1) from doc_id and seed: 8 hex digits of an md5, four seeds to each digest."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed // 4)), F.col("doc_id").cast("string")))
-    return F.conv(F.substring(digest, 1 + 8 * (seed % 4), 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    digest = F.md5(F.concat_ws(":", F.floor(seed / 4).cast("string"), F.col("doc_id").cast("string")))
+    return F.conv(F.substring(digest, 1 + 8 * (seed % 4), F.lit(8)), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
 def targets(sizes: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -54,7 +54,7 @@ def rates(sizes: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int =
     plan = targets(sizes, weights=weights, most=most).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     plan = plan.select("source", "source_size", "target", F.floor("rate").cast("long").alias("whole"), (F.col("rate") - F.floor("rate")).alias("part"))
     rated = sizes.join(plan, sizes["source"].eqNullSafe(plan["source"])).drop(plan["source"])
-    extra = [F.when(_uniform(s) < F.col("part"), F.col("size")).otherwise(0) for s in range(SEEDS)]
+    extra = [F.when(_uniform(F.lit(s)) < F.col("part"), F.col("size")).otherwise(0) for s in range(SEEDS)]
     draws = rated.groupBy("source").agg(*[F.max(c).alias(c) for c in ("source_size", "target", "whole", "part")], F.array(*[F.sum(x) for x in extra]).alias("drawn"))
     misses = F.transform("drawn", lambda x, i: F.struct(F.abs(F.col("whole") * F.col("source_size") + x - F.col("target")).alias("miss"), i.alias("seed")))
     return checkpointed(draws.select("source", "source_size", "target", "whole", "part", F.array_min(misses)["seed"].alias("seed")))
@@ -64,7 +64,7 @@ def with_copies(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """docs (doc_id, source and others) with their source's source_size and target, and copies."""
     plan = plan.withColumnRenamed("source", "_source")
     got = docs.join(plan, docs["source"].eqNullSafe(plan["_source"]))
-    hit = F.element_at(F.array(*[_uniform(s) for s in range(SEEDS)]), F.col("seed") + 1) < F.col("part")
+    hit = _uniform(F.col("seed")) < F.col("part")
     return got.withColumn("copies", F.col("whole") + hit.cast("long")).drop("_source", "whole", "part", "seed")
 
 
@@ -82,7 +82,8 @@ def mixed(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int =
 def repeated(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """docs with each row as often as the mix takes it."""
     plan = rates(checkpointed(_sizes(docs)), weights=weights, most=most)
-    return with_copies(docs, plan).where("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
+    return with_copies(rows, plan).where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

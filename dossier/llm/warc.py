@@ -54,42 +54,47 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n", 6, mtime=0)
 
 
-def parse(member: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and payload of a record."""
+def parse(member: bytes) -> tuple[dict[str, str], int, bytes]:
+    """Headers, the length that the HTTP head states, and payload of a record."""
     head, _, rest = gzip.decompress(member).partition(b"\r\n\r\n")
-    headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    return headers, rest[: int(headers["Content-Length"])].partition(b"\r\n\r\n")[2]
-
-
-def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    archive, part = f"archive-{TaskContext.get().partitionId():06d}.warc.gz", 0
-    entry = pa.list_(pa.struct([("key", pa.string()), ("page_id", pa.int64()), ("at", pa.int64()), ("length", pa.int64())]))
-    members: list[bytes] = []
-    entries: list[dict] = []
-    size = 0
-
-    def flush() -> pa.RecordBatch:
-        nonlocal part, size
-        got = pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([part], pa.int64()), pa.array([b"".join(members)], pa.binary()), pa.array([entries], entry)], names=["archive", "part", "content", "entries"])
-        part, size = part + 1, 0
-        members.clear()
-        entries.clear()
-        return got
-
-    for batch in batches:
-        for page, url, html, refers, again in zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to", "revisit")), strict=True):
-            page, url = page.as_py(), url.as_py()
-            member = record(page, url, (html.as_py() or "").encode(), refers.as_py(), again.as_py())
-            entries.append({"key": surt(url), "page_id": page, "at": size, "length": len(member)})
-            members.append(member)
-            size += len(member)
-            if size >= PART:
-                yield flush()
-    if members:
-        yield flush()
-
-
-def archives(pages: DataFrame, *, least: int = 0) -> DataFrame:
+    fields = lambda raw: dict(line.split(": ", 1) for line in raw.decode().split("\r\n")[1:])
+    headers = fields(head)
+    http, _, payload = rest[: int(headers["Content-Length"])].partition(b"\r\n\r\n")
+    return headers, int(fields(http)["Content-Length"]), payload
+
+
+def _write(part_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive, part = f"archive-{TaskContext.get().partitionId():06d}.warc.gz", 0
+        entry = pa.list_(pa.struct([("key", pa.string()), ("page_id", pa.int64()), ("at", pa.int64()), ("length", pa.int64())]))
+        members: list[bytes] = []
+        entries: list[dict] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal part, size
+            got = pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([part], pa.int64()), pa.array([b"".join(members)], pa.binary()), pa.array([entries], entry)], names=["archive", "part", "content", "entries"])
+            part, size = part + 1, 0
+            members.clear()
+            entries.clear()
+            return got
+
+        for batch in batches:
+            for page, url, html, refers, again in zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to", "revisit")), strict=True):
+                page, url = page.as_py(), url.as_py()
+                member = record(page, url, (html.as_py() or "").encode(), refers.as_py(), again.as_py())
+                entries.append({"key": surt(url), "page_id": page, "at": size, "length": len(member)})
+                members.append(member)
+                size += len(member)
+                if size >= part_bytes:
+                    yield flush()
+        if members:
+            yield flush()
+
+    return run
+
+
+def archives(pages: DataFrame, *, least: int = 0, part_bytes: int = PART) -> DataFrame:
     """archive, part, content, entries: gzip members that, joined by part, are the files archive; entries tell their places.
 
     Of pages with equal html in UTF-8 (null: empty) of at least `least` bytes, the one with the largest page_id is a response
@@ -100,64 +105,70 @@ def archives(pages: DataFrame, *, least: int = 0) -> DataFrame:
     groups = pages.where(F.octet_length("html") >= least).groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").select("digest", "top")
     joined = pages.join(groups, "digest", "left")
     revisit = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top")) & (F.octet_length("html") >= least)
-    return joined.select("page_id", "url", "html", F.when(revisit, F.col("top")).alias("refers_to"), revisit.alias("revisit")).mapInArrow(_write, f"archive string, part long, content binary, entries array<{ENTRY}>")
+    return joined.select("page_id", "url", "html", F.when(revisit, F.col("top")).alias("refers_to"), revisit.alias("revisit")).mapInArrow(_write(part_bytes), f"archive string, part long, content binary, entries array<{ENTRY}>")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    base, number = TaskContext.get().partitionId() << 32, 0
-    lines: list[tuple] = []
+def _blocks(lines_each: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, number = TaskContext.get().partitionId() << 32, 0
+        lines: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            nonlocal number, lines
+            text = "\n".join("\t".join(map(str, x)) for x in lines)
+            got = pa.RecordBatch.from_arrays([pa.array([base + number]), pa.array([lines[0][0]]), pa.array([lines[-1][0]]), pa.array([zlib.compress(text.encode(), 6)], pa.binary())], names=["node", "first", "last", "content"])
+            number, lines = number + 1, []
+            return got
 
-    def flush() -> pa.RecordBatch:
-        nonlocal number, lines
-        text = "\n".join("\t".join(map(str, x)) for x in lines)
-        got = pa.RecordBatch.from_arrays([pa.array([base + number]), pa.array([lines[0][0]]), pa.array([lines[-1][0]]), pa.array([zlib.compress(text.encode(), 6)], pa.binary())], names=["node", "first", "last", "content"])
-        number, lines = number + 1, []
-        return got
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lines.append(row)
+                if len(lines) >= lines_each:
+                    yield flush()
+        if lines:
+            yield flush()
 
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            lines.append(row)
-            if len(lines) >= LINES:
-                yield flush()
-    if lines:
-        yield flush()
+    return run
 
 
-def capture_index(written: DataFrame) -> DataFrame:
-    """node, first, last, content: blocks of at most LINES captures, sorted by key over all blocks."""
+def capture_index(written: DataFrame, *, lines_each: int = LINES) -> DataFrame:
+    """node, first, last, content: blocks of at most lines_each captures, sorted by key over all blocks."""
     captures = written.select("archive", "part", F.explode("entries").alias("e")).select("e.key", "e.page_id", "archive", "part", "e.at", "e.length")
     order = ["key", "page_id", "archive", "part", "at"]
-    return captures.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "archive", "part", "at", "length").mapInArrow(_blocks, "node long, first string, last string, content binary")
+    return captures.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "archive", "part", "at", "length").mapInArrow(_blocks(lines_each), "node long, first string, last string, content binary")
+
 
+def _pages(fanout: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, number = TaskContext.get().partitionId() << 32, 0
+        held: list[tuple] = []
 
-def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    base, number = TaskContext.get().partitionId() << 32, 0
-    held: list[tuple] = []
+        def flush() -> pa.RecordBatch:
+            nonlocal number, held
+            nodes, firsts, lasts = zip(*held, strict=True)
+            got = pa.RecordBatch.from_arrays([pa.array([base + number]), pa.array([firsts[0]]), pa.array([lasts[-1]]), pa.array([nodes]), pa.array([firsts]), pa.array([lasts])], names=["node", "first", "last", "nodes", "firsts", "lasts"])
+            number, held = number + 1, []
+            return got
 
-    def flush() -> pa.RecordBatch:
-        nonlocal number, held
-        nodes, firsts, lasts = zip(*held, strict=True)
-        got = pa.RecordBatch.from_arrays([pa.array([base + number]), pa.array([firsts[0]]), pa.array([lasts[-1]]), pa.array([nodes]), pa.array([firsts]), pa.array([lasts])], names=["node", "first", "last", "nodes", "firsts", "lasts"])
-        number, held = number + 1, []
-        return got
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("node", "first", "last")), strict=True):
+                held.append(row)
+                if len(held) >= fanout:
+                    yield flush()
+        if held:
+            yield flush()
 
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("node", "first", "last")), strict=True):
-            held.append(row)
-            if len(held) >= FANOUT:
-                yield flush()
-    if held:
-        yield flush()
+    return run
 
 
-def directory(blocks: DataFrame) -> tuple[list[tuple], list[DataFrame]]:
-    """The sparse directory over the blocks: a root of at most ROOT entries, and the levels of pages below it, lowest first.
+def directory(blocks: DataFrame, *, fanout: int = FANOUT, root: int = ROOT) -> tuple[list[tuple], list[DataFrame]]:
+    """The sparse directory over the blocks: a root of at most `root` entries, and the levels of pages below it, lowest first.
 
-    Each level has a FANOUT-th of the entries of the one below, so the root stays small whatever the number of blocks.
+    Each level has about a fanout-th of the entries of the one below, so the root stays small whatever the number of blocks.
     """
     level, levels = blocks.select("node", "first", "last"), []
-    while level.count() > ROOT:
-        level = checkpointed(level.select("node", "first", "last").repartitionByRange("first", "node").sortWithinPartitions("first", "node").mapInArrow(_pages, "node long, first string, last string, nodes array<long>, firsts array<string>, lasts array<string>"))
+    while (n := level.count()) > root:
+        level = checkpointed(level.select("node", "first", "last").repartitionByRange(1 + n // (64 * fanout), "first", "node").sortWithinPartitions("first", "node").mapInArrow(_pages(fanout), "node long, first string, last string, nodes array<long>, firsts array<string>, lasts array<string>"))
         levels.append(level)
     return sorted((r["first"], r["last"], r["node"]) for r in level.collect()), levels
 
@@ -180,10 +191,10 @@ def _fetch(keys: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
     return got.astype({"part": "int64", "at": "int64", "length": "int64"})
 
 
-def lookup(keys: DataFrame, blocks: DataFrame) -> DataFrame:
+def lookup(keys: DataFrame, blocks: DataFrame, *, fanout: int = FANOUT, root: int = ROOT) -> DataFrame:
     """key, archive, part, at, length of all captures of the distinct keys of `keys` (key)."""
-    root, levels = directory(blocks)
-    firsts, lasts, nodes = [r[0] for r in root], [r[1] for r in root], [r[2] for r in root]
+    top, levels = directory(blocks, fanout=fanout, root=root)
+    firsts, lasts, nodes = [r[0] for r in top], [r[1] for r in top], [r[2] for r in top]
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,18 +217,22 @@ def _read(places: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
     number = lambda x: int(x[len("<urn:page:") : -1]) if x and x != "<urn:page:>" else None
     for content in parts["content"]:
         for a, n in zip(places["at"], places["length"], strict=True):
-            headers, payload = parse(content[a : a + n])
+            headers, stated, payload = parse(content[a : a + n])
             full = headers["WARC-Type"] == "response"
-            out.append((number(headers["WARC-Record-ID"]), headers["WARC-Type"], number(headers.get("WARC-Refers-To")), len(payload) if full else None, base32_sha1(payload) if full else None))
+            out.append((number(headers["WARC-Record-ID"]), headers["WARC-Type"], number(headers.get("WARC-Refers-To")), len(payload) if full else stated, base32_sha1(payload) if full else headers["WARC-Payload-Digest"].removeprefix("sha1:")))
     return pd.DataFrame(out, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
 
 
 def read_captures(places: DataFrame, written: DataFrame) -> DataFrame:
-    """page_id, record_type, refers_to, payload_bytes, payload_digest of captures; revisits take the last two from their response."""
+    """page_id, record_type, refers_to, payload_bytes, payload_digest of captures.
+
+    The last two are worked out from a response's payload; a revisit takes them from its response where that is among
+    the places, else from its own headers.
+    """
     kind = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string"
     got = checkpointed(places.groupBy("archive", "part").cogroup(written.select("archive", "part", "content").groupBy("archive", "part")).applyInPandas(_read, kind))
     full = got.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d")).distinct()
-    again = got.where("record_type = 'revisit'").join(full, "refers_to").select("page_id", F.col("b").alias("payload_bytes"), F.col("d").alias("payload_digest"), "record_type", "refers_to")
+    again = got.where("record_type = 'revisit'").join(full, "refers_to", "left").select("page_id", F.coalesce("b", "payload_bytes").alias("payload_bytes"), F.coalesce("d", "payload_digest").alias("payload_digest"), "record_type", "refers_to")
     return got.where("record_type = 'response'").select(again.columns).unionByName(again)
 
 
