@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from dossier.llm.common import checkpointed, components, mix, slices, table
 from dossier.llm.shingles import shingles, words
@@ -177,6 +178,35 @@ def _across(percent: int):
     return run
 
 
+def _dealt(member: DataFrame) -> DataFrame:
+    """key, doc_id, component and m (rows of the key), with the row's part of about BLOCK rows at most, of `parts`.
+
+    A component of half a block or more has parts of its own, `own` of them from `first` on; the rest of a bucket
+    share parts, where own is 0. Rows are dealt by their ids, so no component swells a part.
+    """
+    lone = lambda n: F.lit(n).cast("int")
+    narrow = member.where(F.col("m") <= BLOCK).select("key", "doc_id", "component", lone(0).alias("part"), lone(0).alias("first"), lone(0).alias("own"), lone(1).alias("parts"))
+    wide = member.where(F.col("m") > BLOCK)
+    runs = F.ceil(F.col("c") / BLOCK).cast("int")
+    large = wide.groupBy("key", "component").agg(F.count("*").alias("c")).where(F.col("c") >= max(2, BLOCK // 2)).withColumn("own", runs)
+    large = checkpointed(large.withColumn("first", (F.sum("own").over(W.partitionBy("key").orderBy("component")) - F.col("own")).cast("int")))
+    taken = large.groupBy("key").agg(F.sum("own").cast("int").alias("taken"), F.sum("c").alias("in_large"))
+    # Both sides that are broadcast have less than one row for 2,000 of the buckets' members; a crowd's rows stay where they lie.
+    rows = wide.join(F.broadcast(large.select("key", "component", "first", "own")), ["key", "component"], "left").join(F.broadcast(taken), "key", "left")
+    rows = rows.withColumn("taken", F.coalesce("taken", lone(0))).withColumn("shared", F.ceil((F.col("m") - F.coalesce("in_large", F.lit(0))) / BLOCK).cast("int"))
+    rows = rows.select("key", "doc_id", "component", F.coalesce("first", "taken").alias("first"), F.coalesce("own", lone(0)).alias("own"), "shared", (F.col("taken") + F.col("shared")).alias("parts"))
+    part = F.col("first") + F.pmod(F.xxhash64("doc_id"), F.when(F.col("own") > 0, F.col("own")).otherwise(F.col("shared"))).cast("int")
+    return narrow.unionByName(rows.withColumn("part", part).drop("shared"))
+
+
+def _grid(dealt: DataFrame) -> DataFrame:
+    """Each row once for every part that it meets: all parts, but those of its own component alone, which hold no link that is missing."""
+    others = F.sequence(F.lit(0), F.col("parts") - 1)
+    first, own = F.col("first"), F.col("own")
+    met = F.when(own > 0, F.filter(others, lambda o: (o < first) | (o >= first + own))).otherwise(others)
+    return dealt.select("*", F.explode(met).alias("o")).withColumn("i", F.least("part", "o")).withColumn("j", F.greatest("part", "o"))
+
+
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
@@ -184,7 +214,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75) -> Dat
     Equal word sequences form a class first, and only its smallest doc_id goes on. Each band bucket links its
     members to two hubs (stars), so a bucket of m yields less than 2 m candidates; the survivors of a
     signature screen are confirmed on full sets. Where a star leaves several components in a bucket, members of
-    different ones are compared in blocks, by signature and then on full sets, so no link between components is lost.
+    different ones are compared in blocks, by signature and then on full sets, so no link between components is lost;
+    blocks are bounded on both sides, and two blocks of one same component never meet.
 
     Nulls and texts without words have n_shingles 0 and stay alone; a null doc_id gets no component and is not
     kept; repeated rows get equal results; rows that share a doc_id but not a text count as one document;
@@ -208,15 +239,14 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75) -> Dat
     links = checkpointed(_linked(docs, likely, size, percent))
     found = components(links)
 
-    # What stars leave: buckets that still hold several components. Blocks are runs of one component where possible.
+    # What stars leave: buckets that still hold several components.
     member = company.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    open_keys = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y and m > 2").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
-    spread = checkpointed(member.join(open_keys, "key").withColumn("part", F.pmod(F.xxhash64("component"), F.col("parts")).cast("int")).join(reps.select("doc_id", "n", "sig"), "doc_id"))
-    cells = spread.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
-    cells = cells.select("key", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", F.col("doc_id").alias("id"), "n", "component", "sig")
+    open_keys = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y and m > 2").select("key", "m")
+    dealt = checkpointed(_dealt(checkpointed(member.join(open_keys, "key"))).join(reps.select("doc_id", "n", "sig"), "doc_id"))
+    cells = _grid(dealt).select("key", "i", "j", "part", F.col("doc_id").alias("id"), "n", "component", "sig")
     unit = lambda bytes_: F.pmod(F.xxhash64("key", "i", "j"), F.lit(1 + int(bytes_ or 0) // UNIT)).alias("unit")
     kind = "key long, i int, j int, part int, id long, n long, component long, sig binary"
-    rows = cells.select("*", unit(spread.agg(F.sum(F.col("parts") * 300)).first()[0]))
+    rows = cells.select("*", unit(dealt.agg(F.sum((F.col("parts") - F.col("own")) * 300)).first()[0]))
     likely = checkpointed(rows.groupBy("unit").applyInArrow(lambda t: _likely(percent)(t.drop_columns("unit")), kind))
     sets = docs.join(likely.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id long, shingles binary")
     full = likely.join(sets.withColumnRenamed("doc_id", "id"), "id").select(unit(likely.agg(F.sum(300 + 8 * F.col("n"))).first()[0]), *likely.columns, "shingles")

@@ -136,3 +136,33 @@ def test_vector_edges(spark, kind):
     alone = [(i, 0, i, True) for i in (5, 6, 7, 8, 9, 10, 11)]
     assert got == sorted([(4, 2, 2, False), (4, 2, 2, False), (2, 2, 2, True), (None, 0, None, False), *alone], key=str)
     assert embedding_dedup.near_vectors(spark.createDataFrame([], f"vec_id long, embedding array<{kind}>")).count() == 0
+
+
+@pytest.mark.parametrize("crowds", [[(0, 400), (1, 1)], [(0, 100), (1, 150), *((k, 1) for k in range(2, 60)), (60, 7)]])
+def test_blocks_of_a_bucket_are_bounded_and_meet_across_components_only_once(spark, monkeypatch, crowds):
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    component = [c for c, n in crowds for _ in range(n)]
+    member = spark.createDataFrame([(5, k, c, len(component)) for k, c in enumerate(component)], "key long, doc_id long, component long, m long")
+    cells, copies = {}, 0
+    for r in minhash._grid(minhash._dealt(member)).collect():
+        cells.setdefault((r["i"], r["j"]), []).append((r["part"], r["doc_id"]))
+        copies += 1
+    assert max(map(len, cells.values())) <= 5 * minhash.BLOCK
+    met = {}
+    for (i, j), rows in cells.items():
+        for p, a in rows:
+            for q, b in rows:
+                if a < b and component[a] != component[b] and (i == j or p != q):
+                    met[a, b] = met.get((a, b), 0) + 1
+    n = len(component)
+    assert set(met.values()) == {1} and set(met) == {(a, b) for a in range(n) for b in range(a + 1, n) if component[a] != component[b]}
+    if len(crowds) == 2:
+        assert copies <= 2 * n
+
+
+def test_wide_buckets_find_links_between_crowds(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(near_texts())], "doc_id long, text string")
+    small = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(rows).collect()}
+    monkeypatch.undo()
+    assert small == {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(rows).collect()}
