@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 #: Bytes of text that one numpy pass handles at once; bounds a task's memory whatever the batch holds.
 SLICE_BYTES = 1 << 20
@@ -37,6 +38,16 @@ def bucket_of_id(col: str, mod: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % mod
 
 
+def smallest(rows: DataFrame, kind: str, order: list[str], n: int, salts: int = 64) -> DataFrame:
+    """The n rows of each kind that come first by `order`, whose first column is a hash.
+
+    Runs of a kind are cut to n rows each before they meet, so one large kind is the work of `salts` tasks.
+    """
+    rank = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(*order))
+    salted = rows.withColumn("_salt", F.pmod(F.col(order[0]), F.lit(salts))).withColumn("_k", rank(kind, "_salt")).where(F.col("_k") <= n)
+    return salted.withColumn("_k", rank(kind)).where(F.col("_k") <= n).drop("_salt", "_k")
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a record batch into runs of rows whose texts hold about `limit` bytes (one row at least)."""
     if not batch.num_rows:

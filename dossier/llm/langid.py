@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from dossier.llm.common import bucket_of_id, mix, slices, table
+from dossier.llm.common import bucket_of_id, mix, slices, smallest, table
 
 #: Labelled rows of each language that the filters are filled from, the smallest by a hash of their id.
 SAMPLE = 2000
@@ -98,7 +98,7 @@ class Filters:
 def fit(docs: DataFrame) -> Filters | None:
     """Filters from the labelled rows of docs; None where there is no labelled row with an n-gram."""
     rows = docs.where(F.col("lang").isNotNull() & (F.coalesce(bucket_of_id("doc_id", 4), F.lit(0)) != 2)).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    ids = rows.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= SAMPLE).select("doc_id", "lang")
+    ids = smallest(rows, "lang", ["h", "doc_id"], SAMPLE).select("doc_id", "lang")
     sample = docs.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,9 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
-from dossier.llm.common import bucket_of_id, checkpointed, mix, slices, table
+from dossier.llm.common import bucket_of_id, checkpointed, mix, slices, smallest, table
 from dossier.llm.shingles import words
 
 #: Labelled rows of each class that the models are fitted on, the smallest by a hash of their id.
@@ -98,7 +97,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Up to SAMPLE rows of each class with their text, equal texts once; the ids that are broadcast are as few."""
     ids = labels.where(F.col("toxic").isin(0, 1) & (bucket_of_id("doc_id", 3) != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
-    ids = ids.withColumn("k", F.row_number().over(W.partitionBy("toxic").orderBy("h", "doc_id"))).where(F.col("k") <= SAMPLE)
+    ids = smallest(ids, "toxic", ["h", "doc_id"], SAMPLE)
     got = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "toxic")), "doc_id")
     once = got.groupBy("text").agg(F.max("toxic").cast("int").alias("toxic"), F.min("doc_id").alias("doc_id"))
     return once.select("text", "toxic", (F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(HELD)) == 0).alias("held"))

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from dossier.llm import langid, toxicity
-from dossier.llm.common import bucket_of_id
+from dossier.llm.common import bucket_of_id, smallest
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
@@ -87,3 +87,14 @@ def test_toxicity_edges(spark):
     assert all(r[2:] == (0.0, 0) for r in got if r[0] in (9000, 9001)) and next(r for r in got if r[0] == 9002)[3] == 1
     assert {r["score"] for r in toxicity.toxicity(frame, labels.limit(0)).collect()} == {0.0}
     assert toxicity.toxicity(frame.limit(0), labels).count() == 0
+
+
+def test_a_large_class_is_sampled_in_many_tasks(spark, monkeypatch):
+    rows = spark.range(3000).select("id", F.when(F.col("id") < 2900, "en").otherwise("de").alias("lang"), F.xxhash64("id").alias("h"))
+    order = sorted(rows.collect(), key=lambda r: (r["h"], r["id"]))
+    for n in (7, 200):
+        expected = [r["id"] for k in ("en", "de") for r in [r for r in order if r["lang"] == k][:n]]
+        assert sorted(r["id"] for r in smallest(rows, "lang", ["h", "id"], n).collect()) == sorted(expected)
+    labels = spark.range(10_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("toxic"))
+    plan = toxicity._sample(labels.select("doc_id", F.lit("a").alias("text")), labels)._jdf.queryExecution().toString()
+    assert "hashpartitioning(toxic" in plan and "_salt" in plan
