@@ -33,10 +33,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the smallest doc_id stays, as one row; rows without doc_id go."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    one = F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi").withColumn("_row", one).where("_row = 1").select(docs.columns)
+    """Of each group of near-duplicates one row stays: that of the smallest doc_id, nulls last, then by the text's hash.
+
+    Rows are told apart by doc_id and text, so a null or repeated doc_id costs no text; rows equal in both are one.
+    """
+    text = F.col("text").cast("string")
+    own = F.xxhash64(F.col("doc_id").isNull(), "doc_id", text.isNull(), text)
+    rows = docs.withColumn("_row", own)
+    groups = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    ids = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(text).alias("hash"), "_row").alias("rank"))
+    kept = groups.join(ids, "_row").groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank._row")
+    one = F.row_number().over(W.partitionBy("_row").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    return rows.join(kept, "_row", "left_semi").withColumn("_one", one).where("_one = 1").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

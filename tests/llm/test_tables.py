@@ -100,3 +100,12 @@ def test_pipeline_drops_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "en", "s", 1)] * 3 + [(2, "a b c d e f", "en", "s", 1), (3, "z", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3]
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_pipeline_keeps_texts_with_null_or_repeated_ids(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    texts = [(None, "one two three four five six"), (None, "seven eight nine ten eleven"), (None, "seven eight nine ten eleven"), (4, "a b c d e f"), (4, "u v w x y z"), (9, "one two three four five six"), (3, "a b c d e f"), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", 1) for k, (i, t) in enumerate(texts)], schema)
+    got = [sorted((r["doc_id"] or 0, r["text"] or "", r["source"]) for r in corpus_pipeline.near_dedup(spark, docs.repartition(n), "").collect()) for n in (1, 5)]
+    assert got[0] == got[1]
+    assert [(i, t) for i, t, _ in got[0]] == [(0, "seven eight nine ten eleven"), (3, "a b c d e f"), (4, "u v w x y z"), (5, ""), (9, "one two three four five six")]
