@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,3 +62,41 @@ def labels_in(text: Column, pairs: list[tuple[str, str]]) -> Column:
 def percentage(text: Text) -> Column:
     """The first percentage of a text."""
     return F.regexp_extract(_col(text), r"(\d+(?:\.\d+)?)\s*%", 1).try_cast("double")
+
+
+def shape(words: str) -> str:
+    """The regular expression of words in a row, as they begin: `#` is a number, `a|b` either word, `..` whatever lies between."""
+    out, last = "", ".."
+    for w in words.split():
+        glue = "" if ".." in (last, w) else r"\s*" if "#" in (last, w) else r"\s+"
+        word = "(?:" + "|".join(map(re.escape, w.split("|"))) + ")[a-z]*"
+        out += glue + {"..": ".*?", "#": r"\d[\d,]*(?:\.\d+)?"}.get(w, word if last == "#" or not w[0].isalpha() else rf"\b{word}")
+        last = w
+    return out
+
+
+def has_shape(text: Column, shapes: list[str], times: int = 1) -> Column:
+    """Whether a lower-cased text has any of the shapes, that one `times` times; null has none."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    out = F.lit(False)
+    for words in shapes:
+        out = out | (F.regexp_count(low, F.lit("(?s)" + shape(words))) >= times)
+    return out
+
+
+def mentions(text: Column, window: int = 5) -> Column:
+    """Every number of a text with the words next to it: an array of (value, before, after), `window` words to either side."""
+    all_ = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z]+|\d[\d,]*(?:\.\d+)?)"), F.lit(1))
+    value = lambda w: F.replace(w, F.lit(","), F.lit("")).try_cast("double")
+    # The words are bound once, as the only element of an array, so that they are not worked out for every number.
+    around = lambda ws: F.transform(ws, lambda w, i: F.struct(value(w).alias("value"), F.slice(ws, F.greatest(i - window + 1, F.lit(1)), F.least(i, F.lit(window))).alias("before"), F.slice(ws, i + 2, F.lit(window)).alias("after")))
+    return F.filter(F.flatten(F.transform(F.array(all_), around)), lambda m: m["value"].isNotNull())
+
+
+def near(words: Column, stems: list[str]) -> Column:
+    """Whether some word of an array begins with each of the stems; `a|b` is either."""
+    begins = lambda stem: F.exists(words, lambda w: F.rlike(w, F.lit(f"^(?:{stem})")))
+    out = F.lit(True)
+    for stem in stems:
+        out = out & begins(stem)
+    return out

@@ -82,9 +82,9 @@ def _(t: Tables):
     return C.blocks(_piped(t)).where("kind = 'table'").select("doc_id", "block_no", C.table_to_plain(F.col("text")).alias("plain"))
 
 
-@R.query("c11_table_chunks", f"WITH {_PIPE_SQL}, b AS (SELECT doc_id, page_no AS table_no, string_agg(array_to_string(list_filter([trim(left(text, 12)), '', trim(substr(text, 20, 9))], lambda c: c <> ''), ' | '), chr(10) ORDER BY line_no) AS body FROM lines WHERE trim(left(text, 12)) || trim(substr(text, 20, 9)) <> '' GROUP BY ALL) SELECT doc_id, table_no, '[TABLE ' || table_no || ']' || chr(10) || body AS text FROM b WHERE length(body) > 30")
+@R.query("c11_table_chunks", f"WITH {_PIPE_SQL}, b AS (SELECT doc_id, page_no AS table_no, string_agg(array_to_string(list_filter(list_transform(string_split(text, ','), lambda c: trim(c)), lambda c: c <> ''), ' | '), chr(10) ORDER BY line_no) AS body FROM lines WHERE trim(replace(text, ',', '')) <> '' GROUP BY ALL) SELECT doc_id, table_no, '[TABLE ' || table_no || ']' || chr(10) || body AS text FROM b WHERE length(body) > 30")
 def _(t: Tables):
-    rows = lines(t).select("doc_id", F.col("page_no").alias("table_no"), F.col("line_no").alias("row_no"), F.array(F.substring("text", 1, 12), F.lit(""), F.substring("text", 20, 9)).alias("cells"))
+    rows = lines(t).select("doc_id", F.col("page_no").alias("table_no"), F.col("line_no").alias("row_no"), F.split("text", ",").alias("cells"))
     return C.table_chunks(rows)
 
 

@@ -10,29 +10,49 @@ from dossier.plans.evidence import _PAGES_SQL, page_texts
 from dossier.plans.registry import Registry, Tables
 
 R = Registry()
-# Responses: a sentence for each type with a number of the part.
-_RESPONSES = [
-    ("STANDARD", "turnover of the firm", "Average annual turnover of Rs ", "p_retailprice", " lakh, see page ", "p_size"), ("PROMO", "similar projects", "The following ", "p_size", " projects, pg. ", "p_size"), ("LARGE", "professional staff", "We have deployed ", "p_partkey", " professionals, p. ", "p_size"),
-    ("ECONOMY", "years of experience", "Established in 19", "yy", " with pages ", "p_size"), ("MEDIUM", "registration", "Yes, registered under ", "p_size", " acts", None), ("SMALL", "methodology", "Maximum marks ", "p_size", ".", None)]
-_RESP_SQL = "resp AS (SELECT p_partkey AS claim_id, p_partkey % 200 AS doc, CASE p_type " + " ".join(f"WHEN '{k}' THEN '{c}'" for k, c, *_ in _RESPONSES) + " END AS criterion, CASE p_type " + " ".join(f"WHEN '{k}' THEN '{a}' || " + ("(50 + p_size % 50)" if n == "yy" else n) + f" || '{b}'" + (f" || {p}" if p else "") for k, _, a, n, b, p in _RESPONSES) + " END AS response, p_type, p_size, p_retailprice, p_partkey FROM part)"
+# Responses: sentences for each type of part, an even and an odd one, with numbers of the part.
+_RESPONSES = {
+    "STANDARD": ("turnover of the firm", ["Average annual turnover of Rs ", "p_retailprice", " lakh, see page ", "p_size"], ["Revenue INR ", "p_retailprice", " Cr on page ", "p_size"]),
+    "PROMO": ("similar projects", ["The following ", "p_size", " projects, pg. ", "p_size"], ["Details of ", "p_size", " relevant assignments at page ", "p_size"]),
+    "LARGE": ("professional staff", ["We have deployed ", "p_partkey", " professionals, p. ", "p_size"], ["More than ", "p_partkey", " technically qualified people"]),
+    "ECONOMY": ("years of work", ["Established in 19", "p_size + 40", " with pages ", "p_size"], ["More than ", "p_size", " years of relevant experience"]),
+    "MEDIUM": ("registration", ["Yes, registered under ", "p_size", " acts"], ["Nothing of the kind"]),
+    "SMALL": ("methodology", ["Maximum marks ", "p_size", "."], ["Maximum marks 20. The approach has ", "p_size", " steps in this proposal, each of them with its own team"]),
+}
+_say = lambda parts: " || ".join(f"'{x}'" if i % 2 == 0 else f"({x})" for i, x in enumerate(parts))
+_RESP_SQL = "resp AS (SELECT p_partkey AS claim_id, p_partkey % 200 AS doc, CASE p_type " + " ".join(f"WHEN '{k}' THEN '{c}'" for k, (c, _, _) in _RESPONSES.items()) + " END AS criterion, CASE p_type " + " ".join(f"WHEN '{k}' THEN CASE WHEN p_size % 2 = 0 THEN {_say(a)} ELSE {_say(b)} END" for k, (_, a, b) in _RESPONSES.items()) + " END AS response FROM part)"
 
 
 def _responses(t: Tables):
+    said = lambda parts: F.concat(*[F.lit(x) if i % 2 == 0 else F.expr(x).cast("string") for i, x in enumerate(parts)])
     criterion, response = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for k, c, a, n, b, p in _RESPONSES:
-        number = (50 + F.col("p_size") % 50).cast("string") if n == "yy" else F.col(n).cast("string")
-        said = F.concat(F.lit(a), number, F.lit(b), *([F.col(p).cast("string")] if p else []))
-        criterion, response = F.when(F.col("p_type") == k, c).otherwise(criterion), F.when(F.col("p_type") == k, said).otherwise(response)
-    return t.part.select(F.col("p_partkey").alias("claim_id"), (F.col("p_partkey") % 200).alias("doc"), criterion.alias("criterion"), response.alias("response"), "p_type", "p_size", "p_name", "p_brand")
+    for k, (c, even, odd) in _RESPONSES.items():
+        mine = F.col("p_type") == k
+        criterion, response = F.when(mine, c).otherwise(criterion), F.when(mine, F.when(F.col("p_size") % 2 == 0, said(even)).otherwise(said(odd))).otherwise(response)
+    return t.part.select(F.col("p_partkey").alias("claim_id"), (F.col("p_partkey") % 200).alias("doc"), criterion.alias("criterion"), response.alias("response"))
 
 
-@R.query("e1_facts", f"""WITH {_RESP_SQL} SELECT claim_id, CASE p_type WHEN 'STANDARD' THEN 'turnover' WHEN 'PROMO' THEN CASE WHEN p_size <= 50 THEN 'projects' END WHEN 'LARGE' THEN CASE WHEN p_partkey > 0 THEN 'staff' END WHEN 'ECONOMY' THEN 'years' WHEN 'MEDIUM' THEN 'present' END AS family,
-CASE p_type WHEN 'STANDARD' THEN round((p_retailprice / 100)::DECIMAL(20,6), 2)::DOUBLE WHEN 'PROMO' THEN CASE WHEN p_size <= 50 THEN p_size END WHEN 'LARGE' THEN CASE WHEN p_partkey > 0 THEN p_partkey END WHEN 'ECONOMY' THEN 2024 - 1900 - 50 - p_size % 50 WHEN 'MEDIUM' THEN 1 END::DOUBLE AS value FROM resp""")
+# The same facts out of the text, by other means than the operator's: one pattern for each sentence that may stand there.
+_SCORING_SQL = r"(regexp_matches(response, '(?i)\bmaximum marks?\b') AND length(trim(regexp_replace(response, '(?i)[^.]*\bmaximum marks?\b[^.]*\.', '', 'g'))) < 40)"
+_num = lambda p: rf"try_cast(nullif(regexp_extract(response, '(?i){p}', 1), '') AS DOUBLE)"
+_FACT_SQL = f"""{_RESP_SQL}, found AS (SELECT claim_id, CASE WHEN {_SCORING_SQL} THEN NULL
+WHEN contains(criterion, 'turnover') AND {_num('turnover of rs ([0-9.]+) lakh')} IS NOT NULL THEN {{'family': 'turnover', 'value': round(({_num('turnover of rs ([0-9.]+) lakh')} / 100)::DECIMAL(20,6), 2)::DOUBLE, 'label': 'average turnover'}}
+WHEN contains(criterion, 'turnover') AND {_num('inr ([0-9.]+) cr')} IS NOT NULL THEN {{'family': 'turnover', 'value': {_num('inr ([0-9.]+) cr')}, 'label': 'amount in rupees'}}
+WHEN contains(criterion, 'project') AND {_num('following ([0-9]+) projects')} BETWEEN 1 AND 50 THEN {{'family': 'projects', 'value': {_num('following ([0-9]+) projects')}, 'label': 'following projects'}}
+WHEN contains(criterion, 'project') AND {_num('([0-9]+) relevant assignments')} BETWEEN 1 AND 50 THEN {{'family': 'projects', 'value': {_num('([0-9]+) relevant assignments')}, 'label': 'eligible projects'}}
+WHEN contains(criterion, 'staff') AND {_num('([0-9]+) technically qualified')} >= 1 THEN {{'family': 'staff', 'value': {_num('([0-9]+) technically qualified')}, 'label': 'technically qualified'}}
+WHEN contains(criterion, 'staff') AND {_num('deployed ([0-9]+) professionals')} >= 1 THEN {{'family': 'staff', 'value': {_num('deployed ([0-9]+) professionals')}, 'label': 'deployed'}}
+WHEN contains(criterion, 'year') AND {_num('([0-9]+) years of relevant experience')} BETWEEN 1 AND 50 THEN {{'family': 'years', 'value': {_num('([0-9]+) years of relevant experience')}, 'label': 'years of experience'}}
+WHEN contains(criterion, 'year') AND {_num('established in ([0-9]+)')} >= 1900 THEN {{'family': 'years', 'value': 2024 - {_num('established in ([0-9]+)')}, 'label': 'established'}}
+WHEN regexp_matches(response, '(?i)\\byes\\b|\\bregistered (with|under)\\b') THEN {{'family': 'present', 'value': 1.0::DOUBLE, 'label': 'stated'}} END AS f FROM resp)"""
+
+
+@R.query("e1_facts", f"WITH {_FACT_SQL} SELECT claim_id, f.family, f.value, f.label FROM found")
 def _(t: Tables):
     return _responses(t).select("claim_id", E.fact(F.col("response"), F.col("criterion")).alias("f")).select("claim_id", "f.*")
 
 
-@R.query("e2_scoring_language", f"WITH {_RESP_SQL} SELECT claim_id, p_type = 'SMALL' AS scoring FROM resp")
+@R.query("e2_scoring_language", f"WITH {_RESP_SQL} SELECT claim_id, {_SCORING_SQL} AS scoring FROM resp")
 def _(t: Tables):
     return _responses(t).select("claim_id", E.is_scoring_language(F.col("response")).alias("scoring"))
 
@@ -64,19 +84,39 @@ def _(t: Tables):
     return _verified(t).select("claim_id", "verified")
 
 
-@R.query("e6_criterion_block", "WITH p AS (SELECT doc_id, text, list_min(list_filter([strpos(lower(text), 'thtion'), strpos(lower(text), 'attion'), strpos(lower(text), 'ener')], lambda x: x > 0)) AS a FROM documents), b AS (SELECT doc_id, substr(text, a, 300) AS block FROM p) SELECT doc_id, left(CASE WHEN strpos(block, 'that') > 0 THEN substr(block, strpos(block, 'that')) ELSE block END, 80) AS block FROM b")
+@R.query("e6_criterion_block", "WITH p AS (SELECT doc_id, text, list_min(list_filter([strpos(lower(text), 'thtion'), strpos(lower(text), 'attion'), strpos(lower(text), 'ener')], lambda x: x > 0)) AS a FROM documents), b AS (SELECT doc_id, substr(text, a, 3000) AS block FROM p) SELECT doc_id, left(CASE WHEN strpos(block, 'that') > 0 THEN substr(block, strpos(block, 'that')) ELSE block END, 2000) AS block FROM b")
 def _(t: Tables):
-    return t.documents.select("doc_id", E.criterion_block(F.col("text"), F.lit("Thtion attion ener"), "that", window=300, most=80).alias("block"))
+    return t.documents.select("doc_id", E.criterion_block(F.col("text"), F.lit("Thtion attion ener"), "that").alias("block"))
+
+
+# Blocks of self-assessments: a parameter, a formula and a text for each type of part.
+_BLOCKS = {
+    "STANDARD": ("Financial strength", "BAND", ["Statement for ", "p_partkey % 9", " years, INR ", "p_retailprice", " crores on average"]),
+    "PROMO": ("Area of work", "STEP", ["1 Plan Mar ", "2001 + p_size % 20", " to Apr 2022; 2 Roads June ", "2003 + p_partkey % 15", " to till date; since Jan 1998 to date"]),
+    "LARGE": ("Handling of projects", "PER_UNIT", ["Details of the following ", "p_size", " such assignments"]),
+    "ECONOMY": ("Manpower", "BAND", ["over ", "p_partkey * 10", " technically qualified personnel; more than ", "p_size", " others"]),
+    "MEDIUM": ("Work in the state", "LLM", ["Rows: ", "p_size", " work order copies"]),
+    "SMALL": ("Tools", "BAND", ["The tools number ", "p_size", " in all"]),
+}
+_case = lambda f: "CASE p_type " + " ".join(f"WHEN '{k}' THEN {f(v)}" for k, v in _BLOCKS.items()) + " END"
+_BLOCK_SQL = f"blk AS (SELECT p_partkey AS claim_id, {_case(lambda v: chr(39) + v[0] + chr(39))} AS parameter, {_case(lambda v: chr(39) + v[1] + chr(39))} AS formula, {_case(lambda v: _say(v[2]))} AS block FROM part)"
+_of = lambda p: rf"try_cast(nullif(regexp_extract(block, '(?i){p}', 1), '') AS DOUBLE)"
+_CLAIMED_SQL = f"""{_BLOCK_SQL}, val AS (SELECT claim_id, formula, block, CASE WHEN regexp_matches(lower(parameter), 'turnover|financial|revenue') THEN 'turnover' WHEN regexp_matches(lower(parameter), 'experience|area|year') THEN 'years' WHEN regexp_matches(lower(parameter), 'project|handling') THEN 'projects'
+  WHEN regexp_matches(lower(parameter), 'manpower|staff|personnel') THEN 'staff' WHEN formula = 'BINARY' OR regexp_matches(lower(parameter), 'state|region') THEN 'present' END AS kind FROM blk),
+read AS (SELECT *, CASE kind WHEN 'turnover' THEN {_of('([0-9.]+) *cr')} WHEN 'years' THEN 2024 - list_min(list_filter(list_transform(regexp_extract_all(block, '(?i)(?:jan|mar|june) ([0-9]{{4}}) to (?:apr [0-9]{{4}}|date|till date)', 1), lambda y: y::INT), lambda y: y BETWEEN 2000 AND 2024))
+  WHEN 'projects' THEN {_of('following ([0-9]+) such assign')} WHEN 'staff' THEN {_of('([0-9]+) technically qualified')} WHEN 'present' THEN CASE WHEN contains(lower(block), 'work order') THEN 1.0 END END::DOUBLE AS value, {_of('([0-9]+([.][0-9]+)?)')} AS n FROM val)"""
 
 
-@R.query("e7_claim_families", f"WITH {_RESP_SQL} SELECT p_type, count(*) AS n, count(*) FILTER (p_type NOT IN ('SMALL') AND NOT (p_type = 'LARGE' AND p_partkey = 0)) AS found FROM resp GROUP BY p_type")
+@R.query("e7_claim_families", f"WITH {_CLAIMED_SQL} SELECT claim_id, CASE WHEN value IS NOT NULL THEN kind WHEN formula IN ('BAND', 'STEP', 'PER_UNIT') AND n IS NOT NULL THEN 'number' END AS kind, coalesce(value, CASE WHEN formula IN ('BAND', 'STEP', 'PER_UNIT') THEN n END) AS value FROM read")
 def _(t: Tables):
-    got = _responses(t).select("p_type", E.fact(F.col("response"), F.col("criterion")).alias("f"))
-    return got.groupBy("p_type").agg(F.count("*").alias("n"), F.count("f").alias("found"))
+    pick = lambda f: F.coalesce(*[F.when(F.col("p_type") == k, f(v)) for k, v in _BLOCKS.items()])
+    block = pick(lambda v: F.concat(*[F.lit(x) if i % 2 == 0 else F.expr(x).cast("string") for i, x in enumerate(v[2])]))
+    return t.part.select(F.col("p_partkey").alias("claim_id"), E.claimed(pick(lambda v: F.lit(v[0])), pick(lambda v: F.lit(v[1])), block).alias("f")).select("claim_id", "f.*")
 
 
-@R.query("e8_value_guard", """WITH v AS (SELECT p_partkey, p_size, CASE p_size % 6 WHEN 0 THEN 'Not Found' WHEN 1 THEN '20 marks' WHEN 2 THEN p_size * 30 || ' done' ELSE ' ' || p_size || ' items ' END AS value FROM part)
-SELECT p_partkey, CASE WHEN p_size % 6 IN (0, 1) THEN NULL WHEN p_size % 6 = 2 THEN CASE WHEN p_size * 30 > 500 AND p_partkey % 2 = 0 THEN NULL ELSE value END ELSE trim(value) END AS value FROM v""")
+@R.query("e8_value_guard", r"""WITH v AS (SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'Not Found' WHEN 1 THEN '20 marks' WHEN 2 THEN p_size * 30 || ' done' ELSE ' ' || p_size || ' items ' END AS raw, CASE WHEN p_partkey % 2 = 0 THEN 'BAND' ELSE 'QUAL' END AS formula FROM part),
+n AS (SELECT *, trim(raw) AS t, try_cast(nullif(regexp_extract(raw, '([0-9]+)', 1), '') AS DOUBLE) AS num FROM v)
+SELECT p_partkey, CASE WHEN lower(t) = 'not found' OR regexp_matches(lower(t), '\b(mark|marks|point|points|score|criteria)\b') OR (formula IN ('BAND', 'STEP') AND num > 500) THEN NULL ELSE t END AS value FROM n""")
 def _(t: Tables):
     n = F.col("p_size")
     value = F.when(n % 6 == 0, "Not Found").when(n % 6 == 1, "20 marks").when(n % 6 == 2, F.concat((n * 30).cast("string"), F.lit(" done"))).otherwise(F.concat(F.lit(" "), n.cast("string"), F.lit(" items ")))
@@ -105,28 +145,28 @@ def _(t: Tables):
     return E.role_evidence(page_texts(t), t.spark.createDataFrame(_ROLES, "role string, words array<string>"), "that|with").drop("snippet")
 
 
-@R.query("e11_fiscal_years", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE list_aggregate(list_distinct([year(o_orderdate) || '-' || right((year(o_orderdate) + 1)::VARCHAR, 2)]), 'string_agg', ',') END AS years FROM orders WHERE year(o_orderdate) >= 2000")
+@R.query("e11_fiscal_years", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 OR year(o_orderdate) < 2000 THEN '' ELSE year(o_orderdate) || '-' || right((year(o_orderdate) + 1)::VARCHAR, 2) END AS years FROM orders")
 def _(t: Tables):
     y = F.year("o_orderdate")
     long, short = F.concat(y.cast("string"), F.lit("-"), (y + 1).cast("string")), F.concat(y.cast("string"), F.lit(" - "), F.right((y + 1).cast("string"), F.lit(2)))
     text = F.when(F.col("o_orderkey") % 3 == 0, "none").otherwise(F.concat(F.lit("for "), long, F.lit(" and again "), short, F.lit(".")))
-    return t.orders.where(y >= 2000).select("o_orderkey", F.array_join(E.fiscal_years(text), ",").alias("years"))
+    return t.orders.select("o_orderkey", F.array_join(E.fiscal_years(text), ",").alias("years"))
 
 
-@R.query("e12_year_mismatch", "SELECT o_orderkey, (year(o_orderdate) + o_orderkey % 2) || '' AS missing, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE year(o_orderdate)::VARCHAR END AS extra FROM orders WHERE o_orderkey % 2 = 1")
+@R.query("e12_year_mismatch", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE (year(o_orderdate) + 1)::VARCHAR END AS missing, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE year(o_orderdate)::VARCHAR END AS extra FROM orders")
 def _(t: Tables):
     y = F.year("o_orderdate")
-    need, have = F.array((y + F.col("o_orderkey") % 2).cast("string")), F.array(y.cast("string"))
-    return t.orders.where("o_orderkey % 2 = 1").select("o_orderkey", F.array_join(F.array_sort(F.array_except(need, have)), ",").alias("missing"), F.array_join(F.array_sort(F.array_except(have, need)), ",").alias("extra"))
+    asked, offered = F.array((y + F.col("o_orderkey") % 2).cast("string")), F.array(y.cast("string"))
+    return t.orders.select("o_orderkey", E.year_mismatch(asked, offered).alias("m")).select("o_orderkey", F.array_join("m.missing", ",").alias("missing"), F.array_join("m.extra", ",").alias("extra"))
 
 
-@R.query("e13_binary_presence", f"WITH {_PAGES_SQL} SELECT DISTINCT doc, topic AS criterion FROM ptext, topics WHERE page_no <= 3 AND len(list_filter(words, lambda w: contains(lower(text), w))) > 0")
+@R.query("e13_binary_presence", f"WITH {_PAGES_SQL} SELECT DISTINCT doc, topic AS criterion FROM ptext, topics WHERE page_no <= 200 AND len(list_filter(words, lambda w: contains(lower(text), w))) > 0")
 def _(t: Tables):
     from dossier.plans.evidence import _topics
 
     pages = page_texts(t)
-    criteria = pages.select("doc").distinct().crossJoin(F.broadcast(_topics(t).withColumnRenamed("topic", "criterion").withColumnRenamed("words", "terms")))
-    return E.present_in_pages(criteria, pages, searched=3).select("doc", "criterion")
+    criteria = pages.select("doc").distinct().crossJoin(_topics(t).withColumnRenamed("topic", "criterion").withColumnRenamed("words", "terms"))
+    return E.present_in_pages(criteria, pages).select("doc", "criterion")
 
 
 @R.query("e14_cleaned_names", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN NULL ELSE c_name END AS name FROM customer")

@@ -96,12 +96,12 @@ def _(t: Tables):
     return G.figures(t.orders.select(F.col("o_orderkey").alias("doc"), F.col("o_custkey").alias("page_no"), data.alias("data")), "figures array<struct<name:string,value:double>>", "figures")
 
 
-# Word boxes: words of the lines, 30 wide, lines 12 high, five lines a page.
-_WORDS_SQL = f"{LINES_SQL}, wl AS (SELECT doc_id AS doc, page_no AS page, line_no, string_split(text, ' ') AS ws FROM lines), words AS (SELECT doc, page, (i - 1) * 30.0::DOUBLE AS x0, (20 + line_no % 5 * 12)::DOUBLE AS y0, (i - 1) * 30.0::DOUBLE + 25 AS x1, ws[i] AS text FROM wl, unnest(range(1, len(ws) + 1)) AS u(i) WHERE i <= 12)"
+# Word boxes: all words of the lines, 30 wide, lines 12 high, five lines a page.
+_WORDS_SQL = f"{LINES_SQL}, wl AS (SELECT doc_id AS doc, page_no AS page, line_no, string_split(text, ' ') AS ws FROM lines), words AS (SELECT doc, page, (i - 1) * 30.0::DOUBLE AS x0, (20 + line_no % 5 * 12)::DOUBLE AS y0, (i - 1) * 30.0::DOUBLE + 25 AS x1, ws[i] AS text FROM wl, unnest(range(1, len(ws) + 1)) AS u(i))"
 
 
 def _words(t: Tables):
-    rows = lines(t).select(F.col("doc_id").alias("doc"), F.col("page_no").alias("page"), "line_no", F.posexplode(F.split("text", " ")).alias("i", "text")).where("i < 12")
+    rows = lines(t).select(F.col("doc_id").alias("doc"), F.col("page_no").alias("page"), "line_no", F.posexplode(F.split("text", " ")).alias("i", "text"))
     return rows.select("doc", "page", (F.col("i") * 30.0).alias("x0"), (20 + F.col("line_no") % 5 * 12).cast("double").alias("y0"), (F.col("i") * 30.0 + 25).alias("x1"), "text")
 
 
@@ -222,9 +222,9 @@ def _(t: Tables):
     return L.table_pages(_words(t), page_texts(t).withColumnRenamed("page_no", "page"), "that|for")
 
 
-@R.query("l12_markdown", f"WITH {_WORDS_SQL}, m AS (SELECT *, dense_rank() OVER (PARTITION BY doc, page ORDER BY round(y0 / 8)) AS r FROM words), ml AS (SELECT doc, page, r, '| ' || string_agg(text, ' | ' ORDER BY x0, text) || ' |' AS line FROM m WHERE r <= 3 GROUP BY ALL) SELECT doc, page, string_agg(line, chr(10) ORDER BY r) AS \"table\" FROM ml GROUP BY ALL")
+@R.query("l12_markdown", f"WITH {_WORDS_SQL}, m AS (SELECT *, dense_rank() OVER (PARTITION BY doc, page ORDER BY round(y0 / 8)) AS r FROM words), ml AS (SELECT doc, page, r, '| ' || string_agg(text, ' | ' ORDER BY x0, text) || ' |' AS line FROM m WHERE r <= 30 GROUP BY ALL) SELECT doc, page, string_agg(line, chr(10) ORDER BY r) AS \"table\" FROM ml GROUP BY ALL")
 def _(t: Tables):
-    return L.markdown(_words(t), most=3)
+    return L.markdown(_words(t))
 
 
 QUERIES, ORACLE = R.queries, R.oracle

@@ -88,10 +88,10 @@ def _(t: Tables):
     return _kept(t).groupBy("clause_type", "agreement").agg(F.count("*").alias("n"), F.max_by("id", F.struct("created_at", "id")).alias("last_id"))
 
 
-@R.query("b8_review_status", f"""WITH {_KEPT_SQL}, d AS (SELECT doc, list_sort(list_distinct(list(clause_type))) AS done, {", ".join(f"count(*) FILTER (agreement = '{a}') AS n_{a}" for a in B.AGREEMENTS)} FROM kept WHERE user_id % 2 = 0 GROUP BY doc)
+@R.query("b8_review_status", f"""WITH {_KEPT_SQL}, d AS (SELECT doc, list_sort(list_distinct(list(clause_type))) AS done, {", ".join(f"count(*) FILTER (agreement = '{a}') AS n_{a}" for a in B.AGREEMENTS)} FROM kept GROUP BY doc)
 SELECT doc, array_to_string(done, ',') AS done, array_to_string(list_filter({CLAUSES}, lambda c: NOT list_contains(done, c)), ',') AS pending, n_agree, n_too_high, n_too_low, n_incorrect FROM d""")
 def _(t: Tables):
-    got = B.review_status(_kept(t).where("user_id % 2 = 0"), CLAUSES)
+    got = B.review_status(_kept(t), CLAUSES)
     return got.withColumns({c: F.array_join(c, ",") for c in ("done", "pending")})
 
 
@@ -123,13 +123,13 @@ def _(t: Tables):
     return _new_examples(t).select("feedback_id", "doc", "clause_type", "correct_level", "reason", "snippet")
 
 
-@R.query("b12_few_shot", f"""WITH {FEEDBACK_SQL}, a AS (SELECT {CLAUSES}[(doc_id % 10 + 1)::INT] AS clause_type, 0 AS kind, row_number() OVER (PARTITION BY doc_id % 10 ORDER BY quality DESC, doc_id DESC) AS k, 'document ' || doc_id AS line FROM labels WHERE toxic = 0 AND doc_id % 5 = 0),
+@R.query("b12_few_shot", f"""WITH {FEEDBACK_SQL}, a AS (SELECT {CLAUSES}[(doc_id % 10 + 1)::INT] AS clause_type, 0 AS kind, row_number() OVER (PARTITION BY doc_id % 10 ORDER BY quality DESC, doc_id DESC) AS k, 'document ' || doc_id AS line FROM labels WHERE toxic = 0),
 b AS (SELECT clause_type, 1 AS kind, row_number() OVER (PARTITION BY clause_type ORDER BY created_at DESC, id DESC) AS k, comment AS line FROM feedback WHERE agreement <> 'agree' AND comment IS NOT NULL),
 u AS (SELECT * FROM a WHERE k <= 4 UNION ALL SELECT * FROM b WHERE k <= 30 AND length(trim(line)) > 10), r AS (SELECT *, count(*) OVER (PARTITION BY clause_type) AS n, row_number() OVER (PARTITION BY clause_type ORDER BY kind, k) AS at_ FROM u)
 SELECT clause_type, string_agg(at_ || '. ' || line, chr(10) ORDER BY at_) AS block, count(*) AS used FROM r WHERE n >= 2 AND at_ <= 4 GROUP BY clause_type""")
 def _(t: Tables):
     kind = F.element_at(F.array(*[F.lit(c) for c in CLAUSES]), (F.col("doc_id") % 10 + 1).cast("int"))
-    examples = t.labels.where("toxic = 0 and doc_id % 5 = 0").select(kind.alias("clause_type"), F.col("doc_id").alias("example_id"), F.col("quality").alias("usefulness"), F.col("doc_id").alias("created_at"), F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("line"))
+    examples = t.labels.where("toxic = 0").select(kind.alias("clause_type"), F.col("doc_id").alias("example_id"), F.col("quality").alias("usefulness"), F.col("doc_id").alias("created_at"), F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("line"))
     return B.few_shot(examples, feedback(t))
 
 

@@ -10,23 +10,24 @@ from dossier.plans.registry import Registry, Tables
 R = Registry()
 # Criteria: parts, a text for each type, codes with and without letters.
 _TEXT = {
-    "STANDARD": "'10 to 20: 5 marks; more than 20: ' || p_size || ' marks; 30+: 12 marks; 20+: 9 marks; up to 50 cr'", "PROMO": "'3 marks for each project, maximum 15'", "LARGE": "'Turnover above 50 Cr gets 10 marks, every additional 10 Cr 1 mark'",
-    "ECONOMY": "'2. Qualification and CV of the team leader  (8 Marks)'", "MEDIUM": "'Registered under ISO 9001, 40 % within 90 lakh, 7 of 9'", "SMALL": "'proportionate score by ranked methodology'"}
+    "STANDARD": ("'10 to 20: 5 marks; more than 20: ' || p_size || ' marks; 30+: 12 marks; 20+: 9 marks; up to 50 cr'", "'20 professionals: 5 marks, 40 professionals: ' || p_size || ' marks'"),
+    "PROMO": ("'3 marks for each project, maximum 15'", "'Per assignment in the sector 2 marks'"),
+    "LARGE": ("'Turnover above 50 Cr gets 10 marks, every additional 10 Cr 1 mark'", "'For turnover of the firm more than 50 the highest marks'"),
+    "ECONOMY": ("'2. Qualification and CV of the team leader  (8 Marks)'", "'Years of experience of the expert'"),
+    "MEDIUM": ("'Registered under ISO 9001, 40 % within 90 lakh, 7 of 9'", "'Recognised by Startup India'"),
+    "SMALL": ("'proportionate score by ranked methodology'", "'QCBS: the highest number of experts gets the maximum score'"),
+}
+_PICK = " ".join(f"WHEN '{k}' THEN CASE WHEN p_size % 3 > 0 THEN {v} ELSE {w} END" for k, (v, w) in _TEXT.items())
 CRITERIA_SQL = f"""crit AS (SELECT p_partkey AS seq, p_partkey % 100 AS doc, p_size % 12 || CASE p_size % 4 WHEN 1 THEN '(a)' WHEN 2 THEN 'b' ELSE '' END AS item_code, CASE WHEN p_size % 9 = 0 THEN 'Total ' || p_name WHEN p_size % 10 = 0 THEN 'Prepare ' || p_name WHEN p_size % 11 = 0 THEN 'Methodology ' || p_name ELSE p_name END AS parameter,
-CASE p_type {' '.join(f"WHEN '{k}' THEN {v}" for k, v in _TEXT.items())} END AS criteria_text, p_size % 30 AS max_marks FROM part)"""
+CASE p_type {_PICK} END AS criteria_text, p_size % 30 AS max_marks FROM part)"""
 
 
 def criteria(t: Tables):
-    text = None
-    size = F.col("p_size").cast("string")
-    texts = {k: v.strip("'") for k, v in _TEXT.items() if k != "STANDARD"}
-    text = F.when(F.col("p_type") == "STANDARD", F.concat(F.lit("10 to 20: 5 marks; more than 20: "), size, F.lit(" marks; 30+: 12 marks; 20+: 9 marks; up to 50 cr")))
-    for k, v in texts.items():
-        text = text.when(F.col("p_type") == k, v)
+    pick = F.expr(f"CASE p_type {_PICK} END")
     n = F.col("p_size")
     name = F.when(n % 9 == 0, F.concat(F.lit("Total "), F.col("p_name"))).when(n % 10 == 0, F.concat(F.lit("Prepare "), F.col("p_name"))).when(n % 11 == 0, F.concat(F.lit("Methodology "), F.col("p_name"))).otherwise(F.col("p_name"))
     code = F.concat((n % 12).cast("string"), F.when(n % 4 == 1, "(a)").when(n % 4 == 2, "b").otherwise(""))
-    return t.part.select(F.col("p_partkey").alias("seq"), (F.col("p_partkey") % 100).alias("doc"), code.alias("item_code"), name.alias("parameter"), text.alias("criteria_text"), (n % 30).alias("max_marks"))
+    return t.part.select(F.col("p_partkey").alias("seq"), (F.col("p_partkey") % 100).alias("doc"), code.alias("item_code"), name.alias("parameter"), pick.alias("criteria_text"), (n % 30).alias("max_marks"))
 
 
 _REASON_SQL = "CASE WHEN trim(parameter) = '' THEN 'empty' WHEN max_marks NOT BETWEEN 2 AND 80 THEN 'marks' WHEN regexp_matches(parameter, '(?i)(total|sub.?total|grand|note|minimum qualifying)') THEN 'skip' WHEN regexp_matches(parameter, '^\\(?[a-h]\\)') THEN 'sub_item' WHEN regexp_matches(parameter, '(?i)^(prepare|assist|support|conduct|review|monitor)\\b') THEN 'action' END"
@@ -42,9 +43,9 @@ def _(t: Tables):
     return K.deduplicated(criteria(t), "seq").select("seq", "doc", "parameter", "max_marks")
 
 
-_FORMULA_SQL = """CASE WHEN regexp_matches(lower(criteria_text), 'every\\s+additional\\s+\\d+\\s*cr') OR regexp_matches(lower(criteria_text), 'above\\s+\\d+\\s*cr.*?\\d+\\s*marks?') THEN 'STEP'
-WHEN regexp_matches(lower(criteria_text), '(up\\s+to|more\\s+than)\\s+\\d+\\s*(cr|crore|lakh)') AND len(regexp_extract_all(lower(criteria_text), '\\d+\\s*marks?')) >= 2 THEN 'BAND' WHEN regexp_matches(lower(criteria_text), '\\d+\\s*marks?\\s+for\\s+(each|01|per|one)\\s+(project|assignment)') THEN 'PER_UNIT'
-WHEN regexp_matches(lower(criteria_text), 'qualification') THEN 'QUAL' WHEN regexp_matches(lower(criteria_text), 'registered|iso\\s+\\d+') THEN 'BINARY' ELSE 'LLM' END"""
+_FORMULA_SQL = """CASE WHEN regexp_matches(lower(criteria_text), 'every\\s+additional\\s+\\d+\\s*cr') OR regexp_matches(lower(criteria_text), 'above\\s+\\d+\\s*cr.*?\\d+\\s*marks?') OR (contains(lower(criteria_text), 'for turnover') AND contains(split_part(lower(criteria_text), 'for turnover', 2), 'more than')) THEN 'STEP'
+WHEN len(regexp_extract_all(lower(criteria_text), '\\d+\\s*professional')) >= 2 OR (regexp_matches(lower(criteria_text), '(up\\s+to|more\\s+than)\\s+\\d+\\s*(cr|crore|lakh)') AND len(regexp_extract_all(lower(criteria_text), '\\d+\\s*marks?')) >= 2) THEN 'BAND' WHEN regexp_matches(lower(criteria_text), '\\d+\\s*marks?\\s+for\\s+(each|01|per|one)\\s+(project|assignment)') OR regexp_matches(lower(criteria_text), 'per assignment.*\\d+ mark') THEN 'PER_UNIT'
+WHEN contains(lower(criteria_text), 'qualification') OR contains(lower(criteria_text), 'years of exp') THEN 'QUAL' WHEN regexp_matches(lower(criteria_text), 'registered|iso\\s+\\d+|startup india') THEN 'BINARY' ELSE 'LLM' END"""
 
 
 @R.query("k3_formula", f"WITH {CRITERIA_SQL} SELECT seq, {_FORMULA_SQL} AS formula FROM crit")
@@ -77,7 +78,7 @@ def _(t: Tables):
     return criteria(t).groupBy("doc").agg(K.theme(F.array_sort(F.collect_list("parameter"))).alias("theme"))
 
 
-@R.query("k7_comparative", f"WITH {CRITERIA_SQL}, o AS (SELECT *, regexp_matches(criteria_text, '(?i)(proportionate\\s+score|qcbs)') AS own FROM crit) SELECT seq, own OR (bool_or(own) OVER (PARTITION BY doc) AND regexp_matches(parameter, '(?i)(methodology|work\\s+plan)')) AS comparative FROM o")
+@R.query("k7_comparative", f"WITH {CRITERIA_SQL}, o AS (SELECT *, (regexp_matches(lower(criteria_text), 'proportionate score|qcbs') OR contains(split_part(lower(criteria_text), 'highest number', 2), 'maximum score')) AS own FROM crit) SELECT seq, own OR (bool_or(own) OVER (PARTITION BY doc) AND regexp_matches(parameter, '(?i)(methodology|work\\s+plan)')) AS comparative FROM o")
 def _(t: Tables):
     return K.comparative(criteria(t)).select("seq", "comparative")
 
@@ -87,7 +88,7 @@ def _(t: Tables):
     return criteria(t).select("seq", K.most_marks(F.col("criteria_text")).alias("marks"))
 
 
-@R.query("k9_bands", f"""WITH {CRITERIA_SQL} SELECT seq, lo::DOUBLE AS lo, hi::DOUBLE AS hi, score::DOUBLE AS score FROM (SELECT seq, p_size, unnest([10, 20, 30, 20]) AS lo, unnest([20, NULL, NULL, NULL]) AS hi, unnest([5, p_size, 12, 9]) AS score, unnest([0, 1, 2, 3]) AS k FROM crit JOIN part ON seq = p_partkey WHERE p_type = 'STANDARD') WHERE k < 3""")
+@R.query("k9_bands", f"""WITH {CRITERIA_SQL} SELECT seq, lo::DOUBLE AS lo, hi::DOUBLE AS hi, score::DOUBLE AS score FROM (SELECT seq, p_size, unnest([10, 20, 30, 20]) AS lo, unnest([20, NULL, NULL, NULL]) AS hi, unnest([5, p_size, 12, 9]) AS score, unnest([0, 1, 2, 3]) AS k FROM crit JOIN part ON seq = p_partkey WHERE p_type = 'STANDARD' AND p_size % 3 > 0) WHERE k < 3""")
 def _(t: Tables):
     return K.parsed_bands(criteria(t), ["seq"])
 
