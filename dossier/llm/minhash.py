@@ -1,4 +1,8 @@
-"""MinHash near-duplicates: one-permutation hashing, optimal densification, banded buckets, star-shaped candidates."""
+"""MinHash near-duplicates: one-permutation hashing, optimal densification, banded buckets, star-shaped candidates.
+
+Sets too small for bins and bands to be sure get exact bucket keys instead: the rarest shingles of a set, as many as
+any similar set must share one of.
+"""
 
 from __future__ import annotations
 
@@ -16,8 +20,12 @@ from dossier.llm.shingles import shingles, words
 
 #: Bins of the permutation, and rows of a band: 32 bands of 4 miss a pair of similarity 0.75 once in 200,000.
 BINS, ROWS = 128, 4
-#: A candidate whose signatures agree in fewer bins than this share is over four deviations from similarity 0.75.
-SCREEN = 0.58
+#: Sets of up to so many shingles have exact keys, no more than there are bands.
+EXACT = 124
+#: A candidate whose signatures agree in fewer bins than so many deviations below the similarity is no link.
+DEVIATIONS = 5
+#: Shingles of small sets for each counter of the table that tells the rare ones, and the most counters (a byte each).
+EACH, COUNTERS = 8, 1 << 22
 #: Members of a bucket that are compared with each other at once where stars leave more than one component.
 BLOCK = 4096
 #: Bytes of such blocks that one call handles, about.
@@ -42,20 +50,32 @@ def signature(hashes: np.ndarray, orders: np.ndarray) -> np.ndarray:
     return out
 
 
-def _features(size: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("class", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+def reach(percent: int) -> int:
+    """The largest set that can be similar to one of EXACT shingles."""
+    return EXACT * 100 // percent
+
+
+def screen(n: np.ndarray, percent: int) -> np.ndarray:
+    """The least share of equal bins of a pair whose smaller set has n shingles: DEVIATIONS below the similarity, by the bins filled."""
+    j = percent / 100
+    return j - DEVIATIONS * np.sqrt(j * (1 - j) / (BINS * (1 - np.exp(-np.maximum(n, 1) / BINS))))
+
+
+def _features(size: int, percent: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("class", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary()), ("small", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders, salt = _orders(), mix(np.arange(1, BINS // ROWS + 1, dtype=np.uint64))
+        orders, salt, most = _orders(), mix(np.arange(1, BINS // ROWS + 1, dtype=np.uint64)), reach(percent)
         for whole in batches:
             for batch in slices(whole, "text"):
                 hashes, at = words(batch.column("text"))
-                classes, counts, sigs = [], [], []
+                classes, counts, sigs, small = [], [], [], []
                 for a, b in zip(at[:-1], at[1:], strict=True):
                     got = shingles(hashes[a:b], size)
                     classes.append(hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() if b > a else None)
                     counts.append(len(got))
-                    sigs.append(signature(got, orders) if len(got) else None)
+                    sigs.append(signature(got, orders) if len(got) > EXACT else None)
+                    small.append(got.tobytes() if 0 < len(got) <= most else None)
                 full = [s for s in sigs if s is not None]
                 keys = iter(())
                 if full:
@@ -64,10 +84,51 @@ def _features(size: int):
                     for k in range(ROWS):
                         key = mix(key * np.uint64(0xD6E8FEB86659FD93) + m[:, :, k])
                     keys = iter(key.view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").cast(pa.int64()), pa.array(classes, pa.binary()), pa.array(counts, pa.int64()), pa.array([None if s is None else next(keys) for s in sigs], pa.list_(pa.int64())), pa.array([None if s is None else mix(s).astype(np.uint16).tobytes() for s in sigs], pa.binary())],
-                    schema=schema,
-                )
+                bands = pa.array([None if s is None else next(keys) for s in sigs], pa.list_(pa.int64()))
+                bins = pa.array([None if s is None else mix(s).astype(np.uint16).tobytes() for s in sigs], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(classes, pa.binary()), pa.array(counts, pa.int64()), bands, bins, pa.array(small, pa.binary())], schema=schema)
+
+    return run
+
+
+def _rarity(small: DataFrame) -> np.ndarray:
+    """How often shingles occur in the small sets, as steps of a logarithm in a table of counters by hash, of bounded size.
+
+    Any order of shingles gives exact keys; the rarer first, the fewer sets share a key.
+    """
+    total = small.agg(F.sum("n")).first()[0] or 0
+    slots = 1 << min(COUNTERS.bit_length() - 1, max(12, int(total // EACH).bit_length()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = np.frombuffer(b"".join(batch.column("small").to_pylist()), np.uint64)
+            slot, n = np.unique(got & np.uint64(slots - 1), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n)], names=["slot", "n"])
+
+    def pack(rows: pa.Table) -> pa.Table:
+        out, slot = np.zeros(4096, np.uint8), np.asarray(rows.column("slot"))
+        out[slot % 4096] = np.minimum(255, 8 * np.log2(1 + np.asarray(rows.column("n"))))
+        return pa.table({"chunk": pa.array([slot[0] // 4096], pa.int32()), "levels": pa.array([out.tobytes()], pa.binary())})
+
+    counts = small.select("small").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    levels = np.zeros(slots, np.uint8)
+    for row in counts.groupBy(F.expr("slot div 4096")).applyInArrow(pack, "chunk int, levels binary").collect():
+        levels[row["chunk"] * 4096 : (row["chunk"] + 1) * 4096] = np.frombuffer(row["levels"], np.uint8)
+    return levels
+
+
+def _prefixes(levels, percent: int):
+    """Exact keys of small sets: the first n - ceil(percent * n) + 1 shingles, rare ones first; two similar sets share one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            for raw in batch.column("small"):
+                got = np.frombuffer(raw.as_buffer(), np.uint64)
+                n = len(got)
+                order = np.lexsort((got, levels.value[(got & np.uint64(len(levels.value) - 1)).astype(np.int64)]))
+                keys.append(mix(got[order[: n - -(-percent * n // 100) + 1]]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "keys"])
 
     return run
 
@@ -105,16 +166,20 @@ def _linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
 
 
 def _screened(df: DataFrame, percent: int) -> DataFrame:
-    """Pairs a, b whose set sizes can reach the similarity and whose signatures agree often enough."""
+    """Pairs a, b whose set sizes can reach the similarity and, unless one is small, whose signatures agree often enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS) for c in ("sig_a", "sig_b"))
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array((p == q).mean(axis=1) >= SCREEN))
+            n = np.asarray(batch.column("n"))
+            keep, large = n <= EXACT, np.flatnonzero(n > EXACT)
+            if len(large):
+                p, q = (np.frombuffer(b"".join(batch.column(c).take(pa.array(large)).to_pylist()), np.uint16).reshape(-1, BINS) for c in ("sig_a", "sig_b"))
+                keep[large] = (p == q).mean(axis=1) >= screen(n[large], percent)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
-    sized = df.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    least = F.least("n_a", "n_b")
+    sized = df.where(100 * least >= percent * F.greatest("n_a", "n_b"))
+    return sized.select("a", "b", least.alias("n"), "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
 def _cells(cells: pa.Table) -> Iterator[tuple[np.ndarray, int]]:
@@ -133,13 +198,14 @@ def _cells(cells: pa.Table) -> Iterator[tuple[np.ndarray, int]]:
 def _met(cells: pa.Table, percent: int):
     """For each row of a cell that may be linked across components: the row, and the rows that pass size and signature."""
     n, component = (np.asarray(cells.column(x)).copy() for x in ("n", "component"))
-    sigs = np.frombuffer(b"".join(cells.column("sig").to_pylist()), np.uint16).reshape(-1, BINS)
+    sigs = np.frombuffer(b"".join(x or bytes(2 * BINS) for x in cells.column("sig").to_pylist()), np.uint16).reshape(-1, BINS)
     for rows, turn in _cells(cells):
         for k in range(turn or len(rows)):
             r, others = rows[k], rows[turn or k + 1 :]
             others = others[(component[others] != component[r]) & (100 * np.minimum(n[others], n[r]) >= percent * np.maximum(n[others], n[r]))]
             if len(others):
-                others = others[np.count_nonzero(sigs[others] == sigs[r], axis=1) >= SCREEN * BINS]
+                least = np.minimum(n[others], n[r])
+                others = others[(least <= EXACT) | (np.count_nonzero(sigs[others] == sigs[r], axis=1) >= BINS * screen(least, percent))]
                 if len(others):
                     yield rows, r, others, component
 
@@ -211,9 +277,11 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75) -> Dat
     """doc_id, n_shingles, component_id and kept of every document.
 
     Documents are linked when 100 * intersection >= percent * union of their sets of `size`-word shingles.
-    Equal word sequences form a class first, and only its smallest doc_id goes on. Each band bucket links its
-    members to two hubs (stars), so a bucket of m yields less than 2 m candidates; the survivors of a
-    signature screen are confirmed on full sets. Where a star leaves several components in a bucket, members of
+    Equal word sequences form a class first, and only its smallest doc_id goes on. Large sets are dealt to the buckets of
+    their bands, sets of up to EXACT shingles (and those that can be similar to one) to those of their rarest shingles,
+    so no link of theirs is missed; a link of larger sets is missed by all bands once in 200,000. Each bucket links its
+    members to two hubs (stars), so a bucket of m yields less than 2 m candidates; candidates are confirmed on full
+    sets, large ones where their signatures let them. Where a star leaves several components in a bucket, members of
     different ones are compared in blocks, by signature and then on full sets, so no link between components is lost;
     blocks are bounded on both sides, and two blocks of one same component never meet.
 
@@ -222,13 +290,16 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75) -> Dat
     other columns are ignored; no rows give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = checkpointed(docs.mapInArrow(_features(size), "doc_id long, class binary, n long, bands array<long>, sig binary"))
-    first = seen.where("class is not null and doc_id is not null").groupBy("class").agg(F.min(F.struct("doc_id", "n", "bands", "sig")).alias("r"))
+    seen = checkpointed(docs.mapInArrow(_features(size, percent), "doc_id long, class binary, n long, bands array<long>, sig binary, small binary"))
+    first = seen.where("class is not null and doc_id is not null").groupBy("class").agg(F.min(F.struct("doc_id", "n", "bands", "sig", "small")).alias("r"))
     reps = checkpointed(first.select("class", "r.*"))
+    small = reps.where("small is not null")
+    levels = docs.sparkSession.sparkContext.broadcast(_rarity(small))
+    exact = small.select("doc_id", "small").mapInArrow(_prefixes(levels, percent), "doc_id long, keys array<long>")
 
     # Stars: the buckets with company, two hubs of each (the smallest member, and the least by a hash), and everyone
     # else's candidate edges to them.
-    rows = reps.select("doc_id", F.explode("bands").alias("key"))
+    rows = reps.select("doc_id", F.explode("bands").alias("key")).unionByName(exact.select("doc_id", F.explode("keys").alias("key")))
     second = F.min(F.struct(F.xxhash64("doc_id"), "doc_id"))["doc_id"]
     hubs = rows.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("other"), second.alias("second")).where("hub <> other").select("key", "hub", "second")
     company = checkpointed(rows.join(hubs, "key").select("key", "hub", "second", "doc_id"))
@@ -251,7 +322,12 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75) -> Dat
     sets = docs.join(likely.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id long, shingles binary")
     full = likely.join(sets.withColumnRenamed("doc_id", "id"), "id").select(unit(likely.agg(F.sum(300 + 8 * F.col("n"))).first()[0]), *likely.columns, "shingles")
     more = full.groupBy("unit").applyInArrow(_across(percent), "a long, b long")
-    found = components(links.unionByName(more))
+    # The links that were missing join components, so these alone are joined again.
+    label = lambda x: found.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}"))
+    joined = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    again = components(joined)
+    renamed = found.join(again.select(F.col("id").alias("component"), F.col("component").alias("least")), "component", "left").select("id", F.coalesce("least", "component").alias("component"))
+    found = renamed.unionByName(again.join(found, "id", "left_anti").select("id", "component"))
 
     named = reps.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("class", F.coalesce("component", "doc_id").alias("component"))
     got = seen.select("doc_id", "class", "n").join(named, "class", "left")
@@ -261,3 +337,15 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75) -> Dat
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+ORACLE = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b FROM e x JOIN e y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id HAVING 100 * count(*) >= 75 * (any_value(x.n) + any_value(y.n) - count(*))),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, o.b FROM r JOIN o ON r.reached = o.a),
+c AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, len(sh)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
+"""

@@ -166,3 +166,35 @@ def test_wide_buckets_find_links_between_crowds(spark, monkeypatch):
     small = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(rows).collect()}
     monkeypatch.undo()
     assert small == {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(rows).collect()}
+
+
+def test_links_of_short_texts_at_exactly_the_similarity_are_all_found(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for k in range(2000):
+        m = 1 + k % 9
+        if k % 2:  # both ends differ: 6 of 8 parts are shared
+            base = [f"v{x}" for x in rng.integers(0, 1 << 40, 7 * m + 4)]
+            texts += [" ".join(base), " ".join(base[:-m] + [f"u{x}" for x in rng.integers(0, 1 << 40, m)])]
+        else:  # one set holds the other: 3 of 4 parts
+            base = [f"v{x}" for x in rng.integers(0, 1 << 40, 4 * m + 4)]
+            texts += [" ".join(base), " ".join(base[: 3 * m + 4])]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    assert got == {k: k - k % 2 for k in range(len(texts))}
+
+
+@pytest.mark.parametrize("size", [3, 20, 90, 124])
+def test_similar_sets_share_an_exact_key(size):
+    class levels:
+        value = np.random.default_rng(2).integers(0, 9, 4096).astype(np.uint8)
+
+    rng = np.random.default_rng(size)
+    for _ in range(300):
+        x = np.unique(rng.integers(0, 1 << 60, size).astype(np.uint64))
+        most = len(x) // 4
+        y = np.unique(np.r_[rng.permutation(x)[rng.integers(0, most + 1) :], rng.integers(0, 1 << 60, rng.integers(0, most + 1)).astype(np.uint64)])
+        both = len(np.intersect1d(x, y))
+        if 100 * both >= 75 * (len(x) + len(y) - both):
+            batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([x.tobytes(), y.tobytes()], pa.binary())], names=["doc_id", "small"])
+            p, q = next(minhash._prefixes(levels, 75)(iter([batch]))).column("keys").to_pylist()
+            assert set(p) & set(q)
