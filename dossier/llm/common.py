@@ -20,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, in local mode, one of our own where it is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="dossier-checkpoint-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="dossier-checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -38,14 +41,16 @@ def bucket_of_id(col: str, mod: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % mod
 
 
-def smallest(rows: DataFrame, kind: str, order: list[str], n: int, salts: int = 64) -> DataFrame:
-    """The n rows of each kind that come first by `order`, whose first column is a hash.
+def smallest(rows: DataFrame, kind: str, order: list[str], n: int) -> DataFrame:
+    """The n rows of each kind that come first by `order`, whose first column is a 64-bit hash, with their `place`.
 
-    Runs of a kind are cut to n rows each before they meet, so one large kind is the work of `salts` tasks.
+    A kind's rows are counted first, and only those under a share of the hashes that holds about 4 n of them are
+    ranked, so no task sees more of a kind, however large it is.
     """
-    rank = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(*order))
-    salted = rows.withColumn("_salt", F.pmod(F.col(order[0]), F.lit(salts))).withColumn("_k", rank(kind, "_salt")).where(F.col("_k") <= n)
-    return salted.withColumn("_k", rank(kind)).where(F.col("_k") <= n).drop("_salt", "_k")
+    sizes = rows.groupBy(kind).agg(F.count("*").alias("_n")).withColumnRenamed(kind, "_kind")
+    least = rows.join(sizes, F.col(kind) == F.col("_kind")).where(F.col(order[0]).cast("double") <= F.lit(2.0**64) * (F.lit(4.0 * n + 100) / F.col("_n")) - 2.0**63)
+    ranked = least.withColumn("place", F.row_number().over(W.partitionBy(kind).orderBy(*order)))
+    return ranked.where(F.col("place") <= n).drop("_kind", "_n")
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

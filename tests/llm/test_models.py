@@ -80,7 +80,7 @@ def test_labels_of_held_out_rows_change_nothing(spark):
 
 def test_toxicity_edges(spark):
     frame = planted(spark, 400)
-    odd = spark.createDataFrame([(9000, None), (9001, ""), (9002, "vile " * 40_000), (9003, "c1"), (9003, "c1"), (None, "c1 c2")], "doc_id long, text string")
+    odd = spark.createDataFrame([(9000, None), (9001, ""), (9002, "c1 vile c2 foul " * 15_000), (9003, "c1"), (9003, "c1"), (None, "c1 c2")], "doc_id long, text string")
     labels = frame.select("doc_id", "toxic").unionByName(spark.createDataFrame([(0, None), (1, 7), (None, 1), (4, 0)], "doc_id long, toxic int"))
     got = [tuple(r) for r in toxicity.toxicity(frame.select("doc_id", "text").unionByName(odd).withColumn("score", F.lit("x")), labels).collect()]
     assert len(got) == 406 and all(0 <= r[2] <= 1 for r in got)
@@ -89,12 +89,86 @@ def test_toxicity_edges(spark):
     assert toxicity.toxicity(frame.limit(0), labels).count() == 0
 
 
-def test_a_large_class_is_sampled_in_many_tasks(spark, monkeypatch):
+def test_the_sample_of_a_class_is_its_smallest_hashes(spark):
     rows = spark.range(3000).select("id", F.when(F.col("id") < 2900, "en").otherwise("de").alias("lang"), F.xxhash64("id").alias("h"))
     order = sorted(rows.collect(), key=lambda r: (r["h"], r["id"]))
-    for n in (7, 200):
+    for n in (7, 200, 5000):
         expected = [r["id"] for k in ("en", "de") for r in [r for r in order if r["lang"] == k][:n]]
         assert sorted(r["id"] for r in smallest(rows, "lang", ["h", "id"], n).collect()) == sorted(expected)
-    labels = spark.range(10_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("toxic"))
-    plan = toxicity._sample(labels.select("doc_id", F.lit("a").alias("text")), labels)._jdf.queryExecution().toString()
-    assert "hashpartitioning(toxic" in plan and "_salt" in plan
+    # Only those under a share of the hashes that holds about four times the rows asked for are ranked.
+    ranked = smallest(spark.range(200_000).select("id", F.lit("en").alias("lang"), F.xxhash64("id").alias("h")), "lang", ["h", "id"], 100)
+    assert "Filter" in ranked._jdf.queryExecution().toString() and ranked.count() == 100
+
+
+def brute_kneser_ney(texts):
+    """P(symbol | three before it) for each class by dictionaries: {class: function}, and the alphabet with one unknown."""
+    n = toxicity.ORDER
+    grams = {c: [g for t in of for g in spelled(t)] for c, of in texts.items()}
+    kinds = {n: set(grams[0]) | set(grams[1])}
+    for k in range(n - 1, 0, -1):
+        kinds[k] = {g[1:] for g in kinds[k + 1]}
+    alphabet = {g[-1] for g in kinds[1]}
+    before = {k: {} for k in range(1, n)}
+    for k in range(1, n):
+        for g in kinds[k + 1]:
+            before[k][g[1:]] = before[k].get(g[1:], 0) + 1
+
+    def shared(w, h):
+        k = len(h) + 1
+        lower = shared(w, h[1:]) if h else 1 / (len(alphabet) + 1)
+        of = {g: c for g, c in before[k].items() if g[:-1] == h}
+        if not of:
+            return lower
+        d = toxicity.SHARED_DISCOUNT
+        return (max(of.get(h + (w,), 0) - d, 0) + d * len(of) * lower) / sum(of.values())
+
+    def own(c):
+        def p(w, h):
+            of = [g for g in grams[c] if g[:-1] == h]
+            lower = shared(w, h[1:])
+            return lower if not of else (max(of.count(h + (w,)) - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(set(of)) * lower) / len(of)
+
+        return p
+
+    return {c: own(c) for c in (0, 1)}, alphabet | {"?"}
+
+
+def spelled(text):
+    """4-grams of a text as tuples, a gap as a space."""
+    words = "".join(x if x.isalnum() else " " for x in text.lower()).split()
+    flat = "   " + "".join(w + " " for w in words)
+    return [tuple(flat[i - 3 : i + 1]) for i in range(3, len(flat))]
+
+
+def test_kneser_ney_equals_brute_force_and_sums_to_one():
+    texts = {1: ["you vile cur, vile!", "a vile day"], 0: ["a fine day", "the day was fine and the cur lay", "You, a cur"]}
+    of = {c: np.concatenate([toxicity.grams(pa.array([t]))[0] for t in ts]) for c, ts in texts.items()}
+    gram = np.unique(np.concatenate([of[0], of[1]]))
+    fitted = toxicity.model(gram, *(np.array([(of[c] == g).sum() for g in gram]) for c in (1, 0)))
+    p, alphabet = brute_kneser_ney(texts)
+    contexts = {g[:-1] for c in texts for t in texts[c] for g in spelled(t)}
+    for c in (0, 1):
+        for h in contexts | {("z", "z", "z")}:
+            assert abs(sum(p[c](w, h) for w in alphabet) - 1) < 1e-9
+    # Seen n-grams, unseen ones of seen contexts, and unseen contexts.
+    text = "the vile day was a fine vice, zzzz"
+    keys, ends, owner = toxicity.grams(pa.array([text]))
+    assert np.allclose(fitted.ratios(keys), [np.log(p[1](g[-1], g[:-1]) / p[0](g[-1], g[:-1])) for g in spelled(text)])
+    assert len(ends) == 8 and set(owner) == {0}
+
+
+def test_hash_tables_hold_what_they_are_given():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64))
+    values = rng.normal(size=len(keys))
+    table = toxicity.Table(keys, values)
+    got, missing = table.get(np.r_[keys, keys + np.uint64(1)])
+    assert (got[: len(keys)] == values).all() and not missing[: len(keys)].any() and missing[len(keys) :].sum() >= len(keys) - 5
+    assert toxicity.Table(np.zeros(0, np.uint64), np.zeros(0)).get(keys)[1].all()
+
+
+def test_grams_of_texts_do_not_meet():
+    both, ends, owner = toxicity.grams(pa.array(["Ab, c", None, "!", "ab c"]))
+    assert len(ends) == 4 and owner.tolist() == [0, 0, 3, 3]
+    assert both[: ends[1] + 1].tolist() == both[ends[1] + 1 :].tolist()
+    assert toxicity.grams(pa.array([], pa.string()))[0].tolist() == []
