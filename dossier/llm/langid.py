@@ -13,16 +13,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from dossier.llm.common import bucket_of_id, mix, slices, smallest, table
+from dossier.llm.common import bucket_of_id, checkpointed, mix, slices, smallest, table
 
 #: Labelled rows of each language that the filters are filled from, the smallest by a hash of their id.
 SAMPLE = 2000
 #: Lengths of the n-grams; their inner characters are letters, their ends letters or a gap.
 SIZES = (3, 4)
-#: A language holds an n-gram that it uses at least this share as often as the language that uses it most.
+#: A language contains an n-gram that it uses at least this share as often as the language that uses it most; what is rarer
+#: there is foreign: names, quotations and texts in another language.
 SHARE = 0.125
-#: Slots for each n-gram of the largest language, and probes of each n-gram.
-SLOTS, PROBES = 16, 3
+#: Slots for each n-gram of the largest language, probes of each n-gram, and the most slots: beyond them filters are fuller, and
+#: what they wrongly hold is measured and corrected for.
+SLOTS, PROBES, MOST = 16, 3, 1 << 23
+#: Slots that one task fills.
+CHUNK = 1 << 14
 UNDETERMINED = "und"
 
 
@@ -66,29 +70,44 @@ def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(owners), has
 
 
+def _positions(hashes: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """The slot of each probe of n-grams in a filter of `size` slots, a power of two."""
+    at, step = hashes, (hashes >> np.uint64(32)) | np.uint64(1)
+    for _ in range(PROBES):
+        yield (at & np.uint64(size - 1)).astype(np.int64)
+        at = at + step
+
+
+def _kind(languages: int) -> type:
+    """The least integer with a bit for each language, of 64 bits for more than as many."""
+    return next(k for n, k in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (1 << 62, np.uint64)) if languages <= n)
+
+
 @dataclass
 class Filters:
-    """One Bloom filter for each language, sliced: slots[i] holds bit i of every language's filter side by side."""
+    """One Bloom filter for each language, sliced: slots[i] holds bit i of every language's filter side by side, 64 to a word."""
 
     languages: list[str]
     slots: np.ndarray
     wrong: np.ndarray
 
+    def bit(self, words: np.ndarray, i: int) -> np.ndarray:
+        """Language i's bit of rows of slots."""
+        return (words[:, i // 64] >> words.dtype.type(i % 64)) & words.dtype.type(1)
+
     def holders(self, hashes: np.ndarray) -> np.ndarray:
-        """The languages that hold each n-gram, as rows of 64-bit masks."""
-        size = np.uint64(len(self.slots) - 1)
-        at, step = hashes, (hashes >> np.uint64(32)) | np.uint64(1)
-        out = self.slots[(at & size).astype(np.int64)]
-        for _ in range(PROBES - 1):
-            at = at + step
-            out = out & self.slots[(at & size).astype(np.int64)]
+        """The languages that hold each n-gram, as rows of masks."""
+        first, *more = _positions(hashes, len(self.slots))
+        out = self.slots[first]
+        for at in more:
+            out &= self.slots[at]
         return out
 
     def decide(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         hashes, owner, has = ngrams(texts)
         masks = self.holders(hashes)
         n = np.bincount(owner, minlength=len(has)).astype(float)
-        hits = np.stack([np.bincount(owner, (masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1), minlength=len(has)) for i in range(len(self.languages))])
+        hits = np.stack([np.bincount(owner, self.bit(masks, i), minlength=len(has)) for i in range(len(self.languages))])
         hits = np.maximum(0, (hits - n * self.wrong[:, None]) / np.maximum(1 - self.wrong[:, None], 1e-9))
         best = hits.argmax(axis=0)
         share = np.where(has, hits[best, np.arange(len(has))] / np.maximum(n, 1), 0.0)
@@ -96,12 +115,17 @@ class Filters:
 
 
 def fit(docs: DataFrame) -> Filters | None:
-    """Filters from the labelled rows of docs; None where there is no labelled row with an n-gram."""
+    """Filters of the n-grams that each language contains; None where there is no labelled row with an n-gram.
+
+    A language contains an n-gram of its sampled rows if its share of the language's n-grams is at least SHARE times the
+    largest share that it has in any language. With SHARE 0 all n-grams count, and the filters all fill with the same ones.
+    Tasks fill the filters a chunk of slots each; the driver gets the filters alone, MOST slots at most.
+    """
     rows = docs.where(F.col("lang").isNotNull() & (F.coalesce(bucket_of_id("doc_id", 4), F.lit(0)) != 2)).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     ids = smallest(rows, "lang", ["h", "doc_id"], SAMPLE).select("doc_id", "lang")
     sample = docs.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 1 << 19):
                 hashes, owner, _ = ngrams(batch.column("text"))
@@ -112,23 +136,37 @@ def fit(docs: DataFrame) -> Filters | None:
                     gram, n = np.unique(hashes[of == k], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    counts = sample.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    shares = counts.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy("lang")))
-    top = F.max("p").over(W.partitionBy("gram"))
-    held = shares.withColumn("top", top).where((F.col("p") >= SHARE * F.col("top")) & ((F.col("n") > 1) | (F.col("p") > 1e-5))).select("lang", "gram").toPandas()
-    if held.empty:
+    counts = checkpointed(sample.select("text", "lang").mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    shares = counts.join(totals, "lang").withColumn("p", F.col("n") / F.col("total"))
+    held = checkpointed(shares.withColumn("top", F.max("p").over(W.partitionBy("gram"))).where(F.col("p") >= SHARE * F.col("top")).select("lang", "gram"))
+    sizes = {r["lang"]: r["count"] for r in held.groupBy("lang").count().collect()}
+    if not sizes:
         return None
-    languages = sorted(held["lang"].unique())
-    size = 1 << int(SLOTS * held["lang"].value_counts().max() - 1).bit_length()
-    slots = np.zeros((size, (len(languages) + 63) // 64), np.uint64)
-    for i, name in enumerate(languages):
-        at = held["gram"][held["lang"] == name].to_numpy().view(np.uint64)
-        step = (at >> np.uint64(32)) | np.uint64(1)
-        for _ in range(PROBES):
-            slots[(at & np.uint64(size - 1)).astype(np.int64), i // 64] |= np.uint64(1 << i % 64)
-            at = at + step
-    fill = np.array([((slots[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(languages))])
-    return Filters(languages, slots, fill**PROBES)
+    languages = sorted(sizes)
+    size = min(MOST, 1 << int(SLOTS * max(sizes.values()) - 1).bit_length())
+    kind, chunk, width = _kind(len(languages)), min(CHUNK, size), (len(languages) + 63) // 64
+
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gram, of = np.asarray(batch.column("gram")).view(np.uint64), np.searchsorted(languages, batch.column("lang").to_pylist())
+            mask = np.left_shift(np.uint64(1), (of % 64).astype(np.uint64)).view(np.int64)
+            for at in _positions(gram, size):
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(of // 64), pa.array(mask)], names=["slot", "word", "mask"])
+
+    def filled(part: pa.Table) -> pa.Table:
+        slot, word, mask = (np.asarray(part.column(x)) for x in ("slot", "word", "mask"))
+        out = np.zeros((chunk, width), np.uint64)
+        out[slot % chunk, word] = mask.view(np.uint64)
+        return pa.table({"chunk": pa.array([slot[0] // chunk]), "slots": pa.array([out.astype(kind).tobytes()], pa.binary())})
+
+    bits = held.mapInArrow(probes, "slot long, word long, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask"))
+    slots = np.zeros((size, width), kind)
+    for row in bits.groupBy(F.expr(f"slot div {chunk}")).applyInArrow(filled, "chunk long, slots binary").toLocalIterator():
+        slots[row["chunk"] * chunk : (row["chunk"] + 1) * chunk] = np.frombuffer(row["slots"], kind).reshape(chunk, width)
+    out = Filters(languages, slots, np.zeros(len(languages)))
+    out.wrong = np.array([out.bit(slots, i).mean() for i in range(len(languages))]) ** PROBES
+    return out
 
 
 def identified(docs: DataFrame, filters: Filters | None) -> DataFrame:

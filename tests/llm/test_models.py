@@ -1,5 +1,7 @@
 """Language ID and toxicity: held-out accuracy, and edges."""
 
+import collections
+
 import numpy as np
 import pyarrow as pa
 
@@ -16,19 +18,34 @@ def test_held_out_languages(spark):
     assert len(got) > 150 and np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.98
 
 
-def test_bit_slices_are_bloom_filters():
+def test_filters_hold_all_ngrams_and_the_decision_counts_them(spark, monkeypatch):
+    monkeypatch.setattr(langid, "CHUNK", 64)
     rng = np.random.default_rng(0)
-    known = rng.integers(0, 1 << 63, (70, 50)).astype(np.uint64)
-    size = 1 << 12
-    slots = np.zeros((size, 2), np.uint64)
-    f = langid.Filters([f"l{i:02d}" for i in range(70)], slots, np.zeros(70))
-    for i, grams in enumerate(known):
-        at, step = grams, (grams >> np.uint64(32)) | np.uint64(1)
-        for _ in range(langid.PROBES):
-            slots[(at & np.uint64(size - 1)).astype(np.int64), i // 64] |= np.uint64(1 << i % 64)
-            at = at + step
-    for i, grams in enumerate(known):
-        assert ((f.holders(grams)[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).all()
+    letters = {f"l{i:02d}": [chr(0x4E00 + 20 * i + k) for k in range(4)] + list("a") for i in range(70)}
+    rows = [(40 * i + k, "".join(rng.choice(letters[name], 200)), name) for i, name in enumerate(letters) for k in range(6)]
+    filters = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert filters.languages == list(letters) and filters.slots.shape[1] == 2
+    counts = {name: collections.Counter() for name in letters}
+    for r in spark.createDataFrame(rows, "doc_id long, text string, lang string").where(F.coalesce(bucket_of_id("doc_id", 4), F.lit(0)) != 2).collect():
+        counts[r["lang"]].update(langid.ngrams(pa.array([r["text"]]))[0].tolist())
+    share = {name: {g: n / sum(c.values()) for g, n in c.items()} for name, c in counts.items()}
+    top = collections.Counter()
+    for c in share.values():
+        for g, p in c.items():
+            top[g] = max(top[g], p)
+    held = {name: {g for g, p in c.items() if p >= langid.SHARE * top[g]} for name, c in share.items()}
+    for i, name in enumerate(filters.languages):
+        grams = np.array(sorted(held[name]), np.uint64)
+        assert filters.bit(filters.holders(grams), i).all()
+        others = np.array(sorted(set(top) - held[name]), np.uint64)
+        assert abs(filters.bit(filters.holders(others), i).mean() - filters.wrong[i]) < 0.02
+    # A plain count of contained n-grams decides the same.
+    texts = ["".join(rng.choice(letters[name], 200)) for name in letters]
+    names, score = filters.decide(pa.array(texts))
+    for k, text in enumerate(texts):
+        grams = langid.ngrams(pa.array([text]))[0].tolist()
+        plain = {name: np.mean([g in held[name] for g in grams]) for name in letters}
+        assert names[k] == max(plain, key=plain.get) and abs(score[k] - max(plain.values())) < 0.02
 
 
 def test_ngrams_stay_inside_texts_and_words():
