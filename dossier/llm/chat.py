@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm.common import table
+from dossier.llm.common import slices, table
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 ASSISTANT = "assistant"
-#: Characters of examples that a task hands on at once.
-FLUSH = 4 << 20
+#: Characters of examples, and digests, that a task hands on at once.
+FLUSH, ROWS = 4 << 20, 10_000
 EXAMPLES = "conv_id long, example long, target boolean, text string, loss_start long, loss_end long"
 
 
@@ -97,7 +97,7 @@ def _turns(text: str) -> list[tuple[str, str]]:
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each example, what the ones before it lack: the turns after the last reply before its target, and its loss text."""
     mark = OPEN + ASSISTANT + "\n"
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "text")):
         out = []
         for c, number, target, text, a, b in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             before = text.rfind(mark, 0, a - len(mark) if target else len(text))
@@ -118,11 +118,16 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, turns, chars, loss, total = state
             out.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), total))
 
-    for batch in batches:
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+    made = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names=names)
+    for batch in (part for whole in batches for part in slices(whole, "loss")):
         for c, roles, texts, loss, chars in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "roles", "texts", "loss", "chars")), strict=True):
             if c != conv:
                 close()
                 conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                if len(out) >= ROWS:
+                    yield made()
+                    out.clear()
             for role, text in zip(roles, texts, strict=True):
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
@@ -130,7 +135,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             state[3].update(loss.encode())
             state[4] += chars
     close()
-    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 6, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=names)
+    yield made()
 
 
 def read_back(expanded: DataFrame) -> DataFrame:

@@ -39,15 +39,16 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record in a gzip member of its own; a revisit has the HTTP head alone."""
+def record(page_id: int | None, url: str | None, digest: str, size: int, payload: bytes | None, refers_to: int | None) -> bytes:
+    """One WARC/1.1 record in a gzip member of its own; a revisit (payload None) has the HTTP head alone."""
     name = lambda i: f"<urn:page:{'' if i is None else i}>"
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    revisit = payload is None
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     body = http if revisit else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
-    head.append(f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}")
+    head.append(f"WARC-Payload-Digest: sha1:{digest}")
     if revisit:
         head += [f"WARC-Profile: {SAME}", f"WARC-Refers-To: {name(refers_to)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
@@ -80,9 +81,9 @@ def _write(part_bytes: int):
             return got
 
         for batch in batches:
-            for page, url, html, refers, again in zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to", "revisit")), strict=True):
-                page, url = page.as_py(), url.as_py()
-                member = record(page, url, (html.as_py() or "").encode(), refers.as_py(), again.as_py())
+            for row in zip(*(batch.column(c) for c in ("page_id", "url", "digest", "size", "html", "refers_to")), strict=True):
+                page, url, digest, length, html, refers = (x.as_py() for x in row)
+                member = record(page, url, base64.b32encode(digest).decode(), length, None if html is None else html.encode(), refers)
                 entries.append({"key": surt(url), "page_id": page, "at": size, "length": len(member)})
                 members.append(member)
                 size += len(member)
@@ -97,15 +98,21 @@ def _write(part_bytes: int):
 def archives(pages: DataFrame, *, least: int = 0, part_bytes: int = PART) -> DataFrame:
     """archive, part, content, entries: gzip members that, joined by part, are the files archive; entries tell their places.
 
-    Of pages with equal html in UTF-8 (null: empty) of at least `least` bytes, the one with the largest page_id is a response
-    and the others revisit it; shorter ones are responses. A null page_id counts as the smallest.
+    Of pages with equal html in UTF-8 (null: empty) of at least `least` bytes, the one with the largest page_id (then
+    url; nulls are the smallest) is a response and the others revisit it, rows that repeat it included; shorter ones
+    are responses. Only responses carry html into the shuffle, one for each payload and task; revisits are found by digest.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    pages = pages.withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary"))))
-    groups = pages.where(F.octet_length("html") >= least).groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").select("digest", "top")
-    joined = pages.join(groups, "digest", "left")
-    revisit = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top")) & (F.octet_length("html") >= least)
-    return joined.select("page_id", "url", "html", F.when(revisit, F.col("top")).alias("refers_to"), revisit.alias("revisit")).mapInArrow(_write(part_bytes), f"archive string, part long, content binary, entries array<{ENTRY}>")
+    pages = pages.withColumns({"digest": F.unhex(F.sha1(F.col("html").cast("binary"))), "size": F.octet_length("html").cast("long")})
+    shared, none = pages.where(F.col("size") >= least), F.lit(None).cast("long").alias("refers_to")
+    first = shared.groupBy("digest").agg(F.max(F.struct("page_id", "url", "html", "size")).alias("r"))
+    responses = first.select("r.page_id", "r.url", "digest", "r.size", "r.html", none).unionByName(pages.where(F.col("size") < least).select("page_id", "url", "digest", "size", "html", none))
+    thin = shared.groupBy("digest", "page_id", "url", "size").agg(F.count("*").alias("n"))
+    top = thin.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("top"), F.sum("n").alias("all")).where(F.col("all") > 1)
+    own = F.struct("page_id", "url").eqNullSafe(F.col("top")).cast("int")
+    again = thin.join(top, "digest").select("page_id", "url", "digest", "size", F.lit(None).cast("string").alias("html"), F.col("top.page_id").alias("refers_to"), (F.col("n") - own).alias("n"))
+    revisits = again.where("n > 0").withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n", "_")
+    return responses.unionByName(revisits).mapInArrow(_write(part_bytes), f"archive string, part long, content binary, entries array<{ENTRY}>")
 
 
 def _blocks(lines_each: int):
@@ -224,15 +231,16 @@ def _read(places: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
 
 
 def read_captures(places: DataFrame, written: DataFrame) -> DataFrame:
-    """page_id, record_type, refers_to, payload_bytes, payload_digest of captures.
+    """page_id, record_type, refers_to, payload_bytes, payload_digest of captures, one row each.
 
-    The last two are worked out from a response's payload; a revisit takes them from its response where that is among
-    the places, else from its own headers.
+    The last two are worked out from a response's payload; a revisit takes them from the response of its digest to
+    which it refers where that is among the places, else from its own headers.
     """
     kind = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string"
     got = checkpointed(places.groupBy("archive", "part").cogroup(written.select("archive", "part", "content").groupBy("archive", "part")).applyInPandas(_read, kind))
-    full = got.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d")).distinct()
-    again = got.where("record_type = 'revisit'").join(full, "refers_to", "left").select("page_id", F.coalesce("b", "payload_bytes").alias("payload_bytes"), F.coalesce("d", "payload_digest").alias("payload_digest"), "record_type", "refers_to")
+    full = got.where("record_type = 'response'").groupBy(F.col("page_id").alias("id"), F.col("payload_digest").alias("d")).agg(F.max("payload_bytes").alias("b"))
+    again = got.where("record_type = 'revisit'").join(full, F.col("refers_to").eqNullSafe(F.col("id")) & (F.col("payload_digest") == F.col("d")), "left")
+    again = again.select("page_id", F.coalesce("b", "payload_bytes").alias("payload_bytes"), F.coalesce("d", "payload_digest").alias("payload_digest"), "record_type", "refers_to")
     return got.where("record_type = 'response'").select(again.columns).unionByName(again)
 
 

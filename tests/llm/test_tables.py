@@ -23,18 +23,35 @@ def test_search_prunes_nothing_that_counts(monkeypatch):
         for chunk, dense in ((64, 0.05), (500, 2.0), (100, -1.0)):
             monkeypatch.setattr(topk, "CHUNK", chunk)
             monkeypatch.setattr(topk, "DENSE", dense)
-            q, v, s = topk.search(c[:20], c, ids[:20], ids, 5)
-            for i in range(20):
-                best = sorted(((-float(c[i] @ c[j]), ids[j]) for j in range(500) if ids[j] != ids[i]))[:5]
-                assert [(-x, n) for x, n in zip(s[q == ids[i]], v[q == ids[i]], strict=True)] == best
-
-
-def test_top_k_edges(spark, monkeypatch):
-    monkeypatch.setattr(topk, "CANDIDATES", 3)
-    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (50, [0.5, 0.5]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (None, [9.0, 9.0]), (100, [1.0]), (-50, [0.001, -0.001])]
-    got = sorted(map(tuple, topk.top_k(spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, score string")).collect()))
-    assert [(q, r, v) for q, r, v, _ in got] == [(-50, 1, 0), (-50, 2, 50), (-50, 3, 1), (-50, 4, 2), (0, 1, 1), (0, 2, 2), (0, 3, 50), (0, 4, -50), (50, 1, 1), (50, 2, 2), (50, 3, 0), (50, 4, -50)]
-    assert next(s for q, r, v, s in got if (q, v) == (50, -50)) == -128
+            best = [sorted(((-float(c[i] @ c[j]), ids[j]) for j in range(500) if ids[j] != ids[i]))[:5] for i in range(20)]
+            for least in (None, np.array([-b[-1][0] for b in best])):
+                q, v, s = topk.search(c[:20], c, ids[:20], ids, ids, 5, least)
+                for i in range(20):
+                    assert [(-x, n) for x, n in zip(s[q == ids[i]], v[q == ids[i]], strict=True)] == best[i]
+
+
+def brute_top_k(rows, k=5):
+    """Each query row's k best others, in Python's integers."""
+    from fractions import Fraction
+    from math import floor
+
+    ok = [(i, [floor(256 * Fraction(x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for a, (q, x) in enumerate(ok):
+        if q % 50 == 0:
+            scores = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(p * r for p, r in zip(x, y)))), i) for b, (i, y) in enumerate(ok) if b != a and len(y) == len(x))[:k]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("candidates", [3, 4096])
+def test_top_k_edges(spark, monkeypatch, candidates):
+    monkeypatch.setattr(topk, "CANDIDATES", candidates)
+    rng = np.random.default_rng(3)
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 2.0]), (50, [0.5, 0.5]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (None, [9.0, 9.0]), (100, [1.0]), (-50, [0.001, -0.001]), (6, []), (50, [0.5, 0.5])]
+    rows += [(7, [1e300, -1e300]), (8, [3e15, 1.25]), (150, [1e308, 0.1]), (200, [2.0**40 + 0.5, -3.0]), (9, [-(2.0**41), 7.0])] + [(int(i), rng.normal(size=2).tolist()) for i in rng.integers(0, 120, 60)]
+    got = sorted(map(tuple, topk.top_k(spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, score string").repartition(3)).collect()))
+    assert got == brute_top_k(rows)
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
@@ -68,13 +85,30 @@ def test_rules_nest_and_the_longest_wins(spark):
     urls = {"http://net/": "net/", "https://EXAMPLE.net/en/1": "example.net/en/", "http://b.a.example.net/en/x/1?q": "a.example.net/en/x/", "http://notexample.net/en/": "net/", "http://net": None, "http://example.network/en/": None, "nothing": None, None: None, "http://x.net/en/#a://b": "net/", "http:///p": "/"}
     frame = spark.createDataFrame([(i, u, "own", "own") for i, u in enumerate(urls)], "page_id long, url string, rule string, key string")
     table = spark.createDataFrame(rules, "host string, path string, verdict string")
-    got = {r["url"]: r for r in url_rules.judged(frame.repartition(3), table, buckets=3).collect()}
+    got = {r["url"]: r for r in url_rules.judged(frame.repartition(3), table, points=3).collect()}
     assert {u: r["rule"] for u, r in got.items() if u not in ("nothing", None)} == {u: r for u, r in urls.items() if u not in ("nothing", None)}
     assert {r["key"] for r in got.values()} == {"own"} and got["http://net"]["verdict"] == "allow" and got["http://net/"]["verdict"] == "block"
     assert url_rules.judged(frame.limit(0), table).count() == 0
     assert {r["verdict"] for r in url_rules.judged(frame, table.limit(0)).collect()} == {"allow"}
 
 
+@pytest.mark.parametrize("run", [3, 4096])
+def test_many_rules_equal_a_plain_search(spark, run):
+    rng = np.random.default_rng(run)
+    label = lambda: "abé\U0010ffff"[rng.integers(0, 4)]
+    hosts = lambda: ".".join(label() for _ in range(rng.integers(1, 4)))
+    paths = lambda: "/" + "".join("ab/"[rng.integers(0, 3)] for _ in range(rng.integers(0, 5)))
+    rules = {(hosts(), paths() if rng.random() < 0.7 else ""): ("block", "allow")[rng.integers(0, 2)] for _ in range(120)}
+    urls = [f"http://{hosts()}{paths()}?q" for _ in range(300)] + [f"ftp://{hosts()}/" + "a" * 100_000] + ["http://a/"] * 50 + ["http://" + "a." * 3000 + "b/a"]
+    table = spark.createDataFrame([(h, p, v) for (h, p), v in rules.items()], "host string, path string, verdict string")
+    got = {r["id"]: r for r in url_rules.judged(spark.createDataFrame(list(enumerate(urls)), "id long, url string").repartition(3), table, run=run, points=40).collect()}
+    assert len(got) == len(urls)
+    for k, u in enumerate(urls):
+        host, path = got[k]["host"], got[k]["path"]
+        fits = [(len(h) + len(p), len(h), v == "block", h + p, v) for (h, p), v in rules.items() if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert (got[k]["rule"], got[k]["verdict"]) == (max(fits)[3:] if fits else (None, "allow")), u[:80]
+
+
 def test_pipeline_stages_do_what_their_operators_say(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").unionByName(spark.createDataFrame([(100_000, "!!! 123", None, "src1", 7), (100_001, None, None, None, 0)], "doc_id long, text string, lang string, source string, n_chars long"))
