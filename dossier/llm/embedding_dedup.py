@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -19,6 +21,8 @@ SAMPLE, PROBES = 20_000, 1000
 OCCUPANCY, CENTROIDS = 4, 4096
 #: Share of neighbours at the very threshold whose cell the visits must reach, seen from one of the two sides.
 RECALL = 0.97
+#: Visits beyond which cells are walked to one by one.
+WALK = 256
 #: Vectors of a cell that are compared at once, and rows of the cells that one task handles.
 BLOCK, UNIT = 1024, 20_000
 ITERATIONS = 8
@@ -48,14 +52,31 @@ class Index:
     second: np.ndarray
     visits: int = 1
 
-    def sequence(self, unit: np.ndarray, visits: int) -> np.ndarray:
-        """The nearest cells of each row, nearest first: the multi-sequence order of sums of two sorted distance lists.
-
-        The cell at ranks (i, j) of the two lists comes after all (i + 1) * (j + 1) - 1 cells at smaller ranks, so
-        only pairs with (i + 1) * (j + 1) <= visits can be among the first `visits`.
-        """
+    def distances(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances of rows' halves to the centroids of either book."""
         half = self.first.shape[1]
-        d = _nearest(unit[:, :half], self.first), _nearest(unit[:, half:], self.second)
+        return _nearest(unit[:, :half], self.first), _nearest(unit[:, half:], self.second)
+
+    def cells(self, unit: np.ndarray) -> np.ndarray:
+        """The nearest cell of each row."""
+        a, b = self.distances(unit)
+        return a.argmin(axis=1) * len(self.second) + b.argmin(axis=1)
+
+    def places(self, unit: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """How many cells come before the given one of each row in its multi-sequence order, counted without walking to it."""
+        out = np.empty(len(unit), np.int64)
+        for r, (a, b, cell) in enumerate(zip(*self.distances(unit), cells.tolist(), strict=True)):
+            i, j = divmod(cell, len(self.second))
+            total = a[i] + b[j]
+            out[r] = np.searchsorted(np.sort(b), total - a - 1e-12 * (1 + abs(total)), side="left").sum()
+        return out
+
+    def sequence(self, unit: np.ndarray, visits: int) -> np.ndarray:
+        """The nearest `visits` cells of each row, nearest first: the order of sums of two sorted distance lists."""
+        if visits > WALK:
+            return np.array([list(islice(_traversal(a, b), visits)) for a, b in zip(*self.distances(unit), strict=True)], np.int64)
+        # The cell at ranks (i, j) of the two lists comes after the (i + 1) * (j + 1) - 1 cells at smaller ranks, so few pairs matter.
+        d = self.distances(unit)
         deep = [min(visits, x.shape[1]) for x in d]
         rank = [np.argsort(x, axis=1, kind="stable")[:, :n] for x, n in zip(d, deep, strict=True)]
         near = [np.take_along_axis(x, r, 1) for x, r in zip(d, rank, strict=True)]
@@ -65,6 +86,22 @@ class Index:
         return (rank[0][:, i].astype(np.int64) * len(self.second) + rank[1][:, j])[np.arange(len(unit))[:, None], top]
 
 
+def _traversal(a: np.ndarray, b: np.ndarray) -> Iterator[int]:
+    """Cells by the sum of their two distances, as a walk over a heap: a cell is pushed once both cells before it are out."""
+    order = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+    p, q = a[order[0]].tolist(), b[order[1]].tolist()
+    out = [0] * len(p)  # how many cells of each row of the grid are out
+    heap = [(p[0] + q[0], 0, 0)]
+    while heap:
+        _, i, j = heappop(heap)
+        yield int(order[0][i]) * len(q) + int(order[1][j])
+        out[i] = j + 1
+        if i + 1 < len(p) and out[i + 1] == j:
+            heappush(heap, (p[i + 1] + q[j], i + 1, j))
+        if j + 1 < len(q) and (i == 0 or out[i - 1] > j + 1):
+            heappush(heap, (p[i] + q[j + 1], i, j + 1))
+
+
 def _unit(raw: list[bytes], kind: type) -> np.ndarray:
     x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -86,14 +123,8 @@ def fit(sample: np.ndarray, n: int, cosine: float) -> Index:
     away -= (away * p).sum(axis=1)[:, None] * p
     away /= np.maximum(np.sqrt((away**2).sum(axis=1))[:, None], 1e-300)
     q = cosine * p + (1 - cosine**2) ** 0.5 * away
-    cells = len(index.first) * len(index.second)
-    visits = 1
-    while visits < cells:
-        a, b = index.sequence(p, visits), index.sequence(q, visits)
-        if ((a == b[:, :1]).any(axis=1) | (b == a[:, :1]).any(axis=1)).mean() >= RECALL:
-            break
-        visits = min(cells, max(visits + 1, visits * 5 // 4))
-    index.visits = visits
+    before = np.minimum(index.places(p, index.cells(q)), index.places(q, index.cells(p)))
+    index.visits = int(np.sort(before)[min(len(before) - 1, int(np.ceil(RECALL * len(before))) - 1)]) + 1
     return index
 
 
@@ -111,6 +142,54 @@ def _clean(kind: type):
     return run
 
 
+def _rounded(unit: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Unit rows in a byte for each component, the scale of each row, and the length of what rounding took."""
+    scale = np.abs(unit).max(axis=1) / 127
+    q = np.rint(unit / scale[:, None]).astype(np.int8)
+    return [x.tobytes() for x in q], scale, np.sqrt(((unit - q * scale[:, None]) ** 2).sum(axis=1)) + 1e-6
+
+
+def _sift(cosine: float):
+    """The rows of a group of cells that may have a partner in a visited cell, by rounded vectors: cell, id and side, never the pairs."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, part in rows.groupby(["size", "group", "i", "j"], sort=False):
+            home, guest = part[part["home"]], part[~part["home"]]
+            if not len(home) or not len(guest):
+                continue
+            vectors = [np.frombuffer(b"".join(x["q"]), np.int8).reshape(len(x), -1) * x["scale"].to_numpy(np.float32)[:, None] for x in (guest, home)]
+            lost = [x["lost"].to_numpy() for x in (guest, home)]
+            # |xy - pq| <= |x - p| |y| + |p| |y - q|, and |p| <= 1 + |x - p|.
+            slack = lost[0][:, None] + (1 + lost[0][:, None]) * lost[1][None, :] + 1e-5
+            cells, of = np.unique(home["own"].to_numpy(), return_inverse=True)
+            lists = guest["cells"].to_numpy()
+            flat, who = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            at = np.minimum(np.searchsorted(cells, flat), len(cells) - 1)
+            visited = np.zeros((len(guest), len(cells)), bool)
+            visited[who, at] = cells[at] == flat
+            near = (vectors[0] @ vectors[1].T >= cosine - slack) & visited[:, of] & (guest["id"].to_numpy()[:, None] != home["id"].to_numpy()[None, :])
+            g, h = np.nonzero(near)
+            if len(g):
+                pairs = np.unique(np.stack([np.r_[home["own"].to_numpy()[h], home["own"].to_numpy()[h]], np.r_[guest["id"].to_numpy()[g], home["id"].to_numpy()[h]], np.r_[np.zeros(len(g), np.int64), np.ones(len(h), np.int64)]]), axis=1)
+                out.append(pd.DataFrame({"size": np.full(pairs.shape[1], part["size"].iloc[0], np.int32), "cell": pairs[0], "id": pairs[1], "home": pairs[2] == 1}))
+        return pd.concat(out) if out else pd.DataFrame({"size": pd.Series(dtype="int32"), "cell": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "home": pd.Series(dtype="bool")})
+
+    return run
+
+
+def _in_blocks(homes: DataFrame, guests: DataFrame, keys: list[str]) -> DataFrame:
+    """Homes and guests of the same keys, where a side has over BLOCK rows in a grid of blocks: columns i, j and unit, the task's share."""
+    held, met = homes.groupBy(*keys).agg(F.count("*").alias("h")), guests.groupBy(*keys).agg(F.count("*").alias("g"))
+    parts = checkpointed(held.join(met, keys).select(*keys, F.ceil(F.col("h") / BLOCK).cast("int").alias("hp"), F.ceil(F.col("g") / BLOCK).cast("int").alias("gp"), (F.col("h") + F.col("g")).alias("rows")))
+    total = parts.agg(F.sum(F.col("rows") * F.greatest("hp", "gp"))).first()[0] or 0
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = homes.join(parts, keys).withColumn("i", block("hp")).withColumn("j", over("gp"))
+    dealt = dealt.unionByName(guests.join(parts, keys).withColumn("j", block("gp")).withColumn("i", over("hp")), allowMissingColumns=True)
+    return dealt.drop("hp", "gp", "rows").withColumn("unit", F.pmod(F.xxhash64(*keys, "i", "j"), F.lit(1 + total // UNIT)))
+
+
 def _compare(kind: type, cosine: float):
     """Links inside the grid parts of cells: each vector's weight of links, and its smallest companion's id there."""
 
@@ -155,9 +234,10 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id, kept: vectors linked where their cosine in double precision reaches `cosine`.
 
     Equal vectors form a class first. Each class lies in the cell of its nearest pair of centroids and visits the
-    nearest cells in multi-sequence order, as many as reach the target recall for neighbours at the threshold; every vector
-    met in a visited cell is verified. Large cells are compared in a grid of blocks. A block reports sums and its
-    own components, never pairs, and the components are joined at the end.
+    nearest cells in multi-sequence order, as many as reach the target recall for neighbours at the threshold. Vectors
+    rounded to bytes go to the visited cells first, once for each group of cells, and only those that can have a partner
+    there by the bound on what rounding takes are verified in full. Large cells are compared in a grid of blocks. A
+    block reports sums and its own components, never pairs, and the components are joined at the end.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of
     different lengths with each other. Rows without vec_id link with nothing, have no component and are not kept;
@@ -175,32 +255,39 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.95) -> DataFrame:
         picked = own.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy(F.xxhash64("v")).limit(SAMPLE).select("v").toPandas()
         index = spark.sparkContext.broadcast(fit(_unit(list(picked["v"]), kind), n, cosine))
 
+        # Groups hold about BLOCK homes: the cells of a first centroid, cut by their second ones where they are many.
+        k1, k2 = len(index.value.first), len(index.value.second)
+        cuts = min(k2, 1 + n // (k1 * BLOCK))
+
         def place(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for a in range(0, whole.num_rows, 2048):
-                    batch = whole.slice(a, 2048)
-                    cells = index.value.sequence(_unit(batch.column("v").to_pylist(), kind), index.value.visits)
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(cells), pa.list_(pa.int64()))], names=[*batch.schema.names, "visits"])
-
-        placed = own.select("id", "copies", "size", "v").mapInArrow(place, "id long, copies long, size int, v binary, visits array<long>")
+                for a in range(0, whole.num_rows, 512):
+                    batch = whole.slice(a, 512)
+                    unit = _unit(batch.column("v").to_pylist(), kind)
+                    q, scale, lost = _rounded(unit)
+                    cells = index.value.sequence(unit, index.value.visits)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(cells), pa.list_(pa.int64())), pa.array(q, pa.binary()), pa.array(scale), pa.array(lost)], names=[*batch.schema.names, "visits", "q", "scale", "lost"])
+
+        placed = own.select("id", "copies", "size", "v").mapInArrow(place, "id long, copies long, size int, v binary, visits array<long>, q binary, scale double, lost double")
+        placed = placed.withColumns({"k2": F.lit(k2), "cuts": F.lit(cuts)})
         found = placed if found is None else found.unionByName(placed)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
 
     placed = checkpointed(found.withColumn("own", F.col("visits")[0]))
-    guests = placed.select("id", "copies", "size", "v", "own", F.lit(None).cast("array<long>").alias("visits"), F.lit(False).alias("home"), F.explode("visits").alias("cell"))
-    homes = placed.select("id", "copies", "size", "v", "own", "visits", F.lit(True).alias("home"), F.col("own").alias("cell"))
-    # Only cells with company matter; where a side of a cell is large, both sides are cut into blocks.
-    held = placed.groupBy("size", F.col("own").alias("cell")).agg(F.count("*").alias("h"))
-    met = placed.select("size", F.explode("visits").alias("cell")).groupBy("size", "cell").agg(F.count("*").alias("g"))
-    parts = checkpointed(held.join(met, ["size", "cell"]).where("g > 1").select("size", "cell", F.ceil(F.col("h") / BLOCK).cast("int").alias("hp"), F.ceil(F.col("g") / BLOCK).cast("int").alias("gp"), (F.col("h") + F.col("g")).alias("rows")))
-    total = parts.agg(F.sum(F.col("rows") * F.greatest("hp", "gp"))).first()[0] or 0
-    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    dealt = homes.join(parts, ["size", "cell"]).withColumn("i", block("hp")).withColumn("j", over("gp"))
-    dealt = dealt.unionByName(guests.join(parts, ["size", "cell"]).withColumn("j", block("gp")).withColumn("i", over("hp")))
-    unit = F.pmod(F.xxhash64("size", "cell", "i", "j"), F.lit(1 + total // UNIT)).alias("unit")
-    links = checkpointed(dealt.select(unit, "size", "cell", "i", "j", "id", "copies", "own", "visits", "home", "v").groupBy("unit").applyInPandas(_compare(kind, cosine), "id long, n long, low long"))
+    group = lambda cell: F.floor(cell / F.col("k2")) * F.col("cuts") + F.floor((cell % F.col("k2")) * F.col("cuts") / F.col("k2"))
+    light = ["id", "size", "q", "scale", "lost", "own"]
+    homes = placed.select(*light, F.lit(True).alias("home"), group(F.col("own")).alias("group"))
+    guests = placed.select(*light, "visits", "k2", "cuts", F.lit(False).alias("home"), F.explode(F.array_distinct(F.transform("visits", group))).alias("group"))
+    guests = guests.withColumn("cells", F.filter("visits", lambda c: group(c) == F.col("group"))).drop("visits", "k2", "cuts")
+    sifted = _in_blocks(homes, guests, ["size", "group"])
+    survivors = checkpointed(sifted.groupBy("unit").applyInPandas(_sift(cosine), "size int, cell long, id long, home boolean").distinct())
+
+    full = placed.select("id", "copies", "size", "v", "own", "visits")
+    both = survivors.join(full, ["id", "size"])
+    homes, guests = both.where("home"), both.where("not home").withColumn("visits", F.lit(None).cast("array<long>"))
+    dealt = _in_blocks(homes, guests, ["size", "cell"])
+    links = checkpointed(dealt.select("unit", "size", "cell", "i", "j", "id", "copies", "own", "visits", "home", "v").groupBy("unit").applyInPandas(_compare(kind, cosine), "id long, n long, low long"))
     found = components(links.select(F.col("id").alias("a"), F.col("low").alias("b")))
     others = links.groupBy("id").agg(F.sum("n").alias("others"))
     per_class = classes.join(others, "id", "left").join(found, "id", "left")

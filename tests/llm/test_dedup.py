@@ -198,3 +198,34 @@ def test_similar_sets_share_an_exact_key(size):
             batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([x.tobytes(), y.tobytes()], pa.binary())], names=["doc_id", "small"])
             p, q = next(minhash._prefixes(levels, 75)(iter([batch]))).column("keys").to_pylist()
             assert set(p) & set(q)
+
+
+@pytest.mark.parametrize("visits", [1, 5, 40, 144])
+def test_cells_are_visited_in_order_of_distance(monkeypatch, visits):
+    rng = np.random.default_rng(visits)
+    index = embedding_dedup.Index(rng.normal(size=(12, 4)), rng.normal(size=(12, 3)))
+    unit = rng.normal(size=(20, 7))
+    a, b = index.distances(unit)
+    total = (a[:, :, None] + b[:, None, :]).reshape(20, -1)
+    order = np.argsort(total, axis=1)
+    for walk in (0, 1000):
+        monkeypatch.setattr(embedding_dedup, "WALK", walk)
+        assert (index.sequence(unit, visits) == order[:, :visits]).all()
+    assert (index.cells(unit) == order[:, 0]).all()
+    assert (index.places(unit, order[:, visits - 1]) == visits - 1).all()
+
+
+def test_recall_over_many_vectors(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40_000, 64)).astype(np.float32)
+    near = base[:12_000] / np.linalg.norm(base[:12_000], axis=1, keepdims=True)
+    away = rng.normal(size=near.shape)
+    away -= (away * near).sum(axis=1)[:, None] * near
+    away /= np.linalg.norm(away, axis=1)[:, None]
+    cosine = rng.uniform(0.9505, 1.0, len(near))[:, None]
+    vectors = np.concatenate([base, (cosine * near + (1 - cosine**2) ** 0.5 * away).astype(np.float32)])
+    frame = spark.createDataFrame(pa.table({"vec_id": np.arange(len(vectors)), "embedding": pa.array(list(vectors), pa.list_(pa.float32()))}))
+    got = embedding_dedup.near_vectors(frame.repartition(8)).where("n_links > 0").collect()
+    # Random vectors of 64 components never come near each other, so the planted pairs are all there is.
+    assert all(r["component_id"] in (r["vec_id"], r["vec_id"] - 40_000) for r in got)
+    assert 0.97 * 24_000 <= sum(r["n_links"] for r in got) <= 24_000
