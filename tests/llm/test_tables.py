@@ -1,11 +1,9 @@
-"""Top-k search, mixing, URL rules and the pipeline against SQL or brute force, and their edges."""
+"""Top-k search, mixing and URL rules against SQL or brute force, and their edges."""
 
 import numpy as np
 import pytest
 
-import corpus_pipeline
-from dossier.llm import langid, minhash, mixing, packing, queries, topk, toxicity, url_rules
-from pyspark.sql import functions as F
+from dossier.llm import mixing, queries, topk, url_rules
 from tests.compare import assert_same, connect
 
 
@@ -107,39 +105,3 @@ def test_many_rules_equal_a_plain_search(spark, run):
         host, path = got[k]["host"], got[k]["path"]
         fits = [(len(h) + len(p), len(h), v == "block", h + p, v) for (h, p), v in rules.items() if (host == h or host.endswith("." + h)) and path.startswith(p)]
         assert (got[k]["rule"], got[k]["verdict"]) == (max(fits)[3:] if fits else (None, "allow")), u[:80]
-
-
-def test_pipeline_stages_do_what_their_operators_say(spark, tmp_path):
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet").unionByName(spark.createDataFrame([(100_000, "!!! 123", None, "src1", 7), (100_001, None, None, None, 0)], "doc_id long, text string, lang string, source string, n_chars long"))
-    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
-    expect = {
-        "language_id": lambda d: ids(langid.identified(d, langid.fit(d)).where("lang_pred <> 'und' and score >= 0.25")),
-        "toxicity": lambda d: ids(toxicity.scored(d, toxicity.fit(d, spark.read.parquet(f"{sf}/labels.parquet"))).where("score < 0.7")),
-        "minhash_near_dedup": lambda d: ids(minhash.near_duplicates(d).where("kept")),
-        "mixing": lambda d: sorted(r["doc_id"] for r in mixing.mixed(d).collect() for _ in range(r["copies"])),
-        "packing": lambda d: ids(packing.packed(d)),
-    }
-    for name, stage in corpus_pipeline.STAGES:
-        stage(spark, docs, sf).write.parquet(str(tmp_path / name))
-        out = spark.read.parquet(str(tmp_path / name))
-        assert ids(out) == expect[name](docs), name
-        if name != "packing":
-            assert out.columns == docs.columns
-        docs = out
-    assert docs.count() > 0
-
-
-def test_pipeline_drops_repeated_rows(spark):
-    docs = spark.createDataFrame([(1, "a b c d e f", "en", "s", 1)] * 3 + [(2, "a b c d e f", "en", "s", 1), (3, "z", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
-    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3]
-    assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
-
-
-def test_pipeline_keeps_texts_with_null_or_repeated_ids(spark):
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
-    texts = [(None, "one two three four five six"), (None, "seven eight nine ten eleven"), (None, "seven eight nine ten eleven"), (4, "a b c d e f"), (4, "u v w x y z"), (9, "one two three four five six"), (3, "a b c d e f"), (5, None)]
-    docs = spark.createDataFrame([(i, t, "en", f"s{k}", 1) for k, (i, t) in enumerate(texts)], schema)
-    got = [sorted((r["doc_id"] or 0, r["text"] or "", r["source"]) for r in corpus_pipeline.near_dedup(spark, docs.repartition(n), "").collect()) for n in (1, 5)]
-    assert got[0] == got[1]
-    assert [(i, t) for i, t, _ in got[0]] == [(0, "seven eight nine ten eleven"), (3, "a b c d e f"), (4, "u v w x y z"), (5, ""), (9, "one two three four five six")]
