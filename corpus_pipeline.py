@@ -58,7 +58,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language_id", language_id), ("toxicity", drop_toxic), ("minhash_near_dedup", near_dedup), ("mixing", mix), ("packing", pack)]
-#: SQL expresses neither the language model nor the tokenizer; tests hold each stage against a plain version.
+#: SQL expresses neither the language and toxicity models nor the tokenizer; tests/llm/test_pipeline.py holds each stage against plain Python.
 ORACLE_SQL = None
 
 
