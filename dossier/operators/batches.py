@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.functions.frames import small
+
 
 def prompts(contexts: DataFrame, templates: DataFrame, lessons: DataFrame, *, most: int = 8000) -> DataFrame:
     """doc, clause_type, prompt: the clause type's template (clause_type, template) with {context} and {lessons} filled in.
@@ -15,7 +17,7 @@ def prompts(contexts: DataFrame, templates: DataFrame, lessons: DataFrame, *, mo
     contexts: doc, clause_type, context (cut to `most` characters). lessons: clause_type, block. Templates and
     lessons are one row for each clause type.
     """
-    got = contexts.join(F.broadcast(templates), "clause_type").join(F.broadcast(lessons), "clause_type", "left")
+    got = contexts.join(small(templates), "clause_type").join(small(lessons), "clause_type", "left")
     filled = F.replace(F.replace(F.col("template"), F.lit("{context}"), F.substring(F.coalesce("context", F.lit("")), 1, most)), F.lit("{lessons}"), F.coalesce("block", F.lit("")))
     return got.select("doc", "clause_type", filled.alias("prompt"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from dossier.functions.frames import small
+
 #: Line shapes that open a section, and shapes of a clause reference.
 HEADINGS = [r"^\d+\.\s+[A-Z]", r"^\d+\.\d+\s+[A-Z]", r"^\d+\.\d+\.\d+\s+[A-Z]", r"^(Clause|Section|Article|Part|Schedule)\s+\d+", r"^[A-Z][A-Z\s]{5,50}$", r"^(SCOPE|PAYMENT|LIABILITY|INSURANCE|TERMINATION|PENALTY|LIQUIDATED)"]
 REFERENCES = [r"(?i)(clause\s+[\d.]+)", r"(?i)(section\s+[\d.]+)", r"(?i)(article\s+[\d.]+)", r"(?i)(para(?:graph)?\s+[\d.]+)", r"(\d+\.\d+(?:\.\d+)*)"]
@@ -128,8 +130,8 @@ def repaired(pages: DataFrame, corrected: DataFrame, keys: list[str], subjects:
 
 
 def term_coverage(chunks: DataFrame, terms: DataFrame, pages: int = 5) -> DataFrame:
-    """For each term (term): chunks that hold it and the first pages. Terms are a small dimension and are broadcast."""
-    met = chunks.select("page_no", F.lower("text").alias("_t")).join(F.broadcast(terms), F.contains("_t", F.lower("term")))
+    """For each term (term): chunks that hold it and the first pages. Terms are a small dimension."""
+    met = chunks.select("page_no", F.lower("text").alias("_t")).join(small(terms), F.contains("_t", F.lower("term")))
     found = met.groupBy("term").agg(F.count("*").alias("n_chunks"), F.slice(F.array_sort(F.collect_set("page_no")), 1, pages).alias("pages"))
     return terms.join(found, "term", "left").select("term", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.coalesce("pages", F.array().cast("array<int>")).alias("pages"))
 

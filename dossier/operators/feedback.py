@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from dossier.functions.frames import first_of
 from dossier.functions.text import upper_trimmed
 
 #: Risk levels in ascending order, and the valid answers.
@@ -67,9 +68,11 @@ def adjustments(feedback: DataFrame, targets: DataFrame, *, least: int = 1, shar
     key = ["clause_type", "offering", "solution"]
     named = targets.withColumns({"_o": upper_trimmed("offering"), "_s": upper_trimmed("solution")})
     pairs = context_pairs(feedback, targets)
-    met = feedback.withColumns({"row_offering": upper_trimmed("offering"), "row_solution": upper_trimmed("solution")}).drop("offering", "solution").join(F.broadcast(pairs), ["row_offering", "row_solution"])
-    counts = met.groupBy(*key).agg(F.count("*").alias("feedback_count"), F.avg((F.col("agreement") == "too_high").cast("double")).alias("high"), F.avg((F.col("agreement") == "too_low").cast("double")).alias("low"))
-    stats = counts.join(_top(met, key, "suggested_level", "top_suggested"), key, "left").select(F.col("clause_type").alias("_c"), F.col("offering").alias("_o"), F.col("solution").alias("_s"), "feedback_count", "high", "low", "top_suggested")
+    met = feedback.withColumns({"row_offering": upper_trimmed("offering"), "row_solution": upper_trimmed("solution")}).drop("offering", "solution").join(pairs, ["row_offering", "row_solution"])
+    by_level = met.groupBy(*key, "suggested_level").agg(F.count("*").alias("n"), F.count_if(F.col("agreement") == "too_high").alias("high"), F.count_if(F.col("agreement") == "too_low").alias("low"), F.min("id").alias("first"))
+    top = F.min_by("suggested_level", F.when(F.col("suggested_level").isNotNull(), F.struct(-F.col("n"), "first"))).alias("top_suggested")
+    counts = by_level.groupBy(*key).agg(F.sum("n").alias("feedback_count"), (F.sum("high") / F.sum("n")).alias("high"), (F.sum("low") / F.sum("n")).alias("low"), top)
+    stats = counts.select(F.col("clause_type").alias("_c"), F.col("offering").alias("_o"), F.col("solution").alias("_s"), "feedback_count", "high", "low", "top_suggested")
     got = named.withColumn("_c", F.col("clause_type")).join(stats, ["_c", "_o", "_s"], "left").withColumn("feedback_count", F.coalesce("feedback_count", F.lit(0)))
     enough = F.col("feedback_count") >= least
     direction = F.when(enough & (F.col("high") >= share), "LOWER").when(enough & (F.col("low") >= share), "HIGHER").otherwise("NONE")
@@ -109,10 +112,10 @@ def few_shot(examples: DataFrame, feedback: DataFrame, *, most: int = 4, least:
     examples: clause_type, example_id, usefulness, created_at, line. feedback: clause_type, id, created_at, agreement, comment.
     The `recent` last disagreements with a comment are looked at, those of over 10 characters count. Fewer than `least` of both give no block.
     """
-    a = examples.select("clause_type", F.lit(0).alias("kind"), F.row_number().over(W.partitionBy("clause_type").orderBy(F.desc("usefulness"), F.desc("created_at"), F.desc("example_id"))).alias("k"), "line")
-    raw = feedback.where("agreement <> 'agree' and comment is not null").withColumn("k", F.row_number().over(W.partitionBy("clause_type").orderBy(F.desc("created_at"), F.desc("id"))))
-    b = raw.where((F.col("k") <= recent) & (F.length(F.trim("comment")) > 10)).select("clause_type", F.lit(1).alias("kind"), "k", F.trim("comment").alias("line"))
-    both = a.where(F.col("k") <= most).unionByName(b)
+    a = first_of(examples, ["clause_type"], [F.desc("usefulness"), F.desc("created_at"), F.desc("example_id")], most, salt=F.col("example_id"), place="k").select("clause_type", F.lit(0).alias("kind"), "k", "line")
+    raw = first_of(feedback.where("agreement <> 'agree' and comment is not null"), ["clause_type"], [F.desc("created_at"), F.desc("id")], recent, salt=F.col("id"), place="k")
+    b = raw.where(F.length(F.trim("comment")) > 10).select("clause_type", F.lit(1).alias("kind"), "k", F.trim("comment").alias("line"))
+    both = a.unionByName(b)
     ranked = both.withColumns({"n": F.count("*").over(W.partitionBy("clause_type")), "at": F.row_number().over(W.partitionBy("clause_type").orderBy("kind", "k"))}).where((F.col("n") >= least) & (F.col("at") <= most))
     lines = F.array_sort(F.collect_list(F.struct("at", "line")))
     return ranked.groupBy("clause_type").agg(F.array_join(F.transform(lines, lambda x: F.concat(x["at"].cast("string"), F.lit(". "), x["line"])), "\n").alias("block"), F.count("*").alias("used"))

@@ -30,13 +30,18 @@ def difficulty(kind: Column, lost: Column, parameter: Column, experience: list[s
     return F.when(rests & (kind == "missing_evidence"), "hard").when(rests, "medium").when(kind == "unverified", "easy").when((kind == "partial") & (lost <= 5), "easy").otherwise("medium")
 
 
-def gap_rows(items: DataFrame, *, experience: list[str] = EXPERIENCE) -> DataFrame:
-    """The leaves that lost marks, with gap_type, difficulty, priority and its rank in the evaluation."""
-    got = leaves(items).withColumn("marks_lost", one_decimal(F.col("max_marks") - F.col("score"))).where("marks_lost > 0")
+def _weighed(items: DataFrame, experience: list[str]) -> DataFrame:
+    """The leaves with marks_lost, gap_type, difficulty and priority."""
+    got = leaves(items).withColumn("marks_lost", one_decimal(F.col("max_marks") - F.col("score")))
     got = got.withColumn("gap_type", gap_type(F.col("evidence_found"), F.col("verified"), F.col("score"), F.col("max_marks")))
     got = got.withColumn("difficulty", difficulty(F.col("gap_type"), F.col("marks_lost"), F.col("parameter"), experience))
     weight = F.coalesce(*[F.when(F.col("difficulty") == k, F.lit(v)) for k, v in DIFFICULTY_WEIGHTS.items()])
-    got = got.withColumn("priority", F.round((F.col("marks_lost") * weight.cast("decimal(4,2)")).cast("decimal(20,6)"), 2))
+    return got.withColumn("priority", F.round((F.col("marks_lost") * weight.cast("decimal(4,2)")).cast("decimal(20,6)"), 2))
+
+
+def gap_rows(items: DataFrame, *, experience: list[str] = EXPERIENCE) -> DataFrame:
+    """The leaves that lost marks, with gap_type, difficulty, priority and its rank in the evaluation."""
+    got = _weighed(items, experience).where("marks_lost > 0")
     return got.withColumn("rank", F.row_number().over(W.partitionBy("evaluation_id").orderBy(F.desc("priority"), "item_seq")))
 
 
@@ -47,10 +52,10 @@ def risk_of(total: Column, needed: Column) -> Column:
 
 def gap_summary(items: DataFrame, *, threshold: float = 70.0, experience: list[str] = EXPERIENCE) -> DataFrame:
     """One row for each evaluation: totals, deficit, risk, recoverable marks, worst gap and a sentence."""
-    sums = leaves(items).groupBy("evaluation_id").agg(one_decimal(F.sum("score")).alias("total_scored"), F.sum("max_marks").alias("doc_max"))
-    gaps = gap_rows(items, experience=experience).groupBy("evaluation_id").agg(
-        F.count("*").alias("n_gaps"), one_decimal(F.sum(F.when(F.col("difficulty") == "easy", F.col("marks_lost")).otherwise(0))).alias("recoverable"), F.min_by(F.struct("parameter", "marks_lost", "max_marks"), "rank").alias("worst"))
-    got = sums.join(gaps, "evaluation_id", "left").withColumn("n_gaps", F.coalesce("n_gaps", F.lit(0))).withColumn("recoverable", F.coalesce("recoverable", F.lit(0).cast("decimal(20,1)")))
+    lost = F.col("marks_lost") > 0
+    easy = F.when(lost & (F.col("difficulty") == "easy"), F.col("marks_lost")).otherwise(0)
+    worst = F.min_by(F.struct("parameter", "marks_lost", "max_marks"), F.when(lost, F.struct(-F.col("priority"), "item_seq")))
+    got = _weighed(items, experience).groupBy("evaluation_id").agg(one_decimal(F.sum("score")).alias("total_scored"), F.sum("max_marks").alias("doc_max"), F.count_if(lost).alias("n_gaps"), one_decimal(F.sum(easy)).alias("recoverable"), worst.alias("worst"))
     got = got.withColumn("min_required", one_decimal(F.lit(threshold) / 100 * F.col("doc_max"))).withColumn("deficit", one_decimal(F.col("min_required") - F.col("total_scored")))
     got = got.withColumn("risk", risk_of(F.col("total_scored"), F.col("min_required")))
     text = lambda c: F.format_string("%.1f", c.cast("double"))

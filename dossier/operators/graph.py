@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from dossier.functions.frames import small
+
 
 def ontology(terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes of (term, expansion, kind) rows, and an edge from each expansion to its term."""
@@ -14,9 +16,9 @@ def ontology(terms: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def mentions(pages: DataFrame, terms: DataFrame) -> DataFrame:
-    """Edges from a term to the pages that hold it as a whole word: an equi-join on words, the dimension broadcast."""
+    """Edges from a term to the pages that hold it as a whole word: an equi-join on words."""
     words = pages.select("doc", "page_no", F.explode(F.array_distinct(F.split(F.regexp_replace("text", r"[^A-Za-z0-9]+", " "), " "))).alias("term")).where("term <> ''")
-    return words.join(F.broadcast(terms.select("term").distinct()), "term").select(F.col("term").alias("source"), F.concat_ws(":", F.col("doc").cast("string"), F.col("page_no").cast("string")).alias("target"), F.lit("MENTIONED_AT").alias("label")).distinct()
+    return words.join(small(terms.select("term").distinct()), "term").select(F.col("term").alias("source"), F.concat_ws(":", F.col("doc").cast("string"), F.col("page_no").cast("string")).alias("target"), F.lit("MENTIONED_AT").alias("label")).distinct()
 
 
 def organisations(chunks: DataFrame, pattern: str, *, most: int = 10) -> DataFrame:
@@ -35,15 +37,15 @@ def amounts(chunks: DataFrame, *, most: int = 5) -> DataFrame:
 
 
 def signals(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Edges from a risk (phrase, risk) to the documents that hold a phrase; phrases are few and broadcast."""
-    met = chunks.select("doc", F.lower("text").alias("_t")).join(F.broadcast(phrases), F.contains("_t", F.col("phrase")))
+    """Edges from a risk (phrase, risk) to the documents that hold a phrase; phrases are few."""
+    met = chunks.select("doc", F.lower("text").alias("_t")).join(small(phrases), F.contains("_t", F.col("phrase")))
     return met.select(F.col("risk").alias("source"), F.col("doc").cast("string").alias("target"), F.lit("DETECTED_IN").alias("label")).distinct()
 
 
 def expanded(text: Column, terms: list[tuple[str, str]]) -> Column:
     """The text with each term's first whole-word place followed by its expansion in brackets."""
     for term, meaning in terms:
-        at = F.regexp_instr(text, F.lit(rf"\b{term}\b"))
+        at = F.regexp_instr(text, F.lit(rf"(?<![\p{{L}}\p{{N}}_]){term}(?![\p{{L}}\p{{N}}_])"))
         text = F.when(at > 0, F.concat(F.substring(text, F.lit(1), at + len(term) - 1), F.lit(f" ({meaning})"), F.substring(text, at + len(term), F.length(text)))).otherwise(text)
     return text
 
@@ -51,7 +53,7 @@ def expanded(text: Column, terms: list[tuple[str, str]]) -> Column:
 def first_offering(chunks: DataFrame, keywords: DataFrame, *, searched: int = 50) -> DataFrame:
     """doc, offering: that of the first keyword (place, keyword, offering) which stands in a document's first `searched` chunks."""
     rows = chunks.withColumn("_k", F.row_number().over(W.partitionBy("doc").orderBy("chunk"))).where(F.col("_k") <= searched)
-    met = rows.select("doc", F.lower("text").alias("_t")).join(F.broadcast(keywords), F.contains("_t", F.col("keyword")))
+    met = rows.select("doc", F.lower("text").alias("_t")).join(small(keywords), F.contains("_t", F.col("keyword")))
     return met.groupBy("doc").agg(F.min_by("offering", "place").alias("offering"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from dossier.functions.frames import small
 from dossier.functions.text import jaccard, tokens
 
 
@@ -112,9 +113,9 @@ def keyword_pages(pages: DataFrame, keywords: DataFrame, *, most: int = 8, occur
     """doc, topic, page_no, hits, rank: pages (doc, page_no, text) by the keywords (topic, words array) that they hold.
 
     Hits are keywords present, or all their occurrences; more first, then later pages. Keyword sets are a small
-    dimension and are broadcast.
+    dimension.
     """
-    met = pages.withColumn("_t", F.lower("text")).crossJoin(F.broadcast(keywords))
+    met = pages.withColumn("_t", F.lower("text")).crossJoin(small(keywords))
     if occurrences:
         hits = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + ((F.length("_t") - F.length(F.replace(F.col("_t"), w, F.lit("")))) / F.length(w)).cast("long"))
     else:
@@ -125,7 +126,7 @@ def keyword_pages(pages: DataFrame, keywords: DataFrame, *, most: int = 8, occur
 
 def or_first_pages(hits: DataFrame, pages: DataFrame, topics: DataFrame, *, first: int = 8) -> DataFrame:
     """hits, and for each document and topic without any, its pages up to `first` with no hits and rank by page."""
-    every = pages.select("doc").distinct().crossJoin(F.broadcast(topics.select("topic")))
+    every = pages.select("doc").distinct().crossJoin(small(topics.select("topic")))
     none = every.join(hits.select("doc", "topic").distinct(), ["doc", "topic"], "left_anti")
     back = pages.where(F.col("page_no") <= first).select("doc", "page_no").join(none, "doc").select("doc", "topic", "page_no", F.lit(0).alias("hits"), F.col("page_no").alias("rank"))
     return hits.unionByName(back.withColumn("hits", F.col("hits").cast(hits.schema["hits"].dataType)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from dossier.functions.text import jaccard, tokens
+from dossier.functions.text import tokens
 
 #: Weights of the evidence flags of a qualification criterion.
 QUAL_WEIGHTS = {"named_experts": 0.10, "education_stated": 0.25, "experience_years_stated": 0.25, "relevant_projects_listed": 0.25, "cvs_attached": 0.15}
@@ -82,10 +82,12 @@ def matched_rows(criteria: DataFrame, rows: DataFrame, *, doc: str = "doc", leas
     short = F.expr("left(item_code, length(item_code) - 1)")
     p = r.select(F.col(doc).alias("_d"), F.col("row_code").alias("prefix_code"))
     both = code.withColumn("_short", short).join(p, (F.col(doc) == F.col("_d")) & (F.col("_short") == F.col("prefix_code")) & (F.col("_short") != ""), "left").drop("_d", "_short")
-    left = both.where("row_code is null and prefix_code is null").select(doc, "item_code", tokens("parameter", 4).alias("a"))
-    words = r.select(F.col(doc), "row_code", tokens("row_parameter", 4).alias("b"))
-    met = left.select(doc, "item_code", "a", F.explode("a").alias("w")).join(words.select(doc, "row_code", "b", F.explode("b").alias("w")), [doc, "w"]).drop("w").distinct()
-    best = met.withColumn("overlap", jaccard(F.col("a"), F.col("b"))).where(F.col("overlap") >= least)
+    # Names meet by the words that they share, which are then counted; a hash stands for a name's words.
+    a, b = tokens("parameter", 4), tokens("row_parameter", 4)
+    left = both.where("row_code is null and prefix_code is null").select(doc, "item_code", F.xxhash64(a).alias("of_a"), F.size(a).alias("n_a"), a.alias("w")).distinct()
+    words = r.select(F.col(doc), "row_code", F.xxhash64(b).alias("of_b"), F.size(b).alias("n_b"), b.alias("w")).distinct()
+    met = left.withColumn("w", F.explode("w")).join(words.withColumn("w", F.explode("w")), [doc, "w"]).groupBy(doc, "item_code", "row_code", "of_a", "of_b").agg(F.count("*").alias("both"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+    best = met.withColumn("overlap", F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).where(F.col("overlap") >= least)
     best = best.groupBy(doc, "item_code").agg(F.min(F.struct(-F.col("overlap"), F.col("row_code")))["row_code"].alias("name_code"))
     got = both.join(best, [doc, "item_code"], "left")
     how = F.when(F.col("row_code").isNotNull(), "code").when(F.col("prefix_code").isNotNull(), "prefix").when(F.col("name_code").isNotNull(), "name").otherwise("none")

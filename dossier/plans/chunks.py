@@ -67,7 +67,10 @@ def _(t: Tables):
     return _sections(t).select("doc_id", "section_no", C.chunk_id(F.col("doc_id"), F.col("page_no"), F.col("text")).alias("chunk_id"))
 
 
-@R.query("c8_capped_chunks")
+@R.query("c8_capped_chunks", f"""WITH RECURSIVE {LINES_SQL}, ln AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS i FROM lines),
+f AS (SELECT DISTINCT doc_id, 0::BIGINT AS i, '' AS buffer, NULL::VARCHAR AS chunk FROM ln UNION ALL SELECT doc_id, i, CASE WHEN length(g) >= 1200 THEN '' ELSE g END, CASE WHEN length(g) >= 1200 THEN left(g, 1200) END FROM (SELECT ln.doc_id, ln.i, CASE WHEN buffer = '' THEN text ELSE buffer || chr(10) || text END AS g FROM f JOIN ln ON f.doc_id = ln.doc_id AND ln.i = f.i + 1)),
+o AS (SELECT doc_id, i, chunk FROM f WHERE chunk IS NOT NULL UNION ALL SELECT doc_id, i + 1, buffer FROM f WHERE buffer <> '' AND i = (SELECT max(i) FROM ln WHERE ln.doc_id = f.doc_id))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS chunk_no, chunk AS text FROM o""")
 def _(t: Tables):
     return C.capped_chunks(lines(t), ["doc_id"], 1200)
 

@@ -100,7 +100,9 @@ def _(t: Tables):
     return _tree(t)
 
 
-@R.query("x8_contents")
+@R.query("x8_contents", f"""WITH {_TREE_SQL}, rk AS (SELECT *, row_number() OVER (PARTITION BY doc, level, parent ORDER BY node) AS k FROM tree WHERE level > 0), kp AS (SELECT * FROM rk WHERE k <= 10),
+pl AS (SELECT doc, level, node, node AS home, title, start_page FROM kp WHERE level = 1 UNION ALL SELECT c.doc, c.level, c.node, h.node, c.title, c.start_page FROM kp c JOIN kp h ON c.doc = h.doc AND c.parent = h.title AND h.level = 1 AND c.level = 2)
+SELECT doc, string_agg(CASE WHEN level = 2 THEN '  ' ELSE '' END || title || ' (p' || coalesce(start_page::VARCHAR, '?') || ')', chr(10) ORDER BY home, level, node) AS contents FROM pl GROUP BY doc""")
 def _(t: Tables):
     return X.contents(_tree(t))
 

@@ -226,7 +226,7 @@ def _(t: Tables):
     return _signals(t)
 
 
-@R.query("n6_expanded")
+@R.query("n6_expanded", r"SELECT doc_id, regexp_replace(regexp_replace(text, '(^|[^\pL\pN_])The([^\pL\pN_]|$)', '\1The (the article)\2'), '(^|[^\pL\pN_])with([^\pL\pN_]|$)', '\1with (together)\2') AS text FROM documents")
 def _(t: Tables):
     return t.documents.select("doc_id", N.expanded(F.col("text"), [("The", "the article"), ("with", "together")]).alias("text"))
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from dossier.operators import batches as D, gaps, risk
 from dossier.plans.bindings import CLAUSES, FEEDBACK_SQL, ITEMS_SQL, LINES_SQL, clauses, feedback, items, lines
 from dossier.plans.registry import Registry, Tables
+from dossier.plans.scores import PLAIN_GAPS_SQL, SUMMARY_SQL
+from dossier.plans.reviews import _ADJ_SQL as ADJUSTED_SQL, _targets as targets
 from dossier.plans.risks import _SQL as ASSESSED_SQL
 from dossier.sources import tables as S
 from dossier.streaming import jobs as J
@@ -97,7 +99,8 @@ def _(t: Tables):
     return S.review_rows(rows, CLAUSES)
 
 
-@R.query("s14_gap_report")
+@R.query("s14_gap_report", f"""WITH {ITEMS_SQL}, {PLAIN_GAPS_SQL}, lns AS (SELECT evaluation_id, string_agg('| ' || rank || ' | ' || parameter || ' | ' || printf('%.1f', marks_lost::DOUBLE) || ' | ' || gap_type || ' | ' || difficulty || ' |', chr(10) ORDER BY rank) AS rows FROM gaps WHERE rank <= 10 GROUP BY evaluation_id)
+SELECT evaluation_id, '# Gaps' || chr(10) || chr(10) || {SUMMARY_SQL} || chr(10) || chr(10) || CASE WHEN rows IS NOT NULL THEN '| rank | criterion | lost | gap | difficulty |' || chr(10) || '|---|---|---|---|---|' || chr(10) || rows ELSE 'No gaps.' END AS report FROM rk LEFT JOIN lns USING (evaluation_id)""")
 def _(t: Tables):
     rows = items(t)
     return S.gap_report(gaps.gap_summary(rows), gaps.gap_rows(rows))
@@ -164,6 +167,14 @@ def _(t: Tables):
     return latest(feedback(t), ["doc", "clause_type", "user_id"], ["created_at", "id"]).select("doc", "clause_type", "user_id", "id")
 
 
+@R.query("st1_live_levels", f"WITH {ADJUSTED_SQL} SELECT clause_type, offering, solution, feedback_count, direction, adjusted_level FROM adj")
+def _(t: Tables):
+    # The batch twin of consensus_stream, which a test runs on the same rows, restarts included.
+    from dossier.operators.feedback import adjustments, latest
+
+    return adjustments(latest(feedback(t), ["doc", "clause_type", "user_id"], ["created_at", "id"]), targets(t), share=0.25).select("clause_type", "offering", "solution", "feedback_count", "direction", "adjusted_level")
+
+
 @R.query("st2_windowed_counts", f"WITH {FEEDBACK_SQL} SELECT date_trunc('day', created_at) AS start, clause_type, agreement, count(*) AS n FROM feedback GROUP BY ALL")
 def _(t: Tables):
     rows = feedback(t).withColumn("created_at", F.col("created_at").cast("timestamp"))

@@ -80,7 +80,7 @@ _REMARKS_SQL = "remarks(clause_type, risk_level, remark) AS (VALUES " + ", ".joi
 @R.query("r14_remarks", f"WITH {_SQL}, {_REMARKS_SQL} SELECT doc, seq, coalesce(remark, '') AS remark FROM assessed LEFT JOIN remarks USING (clause_type, risk_level)")
 def _(t: Tables):
     remarks = t.spark.createDataFrame(K.REMARKS, "clause_type string, risk_level string, remark string")
-    return K.with_remarks(K.assessed(clauses(t)), F.broadcast(remarks)).select("doc", "seq", "remark")
+    return K.with_remarks(K.assessed(clauses(t)), remarks).select("doc", "seq", "remark")
 
 
 @R.query("r15_document_summary", f"""WITH {_SQL} SELECT doc, {', '.join(f"count(*) FILTER (risk_level = '{x}') AS n_{x.lower()}" for x in ('ACCEPTABLE', 'LOW', 'MEDIUM', 'HIGH', 'NEEDS_REVIEW'))},

@@ -209,9 +209,14 @@ def _(t: Tables):
     return _plain(gaps.gap_summary(items(t), experience=_WORDS).select("evaluation_id", "deficit", "recoverable", "risk"))
 
 
-@R.query("q6_summary", f"""WITH {ITEMS_SQL}, {_GAPS_SQL} SELECT evaluation_id, concat_ws(' ', 'Scored ' || printf('%.1f', total_scored::DOUBLE) || '/' || doc_max || ' (' || printf('%.1f', round((100 * total_scored / doc_max){_D}, 1)::DOUBLE) || '%).',
+SUMMARY_SQL = f"""concat_ws(' ', 'Scored ' || printf('%.1f', total_scored::DOUBLE) || '/' || doc_max || ' (' || printf('%.1f', round((100 * total_scored / doc_max){_D}, 1)::DOUBLE) || '%).',
   CASE risk WHEN 'safe' THEN 'Qualifies with room.' WHEN 'marginal' THEN 'Qualifies narrowly.' WHEN 'at_risk' THEN 'At risk, short by ' || printf('%.1f', deficit::DOUBLE) || '.' ELSE 'Fails, short by ' || printf('%.1f', deficit::DOUBLE) || '.' END,
-  CASE WHEN recoverable > 0 THEN printf('%.1f', recoverable::DOUBLE) || ' marks easily won.' END, CASE WHEN wp IS NOT NULL THEN 'Largest gap: ' || wp || ' (' || printf('%.1f', wl::DOUBLE) || '/50).' END) AS summary FROM rk""")
+  CASE WHEN recoverable > 0 THEN printf('%.1f', recoverable::DOUBLE) || ' marks easily won.' END, CASE WHEN wp IS NOT NULL THEN 'Largest gap: ' || wp || ' (' || printf('%.1f', wl::DOUBLE) || '/50).' END)"""
+#: The same with the operator's own words of experience, of which no part's name has one.
+PLAIN_GAPS_SQL = _GAPS_SQL.replace("contains(lower(parameter), 'large') OR contains(lower(parameter), 'red')", "regexp_matches(lower(parameter), 'experience|turnover|years|tsa|ddu')")
+
+
+@R.query("q6_summary", f"WITH {ITEMS_SQL}, {_GAPS_SQL} SELECT evaluation_id, {SUMMARY_SQL} AS summary FROM rk")
 def _(t: Tables):
     return gaps.gap_summary(items(t), experience=_WORDS).select("evaluation_id", "summary")
 

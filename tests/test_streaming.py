@@ -1,9 +1,13 @@
 """Each stream ends with what its batch twin says of the same rows."""
 
+import pathlib
+import shutil
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dossier.operators.feedback import latest
+from dossier.operators.feedback import adjustments, latest
 from dossier.plans.bindings import feedback
 from dossier.plans.registry import Tables
 from dossier.streaming import jobs as J
@@ -24,14 +28,49 @@ def drained(query):
     assert query.exception() is None
 
 
+KEYS, ORDER = ["doc", "clause_type", "user_id"], ["created_at", "id"]
+
+
 def test_upsert(spark, rows, tmp_path):
     frame, path = rows
     seen = []
-    query = J.upsert_stream(J.stream(spark, path, frame), str(tmp_path / "out"), ["doc", "clause_type", "user_id"], ["created_at", "id"], str(tmp_path / "ck"), late="3650 days", after=lambda df, n: seen.append((n, df.count())))
-    drained(query)
-    got = spark.read.parquet(f"{tmp_path}/out/{seen[-1][0]}")
-    twin = latest(frame, ["doc", "clause_type", "user_id"], ["created_at", "id"])
-    assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in twin.collect())
+    run = lambda: drained(J.upsert_stream(J.stream(spark, path, frame), str(tmp_path / "out"), KEYS, ORDER, str(tmp_path / "ck"), late="3650 days", buckets=4, after=lambda df, n: seen.append((n, df.count()))))
+    run()
+    twin = sorted(r["id"] for r in latest(frame, KEYS, ORDER).collect())
+    got = J.snapshot(spark, str(tmp_path / "out"), frame.schema)
+    assert sorted(r["id"] for r in got.collect()) == twin and got.columns == frame.columns
+    assert seen[-1][1] == len(twin) and len(seen) >= 3
+    # Two versions of a bucket at most are left, and a restart without new rows changes nothing.
+    versions = [str(p) for p in (tmp_path / "out").glob("batch=*/bucket=*")]
+    assert len(versions) <= 2 * 4
+    run()
+    assert sorted(r["id"] for r in J.snapshot(spark, str(tmp_path / "out"), frame.schema).collect()) == twin
+
+
+def test_live_consensus_after_a_restart(spark, rows, tmp_path):
+    frame, path = rows
+    targets = frame.select("clause_type", "offering", "solution").distinct().orderBy("clause_type", "offering", "solution").limit(40).withColumn("system_level", F.lit("HIGH"))
+    part = tmp_path / "in"
+    part.mkdir()
+    files = sorted(p for p in pathlib.Path(path).glob("*.parquet"))
+    for k, f in enumerate(files):
+        shutil.copy(f, part / f"{k}.parquet")
+        drained(J.consensus_stream(J.stream(spark, str(part), frame), targets, str(tmp_path / "kept"), str(tmp_path / "levels"), str(tmp_path / "ck"), share=0.25, late="3650 days"))
+    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "levels").glob("number=*"))
+    columns = ["clause_type", "offering", "solution", "adjusted_level", "direction", "feedback_count"]
+    show = lambda df: sorted(map(str, df.select(columns).collect()))
+    assert last >= len(files) - 1
+    assert show(spark.read.parquet(f"{tmp_path}/levels/number={last}")) == show(adjustments(latest(frame, KEYS, ORDER), targets, share=0.25))
+
+
+def test_calls_over_span_borders(spark):
+    rng = np.random.default_rng(4)
+    calls = [("p", k, int(t), 429 if rng.random() < 0.1 else 200, None) for k, t in enumerate(np.sort(rng.integers(0, 2000, 300)))] + [("q", 900, 5, 200, None)]
+    got = {r["call_id"]: r for r in J.call_rates(spark.createDataFrame(calls, "provider string, call_id int, at int, status int, retry_after int"), spark.createDataFrame([("p", 7)], "provider string, cap int"), window=40, spans=2).collect()}
+    for p, k, t, _, _ in calls:
+        recent = sum(q == p and t - 40 <= u <= t for q, _, u, _, _ in calls)
+        refused = [u for q, _, u, s, _ in calls if q == p and s == 429 and u < t]
+        assert (got[k]["recent"], got[k]["over_cap"], got[k]["in_cooldown"]) == (recent, p == "p" and recent > 7, bool(refused) and t < max(refused) + 180)
 
 
 @pytest.mark.parametrize("kind", ["windows", "progress"])
@@ -48,6 +87,7 @@ def test_aggregates(spark, rows, tmp_path, kind):
 
 def test_ingest(spark, rows, tmp_path):
     frame, path = rows
-    drained(J.ingest_stream(J.stream(spark, path, frame), str(tmp_path / "registry"), "user_id", str(tmp_path / "ck")))
-    got = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "registry"))
+    for _ in range(2):
+        drained(J.ingest_stream(J.stream(spark, path, frame), str(tmp_path / "registry"), "user_id", str(tmp_path / "ck"), buckets=4))
+    got = spark.read.parquet(str(tmp_path / "registry"))
     assert got.count() == got.select("user_id").distinct().count() == frame.select("user_id").distinct().count()

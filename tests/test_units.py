@@ -92,6 +92,58 @@ def test_facts_and_guards(spark):
     assert one(spark, claims.cited_pages(F.col("t")), t="pages 12-14, p. 3 and pg. 12") == [3, 12]
 
 
+def test_facts_by_their_words(spark):
+    said = {
+        ("annual turnover", "Rs. 1,250.5 Cr in all"): ("turnover", 1250.5, "amount in rupees"),
+        ("similar projects", "handled 12 large scale projects"): ("projects", 12, "handled projects"),
+        ("similar projects", "enclosed details of 4 such projects"): ("projects", 4, "enclosed projects"),
+        ("similar projects", "9 assignments have been completed"): ("projects", 9, "completed projects"),
+        ("similar projects", "as below\n1. Roads\n2. Ports\n3. Rail"): ("projects", 3, "numbered list"),
+        ("similar projects", "handled 120 projects"): None,
+        ("staff on rolls", "1,200+ technically qualified people"): ("staff", 1200, "technically qualified"),
+        ("staff on rolls", "a payroll of 300"): ("staff", 300, "payroll"),
+        ("years since", "12+ years of relevant experience"): ("years", 12, "years of experience"),
+        ("years since", "working since 2004"): ("years", 20, "since"),
+        ("registration", "Yes"): ("present", 1, "stated"),
+        ("registration", "no"): None,
+    }
+    for (criterion, response), expected in said.items():
+        got = one(spark, claims.fact(F.col("r"), F.col("c")), r=response, c=criterion)
+        assert (tuple(got) if got else None) == expected, response
+    assert one(spark, claims.fact(F.col("r"), F.lit("turnover")), r=None) is None
+
+
+def test_claims_by_family(spark):
+    said = {
+        ("Financial strength", "BAND", "average 480.23 crores over 3 years"): ("turnover", 480.23),
+        ("Experience in the area", "STEP", "Plan, Mar 2016 to Jan 2018; Roads, June 2012 to till date; 1999 to date"): ("years", 12),
+        ("Handling of projects", "LLM", "details of the following 5 such assignments"): ("projects", 5),
+        ("Handling of projects", "LLM", "1 State Technical unit\n2 Technical Support cell\nnone"): ("projects", 2),
+        ("Manpower", "LLM", "more than 1,500 technically qualified personnel"): ("staff", 1500),
+        ("Manpower", "LLM", "more than 80 on the payroll"): ("staff", 80),
+        ("Registration", "BINARY", "We have a work order"): ("present", 1),
+        ("Tools", "PER_UNIT", "there are 7.5 of them"): ("number", 7.5),
+        ("Tools", "QUAL", "there are 7.5 of them"): None,
+        ("Turnover", "LLM", None): None,
+    }
+    for (parameter, formula, block), expected in said.items():
+        got = one(spark, claims.claimed(F.col("p"), F.col("f"), F.col("b")), p=parameter, f=formula, b=block)
+        assert (tuple(got) if got else None) == expected, block
+
+
+def test_formulas_and_comparisons_by_their_words(spark):
+    texts = {"every additional 5 Cr": "STEP", "For turnover of\n2 Cr and more than that": "STEP", "20 professionals or 40 professionals": "BAND", "2 marks for each assignment": "PER_UNIT", "CV of the leader": "QUAL", "ISO 9001": "BINARY", "Startup India": "BINARY", "a good plan": "LLM"}
+    assert {t: one(spark, criteria.formula_type(F.lit("x"), F.col("t")), t=t) for t in texts} == texts
+    rows = [("a", "x", "SF = 100 x FM / F"), ("b", "x", "highest number of staff gets the maximum score"), ("c", "x", "combined technical and financial score"), ("d", "x", "Quality and Cost Based Selection"), ("e", "x", "nothing"), ("e", "Work plan", None)]
+    got = criteria.comparative(spark.createDataFrame(rows, "doc string, parameter string, criteria_text string"))
+    assert sorted((r["doc"], bool(r["comparative"])) for r in got.collect()) == [("a", True), ("b", True), ("c", True), ("d", True), ("e", False), ("e", False)]
+
+
+def test_fingerprints_cut_bytes(spark):
+    same = [one(spark, tables.fingerprint(F.col("t"), 5), t=t) for t in ("éé\u00e9x", "éé\u00e9y", "ééa")]
+    assert same[0] == same[1] != same[2]
+
+
 def test_cut_answers_are_repaired(spark):
     rows = [(1, '```json\n{"k": 1,}\n```'), (2, 'so {"k": 2, "note": "cut of'), (3, "none"), (4, ""), (5, "{]"), (6, None)]
     got = {r["id"]: (r["parsed"]["k"] if r["parsed"] else None, r["error"]) for r in batches.answers(spark.createDataFrame(rows, "id int, raw string"), "k int, note string").collect()}
