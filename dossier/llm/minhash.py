@@ -29,7 +29,7 @@ EACH, COUNTERS = 8, 1 << 22
 #: Members of a bucket that are compared with each other at once where stars leave more than one component.
 BLOCK = 4096
 #: Bytes of such blocks that one call handles, about.
-UNIT = 32 << 20
+UNIT = 8 << 20
 
 
 def _orders() -> np.ndarray:
@@ -182,6 +182,15 @@ def _screened(df: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", least.alias("n"), "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
+def _can(n: np.ndarray, pos: np.ndarray, size, place, percent: int) -> np.ndarray:
+    """Whether sets of n shingles can be similar to one of `size`, if the bucket's shingle is the first that they share in order of rarity.
+
+    Then what they share stands at or after its places in both, so it is no more than the lesser rest. A similar pair
+    meets in the bucket of the first shingle that it shares, so it passes there. Bands have place 0.
+    """
+    return (100 + percent) * np.minimum(n - pos, size - place) >= percent * (n + size)
+
+
 def _cells(cells: pa.Table) -> Iterator[tuple[np.ndarray, int]]:
     """Rows of each cell of the grids, ordered by part, and the row from which all may stand on the other side.
 
@@ -197,12 +206,12 @@ def _cells(cells: pa.Table) -> Iterator[tuple[np.ndarray, int]]:
 
 def _met(cells: pa.Table, percent: int):
     """For each row of a cell that may be linked across components: the row, and the rows that pass size and signature."""
-    n, component = (np.asarray(cells.column(x)).copy() for x in ("n", "component"))
+    n, component, pos = (np.asarray(cells.column(x)).copy() for x in ("n", "component", "pos"))
     sigs = np.frombuffer(b"".join(x or bytes(2 * BINS) for x in cells.column("sig").to_pylist()), np.uint16).reshape(-1, BINS)
     for rows, turn in _cells(cells):
         for k in range(turn or len(rows)):
             r, others = rows[k], rows[turn or k + 1 :]
-            others = others[(component[others] != component[r]) & (100 * np.minimum(n[others], n[r]) >= percent * np.maximum(n[others], n[r]))]
+            others = others[(component[others] != component[r]) & _can(n[others], pos[others], n[r], pos[r], percent)]
             if len(others):
                 least = np.minimum(n[others], n[r])
                 others = others[(least <= EXACT) | (np.count_nonzero(sigs[others] == sigs[r], axis=1) >= BINS * screen(least, percent))]
@@ -245,13 +254,13 @@ def _across(percent: int):
 
 
 def _dealt(member: DataFrame) -> DataFrame:
-    """key, doc_id, component and m (rows of the key), with the row's part of about BLOCK rows at most, of `parts`.
+    """key, doc_id, pos, component and m (rows of the key), with the row's part of about BLOCK rows at most, of `parts`.
 
     A component of half a block or more has parts of its own, `own` of them from `first` on; the rest of a bucket
     share parts, where own is 0. Rows are dealt by their ids, so no component swells a part.
     """
     lone = lambda n: F.lit(n).cast("int")
-    narrow = member.where(F.col("m") <= BLOCK).select("key", "doc_id", "component", lone(0).alias("part"), lone(0).alias("first"), lone(0).alias("own"), lone(1).alias("parts"))
+    narrow = member.where(F.col("m") <= BLOCK).select("key", "doc_id", "pos", "component", lone(0).alias("part"), lone(0).alias("first"), lone(0).alias("own"), lone(1).alias("parts"))
     wide = member.where(F.col("m") > BLOCK)
     runs = F.ceil(F.col("c") / BLOCK).cast("int")
     large = wide.groupBy("key", "component").agg(F.count("*").alias("c")).where(F.col("c") >= max(2, BLOCK // 2)).withColumn("own", runs)
@@ -260,7 +269,7 @@ def _dealt(member: DataFrame) -> DataFrame:
     # Both sides that are broadcast have less than one row for 2,000 of the buckets' members; a crowd's rows stay where they lie.
     rows = wide.join(F.broadcast(large.select("key", "component", "first", "own")), ["key", "component"], "left").join(F.broadcast(taken), "key", "left")
     rows = rows.withColumn("taken", F.coalesce("taken", lone(0))).withColumn("shared", F.ceil((F.col("m") - F.coalesce("in_large", F.lit(0))) / BLOCK).cast("int"))
-    rows = rows.select("key", "doc_id", "component", F.coalesce("first", "taken").alias("first"), F.coalesce("own", lone(0)).alias("own"), "shared", (F.col("taken") + F.col("shared")).alias("parts"))
+    rows = rows.select("key", "doc_id", "pos", "component", F.coalesce("first", "taken").alias("first"), F.coalesce("own", lone(0)).alias("own"), "shared", (F.col("taken") + F.col("shared")).alias("parts"))
     part = F.col("first") + F.pmod(F.xxhash64("doc_id"), F.when(F.col("own") > 0, F.col("own")).otherwise(F.col("shared"))).cast("int")
     return narrow.unionByName(rows.withColumn("part", part).drop("shared"))
 
@@ -299,10 +308,10 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75) -> Dat
 
     # Stars: the buckets with company, two hubs of each (the smallest member, and the least by a hash), and everyone
     # else's candidate edges to them.
-    rows = reps.select("doc_id", F.explode("bands").alias("key")).unionByName(exact.select("doc_id", F.explode("keys").alias("key")))
+    rows = reps.select("doc_id", F.lit(0).alias("pos"), F.explode("bands").alias("key")).unionByName(exact.select("doc_id", F.posexplode("keys").alias("pos", "key")))
     second = F.min(F.struct(F.xxhash64("doc_id"), "doc_id"))["doc_id"]
     hubs = rows.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("other"), second.alias("second")).where("hub <> other").select("key", "hub", "second")
-    company = checkpointed(rows.join(hubs, "key").select("key", "hub", "second", "doc_id"))
+    company = checkpointed(rows.join(hubs, "key").select("key", "hub", "second", "doc_id", "pos"))
     side = {x: reps.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab"}
     edge = F.explode(F.array("hub", "second")).alias("h")
     stars = company.select("doc_id", edge).where("h <> doc_id").select(F.least("h", "doc_id").alias("a"), F.greatest("h", "doc_id").alias("b")).distinct()
@@ -311,12 +320,12 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75) -> Dat
     found = components(links)
 
     # What stars leave: buckets that still hold several components.
-    member = company.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    member = company.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "pos", F.coalesce("component", "doc_id").alias("component"))
     open_keys = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y and m > 2").select("key", "m")
     dealt = checkpointed(_dealt(checkpointed(member.join(open_keys, "key"))).join(reps.select("doc_id", "n", "sig"), "doc_id"))
-    cells = _grid(dealt).select("key", "i", "j", "part", F.col("doc_id").alias("id"), "n", "component", "sig")
+    cells = _grid(dealt).select("key", "i", "j", "part", F.col("doc_id").alias("id"), "pos", "n", "component", "sig")
     unit = lambda bytes_: F.pmod(F.xxhash64("key", "i", "j"), F.lit(1 + int(bytes_ or 0) // UNIT)).alias("unit")
-    kind = "key long, i int, j int, part int, id long, n long, component long, sig binary"
+    kind = "key long, i int, j int, part int, id long, pos int, n long, component long, sig binary"
     rows = cells.select("*", unit(dealt.agg(F.sum((F.col("parts") - F.col("own")) * 300)).first()[0]))
     likely = checkpointed(rows.groupBy("unit").applyInArrow(lambda t: _likely(percent)(t.drop_columns("unit")), kind))
     sets = docs.join(likely.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id long, shingles binary")

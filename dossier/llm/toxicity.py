@@ -71,7 +71,7 @@ class Table:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         size = 1 << max(4, (2 * len(keys)).bit_length())
-        self.keys, self.values, self.used, self.rounds = np.zeros(size, np.uint64), np.zeros(size), np.zeros(size, bool), 0
+        self.keys, self.values, self.used, self.rounds = np.zeros(size, np.uint64), np.zeros(size, np.float32), np.zeros(size, bool), 0
         left = np.arange(len(keys))
         while len(left):
             at = self._place(keys[left], self.rounds)

@@ -142,7 +142,7 @@ def test_vector_edges(spark, kind):
 def test_blocks_of_a_bucket_are_bounded_and_meet_across_components_only_once(spark, monkeypatch, crowds):
     monkeypatch.setattr(minhash, "BLOCK", 16)
     component = [c for c, n in crowds for _ in range(n)]
-    member = spark.createDataFrame([(5, k, c, len(component)) for k, c in enumerate(component)], "key long, doc_id long, component long, m long")
+    member = spark.createDataFrame([(5, k, 0, c, len(component)) for k, c in enumerate(component)], "key long, doc_id long, pos int, component long, m long")
     cells, copies = {}, 0
     for r in minhash._grid(minhash._dealt(member)).collect():
         cells.setdefault((r["i"], r["j"]), []).append((r["part"], r["doc_id"]))
@@ -197,7 +197,8 @@ def test_similar_sets_share_an_exact_key(size):
         if 100 * both >= 75 * (len(x) + len(y) - both):
             batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([x.tobytes(), y.tobytes()], pa.binary())], names=["doc_id", "small"])
             p, q = next(minhash._prefixes(levels, 75)(iter([batch]))).column("keys").to_pylist()
-            assert set(p) & set(q)
+            first = next(k for k in p if k in set(q))
+            assert minhash._can(np.array([len(x)]), np.array([p.index(first)]), len(y), q.index(first), 75).all()
 
 
 @pytest.mark.parametrize("visits", [1, 5, 40, 144])
