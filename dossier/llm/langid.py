@@ -162,7 +162,7 @@ def fit(docs: DataFrame) -> Filters | None:
 
     bits = held.mapInArrow(probes, "slot long, word long, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask"))
     slots = np.zeros((size, width), kind)
-    for row in bits.groupBy(F.expr(f"slot div {chunk}")).applyInArrow(filled, "chunk long, slots binary").toLocalIterator():
+    for row in bits.groupBy(F.expr(f"slot div {chunk}")).applyInArrow(filled, "chunk long, slots binary").collect():
         slots[row["chunk"] * chunk : (row["chunk"] + 1) * chunk] = np.frombuffer(row["slots"], kind).reshape(chunk, width)
     out = Filters(languages, slots, np.zeros(len(languages)))
     out.wrong = np.array([out.bit(slots, i).mean() for i in range(len(languages))]) ** PROBES
