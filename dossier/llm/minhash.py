@@ -254,13 +254,13 @@ def _across(percent: int):
 
 
 def _dealt(member: DataFrame) -> DataFrame:
-    """key, doc_id, pos, component and m (rows of the key), with the row's part of about BLOCK rows at most, of `parts`.
+    """key, doc_id, component and m (rows of the key), with the row's part of about BLOCK rows at most, of `parts`.
 
     A component of half a block or more has parts of its own, `own` of them from `first` on; the rest of a bucket
     share parts, where own is 0. Rows are dealt by their ids, so no component swells a part.
     """
     lone = lambda n: F.lit(n).cast("int")
-    narrow = member.where(F.col("m") <= BLOCK).select("key", "doc_id", "pos", "component", lone(0).alias("part"), lone(0).alias("first"), lone(0).alias("own"), lone(1).alias("parts"))
+    narrow = member.where(F.col("m") <= BLOCK).select("key", "doc_id", "component", lone(0).alias("part"), lone(0).alias("first"), lone(0).alias("own"), lone(1).alias("parts"))
     wide = member.where(F.col("m") > BLOCK)
     runs = F.ceil(F.col("c") / BLOCK).cast("int")
     large = wide.groupBy("key", "component").agg(F.count("*").alias("c")).where(F.col("c") >= max(2, BLOCK // 2)).withColumn("own", runs)
@@ -269,7 +269,7 @@ def _dealt(member: DataFrame) -> DataFrame:
     # Both sides that are broadcast have less than one row for 2,000 of the buckets' members; a crowd's rows stay where they lie.
     rows = wide.join(F.broadcast(large.select("key", "component", "first", "own")), ["key", "component"], "left").join(F.broadcast(taken), "key", "left")
     rows = rows.withColumn("taken", F.coalesce("taken", lone(0))).withColumn("shared", F.ceil((F.col("m") - F.coalesce("in_large", F.lit(0))) / BLOCK).cast("int"))
-    rows = rows.select("key", "doc_id", "pos", "component", F.coalesce("first", "taken").alias("first"), F.coalesce("own", lone(0)).alias("own"), "shared", (F.col("taken") + F.col("shared")).alias("parts"))
+    rows = rows.select("key", "doc_id", "component", F.coalesce("first", "taken").alias("first"), F.coalesce("own", lone(0)).alias("own"), "shared", (F.col("taken") + F.col("shared")).alias("parts"))
     part = F.col("first") + F.pmod(F.xxhash64("doc_id"), F.when(F.col("own") > 0, F.col("own")).otherwise(F.col("shared"))).cast("int")
     return narrow.unionByName(rows.withColumn("part", part).drop("shared"))
 
@@ -306,12 +306,11 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75) -> Dat
     levels = docs.sparkSession.sparkContext.broadcast(_rarity(small))
     exact = small.select("doc_id", "small").mapInArrow(_prefixes(levels, percent), "doc_id long, keys array<long>")
 
-    # Stars: the buckets with company, two hubs of each (the smallest member, and the least by a hash), and everyone
+    # Stars: the buckets with company, two hubs of each (the smallest and the largest member), and everyone
     # else's candidate edges to them.
-    rows = reps.select("doc_id", F.lit(0).alias("pos"), F.explode("bands").alias("key")).unionByName(exact.select("doc_id", F.posexplode("keys").alias("pos", "key")))
-    second = F.min(F.struct(F.xxhash64("doc_id"), "doc_id"))["doc_id"]
-    hubs = rows.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("other"), second.alias("second")).where("hub <> other").select("key", "hub", "second")
-    company = checkpointed(rows.join(hubs, "key").select("key", "hub", "second", "doc_id", "pos"))
+    rows = reps.select("doc_id", F.explode("bands").alias("key")).unionByName(exact.select("doc_id", F.explode("keys").alias("key")))
+    hubs = rows.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("second")).where("hub <> second")
+    company = checkpointed(rows.join(hubs, "key").select("key", "hub", "second", "doc_id"))
     side = {x: reps.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab"}
     edge = F.explode(F.array("hub", "second")).alias("h")
     stars = company.select("doc_id", edge).where("h <> doc_id").select(F.least("h", "doc_id").alias("a"), F.greatest("h", "doc_id").alias("b")).distinct()
@@ -320,9 +319,10 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75) -> Dat
     found = components(links)
 
     # What stars leave: buckets that still hold several components.
-    member = company.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "pos", F.coalesce("component", "doc_id").alias("component"))
+    member = company.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     open_keys = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y and m > 2").select("key", "m")
-    dealt = checkpointed(_dealt(checkpointed(member.join(open_keys, "key"))).join(reps.select("doc_id", "n", "sig"), "doc_id"))
+    open_rows = _dealt(checkpointed(member.join(open_keys, "key"))).join(reps.select("doc_id", "n", "sig"), "doc_id").join(exact, "doc_id", "left")
+    dealt = checkpointed(open_rows.withColumn("pos", F.greatest(F.coalesce(F.array_position("keys", F.col("key")), F.lit(0)) - 1, F.lit(0)).cast("int")).drop("keys"))
     cells = _grid(dealt).select("key", "i", "j", "part", F.col("doc_id").alias("id"), "pos", "n", "component", "sig")
     unit = lambda bytes_: F.pmod(F.xxhash64("key", "i", "j"), F.lit(1 + int(bytes_ or 0) // UNIT)).alias("unit")
     kind = "key long, i int, j int, part int, id long, pos int, n long, component long, sig binary"
