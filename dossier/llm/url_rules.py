@@ -10,6 +10,8 @@ from dossier.llm.common import table
 
 #: A host's labels in reverse, each ended by this: a host's key then starts every key of its subdomains. The path follows after PATH.
 MARK, PATH = "\x01", "\x00"
+#: What stands for these in a label, so that neither is in one.
+ESCAPES = [("\x02", "\x02c"), (MARK, "\x02b"), (PATH, "\x02a")]
 #: Rules of one run of the sorted rules, on average, and the most runs; points that one bucket of a run sweeps.
 RUN, RUNS, POINTS = 4096, 4096, 200_000
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -25,8 +27,14 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 
 def host_key(labels: Column) -> Column:
-    """The key of reversed labels; empty for none."""
-    return F.array_join(F.transform(labels, lambda x: F.concat(x, F.lit(MARK))), "")
+    """The key of reversed labels; empty for none. Control characters in labels are escaped, so only equal labels have equal keys."""
+
+    def one(label: Column) -> Column:
+        for plain, escaped in ESCAPES:
+            label = F.replace(label, F.lit(plain), F.lit(escaped))
+        return F.concat(label, F.lit(MARK))
+
+    return F.array_join(F.transform(labels, one), "")
 
 
 def _labels(host: Column) -> Column:

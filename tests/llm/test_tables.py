@@ -1,5 +1,7 @@
 """Top-k search, mixing and URL rules against SQL or brute force, and their edges."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -105,3 +107,26 @@ def test_many_rules_equal_a_plain_search(spark, run):
         host, path = got[k]["host"], got[k]["path"]
         fits = [(len(h) + len(p), len(h), v == "block", h + p, v) for (h, p), v in rules.items() if (host == h or host.endswith("." + h)) and path.startswith(p)]
         assert (got[k]["rule"], got[k]["verdict"]) == (max(fits)[3:] if fits else (None, "allow")), u[:80]
+
+
+def plain_rule(url, rules):
+    """The longest rule that fits a url, by a search over all of them."""
+    rest = url[url.index("://") + 3 :] if "://" in url else ""
+    host = re.split(r"[/?#]", rest, maxsplit=1)[0].translate({c: c + 32 for c in range(65, 91)})
+    path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+    fits = [(len(h) + len(p), len(h), v == "block", h + p, v) for (h, p), v in rules.items() if (host == h or (h and host.endswith("." + h))) and path.startswith(p)]
+    return host, path, *(max(fits)[3:] if fits else (None, "allow"))
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_control_characters_are_characters_of_a_label(spark, seed):
+    rng = np.random.default_rng(seed)
+    part = lambda letters, least, most: "".join(rng.choice(list(letters), rng.integers(least, most)))
+    host = lambda: ".".join(part("ac\x00\x01\x02", 0, 3) for _ in range(rng.integers(1, 4)))
+    path = lambda: "/" + part("a/\x00\x01\x02\xff", 0, 4)
+    rules = {("example.com", "/de/"): "block", ("example.net", "/en/"): "allow", ("net", "/"): "block"} | {(host(), path()): ("block", "allow")[rng.integers(0, 2)] for _ in range(80)}
+    urls = ["http://com\x01example/de/x", "http://net\x01example/en/x", "http://com\x02b.example/de/"] + [f"http://{host()}{path()}" for _ in range(400)]
+    table = spark.createDataFrame([(h, p, v) for (h, p), v in rules.items()], "host string, path string, verdict string")
+    for run in (3, 4096):
+        got = {r["id"]: r for r in url_rules.judged(spark.createDataFrame(list(enumerate(urls)), "id long, url string").repartition(3), table, run=run).collect()}
+        assert [(got[k]["host"], got[k]["path"], got[k]["rule"], got[k]["verdict"]) for k in range(len(urls))] == [plain_rule(u, rules) for u in urls]
