@@ -20,16 +20,24 @@ LEAST_SHARE = 0.25
 TOXIC = 0.7
 
 
+def _set_aside(docs: DataFrame) -> tuple[DataFrame, list]:
+    """docs with every column but text under a number, so that no stage can meet its name, and the columns that bring the names back."""
+    held = {c: "text" if c == "text" else f"column_{k}" for k, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in held.items()]), [F.col(n).alias(c) for c, n in held.items()]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in a learned language stay."""
-    got = langid.identified(docs, langid.fit(docs))
-    return got.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+    rows, back = _set_aside(docs)
+    got = langid.identified(rows, langid.fit(docs))
+    return got.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select(*back)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that score below TOXIC stay."""
+    rows, back = _set_aside(docs)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).where(F.col("score") < TOXIC).select(docs.columns)
+    return toxicity.scored(rows, model).where(F.col("score") < TOXIC).select(*back)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +47,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     text = F.col("text").cast("string")
     own = F.xxhash64(F.col("doc_id").isNull(), "doc_id", text.isNull(), text)
-    rows = docs.withColumn("_row", own)
-    groups = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id").distinct()
-    ids = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(text).alias("hash"), "_row").alias("rank"))
-    kept = groups.join(ids, "_row").groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank._row")
-    one = F.row_number().over(W.partitionBy("_row").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
-    return rows.join(kept, "_row", "left_semi").withColumn("_one", one).where("_one = 1").select(docs.columns)
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("whole"), own.alias("own"), tie.alias("tie"), "doc_id", "text")
+    groups = minhash.near_duplicates(rows.select(F.col("own").alias("doc_id"), "text")).select(F.col("doc_id").alias("own"), "component_id").distinct()
+    ids = rows.select("own", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(text).alias("hash"), "own").alias("rank"))
+    kept = groups.join(ids, "own").groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank.own")
+    one = F.row_number().over(W.partitionBy("own").orderBy("tie"))
+    return rows.select("whole", "own", "tie").join(kept, "own", "left_semi").withColumn("one", one).where("one = 1").select("whole.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
