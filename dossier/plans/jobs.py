@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from dossier.operators import batches as D, gaps, risk
@@ -11,11 +13,18 @@ from dossier.plans.scores import PLAIN_GAPS_SQL, SUMMARY_SQL
 from dossier.plans.reviews import _ADJ_SQL as ADJUSTED_SQL, _targets as targets
 from dossier.plans.risks import _SQL as ASSESSED_SQL
 from dossier.sources import tables as S
+from dossier.sources.keyed import KeyedTable, shared_folder
 from dossier.streaming import jobs as J
 
 R = Registry()
 
 
+def _table(t: Tables, key: str) -> KeyedTable:
+    """An empty table of this run in the shared folder."""
+    return KeyedTable(t.spark, f"{shared_folder(t.spark)}/table-{uuid.uuid4().hex}", key, buckets=8)
+
+
+
 @R.query("s1_scan", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'unsupported type: xls' END AS error, CASE WHEN doc_id % 5 <> 0 THEN length(text) END AS n FROM documents")
 def _(t: Tables):
     files = t.documents.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 5 == 0, ".XLS").otherwise(".txt")).alias("path"), F.col("text").alias("content"))
@@ -41,11 +50,37 @@ def _(t: Tables):
     return S.replaced(now, now.where("o_orderkey % 10 = 0").withColumn("price", F.lit(0.0)), ["o_orderkey"])
 
 
+_HISTORY_SQL = """o AS (SELECT o_orderkey, o_custkey, o_totalprice AS price, o_orderpriority AS priority FROM orders),
+v2 AS (SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 5 = 0 THEN 0 ELSE price END::DOUBLE AS price, priority FROM o WHERE NOT (o_custkey % 5 = 0 AND o_orderkey % 2 = 1)),
+v3 AS (SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 7 = 0 THEN 1 ELSE price END::DOUBLE AS price, priority FROM v2),
+v4 AS (SELECT * FROM v3 WHERE o_custkey % 11 <> 0)"""
+
+
+@R.query("s4_table_history", f"WITH {_HISTORY_SQL} SELECT 1 AS version, * FROM o UNION ALL SELECT 2, * FROM v2 UNION ALL SELECT 3, * FROM v3 UNION ALL SELECT 4, * FROM v4")
+def _(t: Tables):
+    # Customers' orders: all written, some customers replaced (by fewer rows), some patched, some deleted; every version read again.
+    from dossier.operators.feedback import merged
+
+    rows = t.orders.select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority"))
+    table = _table(t, "o_custkey")
+    table.replace(rows)
+    fifth = rows.where("o_custkey % 5 = 0")
+    table.replace(fifth.where("o_orderkey % 2 = 0").withColumn("price", F.lit(0.0)), fifth)
+    fixes = table.read().where("o_custkey % 7 = 0").select("o_orderkey", "o_custkey", F.lit(1.0).alias("price"), F.lit(None).cast("string").alias("priority"))
+    table.patch(fixes, ["o_orderkey", "o_custkey"], merged)
+    table.delete(rows.where("o_custkey % 11 = 0"))
+    every = [table.read(v).withColumn("version", F.lit(v)) for v in table.versions()]
+    return every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3])
+
+
 @R.query("s5_chunk_ingest", f"WITH {LINES_SQL} SELECT doc_id, line_no, CASE WHEN doc_id % 3 = 0 THEN 'new: ' || text ELSE text END AS text FROM lines WHERE NOT (doc_id % 3 = 0 AND line_no % 2 = 1)")
 def _(t: Tables):
     rows = lines(t).select("doc_id", "line_no", "text")
     new = rows.where("doc_id % 3 = 0 and line_no % 2 = 0").withColumn("text", F.concat(F.lit("new: "), F.col("text")))
-    return S.replaced(rows.where("doc_id % 3 <> 0"), new, ["doc_id"])
+    table = _table(t, "doc_id")
+    table.replace(rows)
+    table.replace(new, rows.where("doc_id % 3 = 0"))
+    return table.read()
 
 
 @R.query("s6_full_document", f"WITH {LINES_SQL} SELECT doc_id, string_agg(text, chr(10) ORDER BY page_no, line_no) AS text FROM lines GROUP BY doc_id")

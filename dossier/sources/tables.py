@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from dossier.sources.keyed import KeyedTable
+
 SUPPORTED = ["pdf", "docx", "txt", "md"]
 
 
@@ -42,10 +44,9 @@ def replaced(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return current.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
-def write_by_document(chunks: DataFrame, path: str, doc: str = "doc", buckets: int = 64) -> None:
-    """Write chunks under buckets of a hash of their document; only the buckets at hand are overwritten."""
-    rows = chunks.withColumn("bucket", F.pmod(F.xxhash64(doc), F.lit(buckets)))
-    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+def write_by_document(chunks: DataFrame, path: str, doc: str = "doc", buckets: int = 64) -> int:
+    """Put chunks in place of all chunks of their documents in the table under path; returns its new version (see keyed.KeyedTable)."""
+    return KeyedTable(chunks.sparkSession, path, doc, buckets=buckets).replace(chunks)
 
 
 def without_document(chunks: DataFrame, doc: str, value) -> tuple[DataFrame, DataFrame]:

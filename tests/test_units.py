@@ -165,13 +165,8 @@ def test_expansion_of_first_place_only(spark):
     assert one(spark, graph.expanded(F.col("t"), [("LD", "damages")]), t="LD and LD, not LDX") == "LD (damages) and LD, not LDX"
 
 
-def test_folders_are_scanned_and_overwritten_by_bucket(spark, tmp_path):
+def test_folders_are_scanned(spark, tmp_path):
     (tmp_path / "a.txt").write_text("hello")
     (tmp_path / "b.xls").write_text("no")
     got = {r["path"][-5:]: r["error"] for r in tables.scan(spark, str(tmp_path)).collect()}
     assert got == {"a.txt": None, "b.xls": "unsupported type: xls"}
-    chunks = spark.createDataFrame([(d, k) for d in "abc" for k in range(3)], "doc string, k int")
-    out = str(tmp_path / "chunks")
-    tables.write_by_document(chunks, out)
-    tables.write_by_document(chunks.where("doc = 'a' and k = 0"), out)
-    assert spark.read.parquet(out).where("doc = 'a'").count() == 1 and spark.read.parquet(out).where("doc = 'b'").count() == 3
