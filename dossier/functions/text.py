@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -64,24 +65,75 @@ def percentage(text: Text) -> Column:
     return F.regexp_extract(_col(text), r"(\d+(?:\.\d+)?)\s*%", 1).try_cast("double")
 
 
-def shape(words: str) -> str:
-    """The regular expression of words in a row, as they begin: `#` is a number, `a|b` either word, `..` whatever lies between."""
-    out, last = "", ".."
-    for w in words.split():
-        glue = "" if ".." in (last, w) else r"\s*" if "#" in (last, w) else r"\s+"
-        word = "(?:" + "|".join(map(re.escape, w.split("|"))) + ")[a-z]*"
-        out += glue + {"..": ".*?", "#": r"\d[\d,]*(?:\.\d+)?"}.get(w, word if last == "#" or not w[0].isalpha() else rf"\b{word}")
-        last = w
-    return out
+class Cue(NamedTuple):
+    """A word to look for: one of these kinds, after one of these runs of words and, if it is a number (kind `#`), before one of these units."""
 
+    kind: tuple[str, ...]
+    lead: tuple[str, ...] = ()
+    unit: tuple[str, ...] = ()
+    times: int = 1
 
-def has_shape(text: Column, shapes: list[str], times: int = 1) -> Column:
-    """Whether a lower-cased text has any of the shapes, that one `times` times; null has none."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    out = F.lit(False)
-    for words in shapes:
-        out = out | (F.regexp_count(low, F.lit("(?s)" + shape(words))) >= times)
-    return out
+
+class Rule(NamedTuple):
+    """What a text is called if it holds all cues, each behind the one before if they are in order."""
+
+    label: str
+    cues: list[Cue]
+    in_order: bool = False
+
+
+def typed(text: Text, classes: dict[str, list[str]], *, back: int = 4) -> Column:
+    """Words and numbers of a lower-cased text: an array of (place from 1, kind, unit, value, lead).
+
+    The kind of a word is the class that lists it, else the word; of a number `#`, and its unit is the next word's kind. lead is the kinds
+    of the `back` words before, each after a space.
+    """
+    said = F.regexp_extract_all(F.lower(F.coalesce(_col(text), F.lit(""))), F.lit(r"([a-z]+|\d[\d,]*(?:\.\d+)?)"), F.lit(1))
+    class_of = F.create_map(*[F.lit(x) for name, words in classes.items() for w in words for x in (w, name)])
+    number = lambda w: F.replace(w, F.lit(","), F.lit("")).try_cast("double")
+    both = F.transform(said, lambda w: F.struct(F.coalesce(class_of[w], F.when(F.rlike(w, F.lit("^[0-9]")), "#"), w).alias("kind"), number(w).alias("value")))
+
+    def one(ws: Column) -> Column:
+        kinds = lambda start, n: F.transform(F.slice(ws, start, n), lambda x: F.concat(F.lit(" "), x["kind"]))
+        return F.transform(ws, lambda w, i: F.struct((i + 1).alias("place"), w["kind"].alias("kind"), F.get(ws, i + 1)["kind"].alias("unit"), w["value"].alias("value"), F.array_join(kinds(F.greatest(i - back + 1, F.lit(1)), F.least(i, F.lit(back))), "").alias("lead")))
+
+    return F.flatten(F.transform(F.array(both), one))
+
+
+def fitting(tokens: Column, cue: Cue, after: Column | None = None) -> Column:
+    """The typed tokens that a cue finds, behind a place if one is given."""
+
+    def fits(w: Column) -> Column:
+        out = w["kind"].isin(*cue.kind)
+        if cue.lead:
+            out = out & reduce(Column.__or__, [F.endswith(w["lead"], F.lit(f" {x}")) for x in cue.lead])
+        if cue.unit:
+            out = out & F.coalesce(w["unit"].isin(*cue.unit), F.lit(False))
+        return out if after is None else out & F.coalesce(w["place"] > after, F.lit(False))
+
+    return F.filter(tokens, fits)
+
+
+def holds(tokens: Column, rule: Rule) -> Column:
+    """Whether typed tokens hold all cues of a rule."""
+    if not rule.in_order:
+        return reduce(Column.__and__, [F.size(fitting(tokens, c)) >= c.times for c in rule.cues])
+    at = F.lit(0)
+    for cue in rule.cues:
+        at = F.array_min(F.transform(fitting(tokens, cue, at), lambda w: w["place"]))
+    return at.isNotNull()
+
+
+def first_rule(text: Text, classes: dict[str, list[str]], rules: list[Rule]) -> Column:
+    """The label of the first rule that a text meets, else null. The text is cut into words once."""
+
+    def chosen(tokens: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for rule in reversed(rules):
+            out = F.when(holds(tokens, rule), rule.label).otherwise(out)
+        return out
+
+    return F.get(F.transform(F.array(typed(text, classes)), chosen), F.lit(0))
 
 
 def mentions(text: Column, window: int = 5) -> Column:

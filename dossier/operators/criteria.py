@@ -6,21 +6,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from dossier.functions.text import has_shape, normalised
+from dossier.functions.text import Cue, Rule, first_rule, normalised
 
 #: Rows that are no criteria, sub-items and tasks.
 SKIP = r"(?i)(total|sub.?total|grand|note|minimum qualifying)"
 SUB_ITEM = r"^\(?[a-h]\)"
 ACTION = r"(?i)^(prepare|assist|support|conduct|review|monitor)\b"
-# Fixed values, as shapes of words (see functions.text.shape): what tells a formula, in the order in which they are tried, and comparative scoring.
-STEP = ["every additional # cr", "for turnover .. more than", "above # cr .. # mark"]
-BAND_TWICE = ["# professional", "# employee"]
-BAND_AMOUNT = ["up to # cr|lakh", "more than # cr|lakh"]
-PER_UNIT = ["# mark for each|per|one|01 project|assignment", "each|per project|assignment .. # mark"]
-QUAL = ["qualification", "competence", "cv", "curriculum vitae", "post graduate", "years of exp"]
-BINARY = ["registered", "certified", "accredited", "empanelled", "iso #", "startup india", "msme"]
-COMPARATIVE = ["proportionate score", "highest number .. maximum score", "maximum score .. proportionate", "relative scoring", "comparative size|quality|evaluation", "ranked from highest to lowest", "qcbs", "quality .. cost .. based selection", "sf = # x|*|× fm", "combined score|technical"]
-METHODOLOGY = ["methodology", "work plan"]
+# The words that tell a scheme. Classes of words that count as one, and rules in the order in which they are tried.
+CLASSES = {
+    "mark": ["mark", "marks"], "crore": ["cr", "crs", "crore", "crores"], "lakh": ["lakh", "lakhs"], "professional": ["professional", "professionals"], "employee": ["employee", "employees"],
+    "each": ["each", "per"], "single": ["one", "01"], "job": ["project", "projects", "assignment", "assignments"], "qualification": ["qualification", "qualifications"], "cv": ["cv", "cvs"],
+    "competence": ["competence", "competences"], "experience": ["exp", "experience"], "score": ["score", "scores"], "msme": ["msme", "msmes"], "hundred": ["100"],
+}
+NUMBER = ("#", "hundred")
+FORMULAS = [
+    Rule("STEP", [Cue(NUMBER, ("every additional",), ("crore",))]),
+    Rule("STEP", [Cue(("turnover",), ("for",)), Cue(("than",), ("more",))], in_order=True),
+    Rule("STEP", [Cue(NUMBER, ("above",), ("crore",)), Cue(NUMBER, unit=("mark",))], in_order=True),
+    Rule("BAND", [Cue(NUMBER, unit=("professional",), times=2)]),
+    Rule("BAND", [Cue(NUMBER, unit=("employee",), times=2)]),
+    Rule("BAND", [Cue(NUMBER, ("up to", "more than"), ("crore", "lakh")), Cue(NUMBER, unit=("mark",), times=2)]),
+    Rule("PER_UNIT", [Cue(("job",), ("# mark for each", "# mark for single"))]),
+    Rule("PER_UNIT", [Cue(("job",), ("each",)), Cue(NUMBER, unit=("mark",))], in_order=True),
+    Rule("QUAL", [Cue(("qualification", "competence", "cv"))]),
+    Rule("QUAL", [Cue(("vitae", "graduate", "experience"), ("curriculum", "post", "years of"))]),
+    Rule("BINARY", [Cue(("registered", "certified", "accredited", "empanelled", "msme"))]),
+    Rule("BINARY", [Cue((*NUMBER, "india"), ("iso", "startup"))]),
+]
+PERSONAL = [Rule("QUAL", [Cue(("qualification", "competence"))])]
+RELATIVE = [
+    Rule("share", [Cue(("score",), ("proportionate",))]),
+    Rule("share", [Cue(("score",), ("maximum",)), Cue(("proportionate",))], in_order=True),
+    Rule("rank", [Cue(("number",), ("highest",)), Cue(("score",), ("maximum",))], in_order=True),
+    Rule("rank", [Cue(("lowest",), ("ranked from highest to",))]),
+    Rule("relative", [Cue(("scoring",), ("relative",))]),
+    Rule("relative", [Cue(("size", "quality", "evaluation"), ("comparative",))]),
+    Rule("weighed", [Cue(("qcbs",))]),
+    Rule("weighed", [Cue(("quality",)), Cue(("cost",)), Cue(("selection",), ("based",))], in_order=True),
+    Rule("weighed", [Cue(("fm",), ("sf hundred", "sf hundred x"))]),
+    Rule("weighed", [Cue(("score",), ("combined", "combined technical and financial"))]),
+]
+METHOD = [Rule("method", [Cue(("methodology",))]), Rule("method", [Cue(("plan",), ("work",))])]
 THEMES = [("experience", "Experience"), ("turnover|revenue", "Financial strength"), ("team|expert|cv", "Team"), ("method|plan", "Methodology")]
 
 
@@ -37,11 +63,10 @@ def deduplicated(criteria: DataFrame, order: str) -> DataFrame:
     return criteria.withColumn("_key", key).withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "_key")
 
 
-def formula_type(parameter: Column, text: Column) -> Column:
-    """STEP, BAND, PER_UNIT, QUAL, BINARY or LLM: the first formula whose shapes the text has (or, for QUAL, the parameter)."""
-    band = has_shape(text, BAND_TWICE, 2) | (has_shape(text, BAND_AMOUNT) & has_shape(text, ["# mark"], 2))
-    chosen = F.when(has_shape(text, STEP), "STEP").when(band, "BAND").when(has_shape(text, PER_UNIT), "PER_UNIT")
-    return chosen.when(has_shape(text, QUAL) | has_shape(parameter, QUAL[:2]), "QUAL").when(has_shape(text, BINARY), "BINARY").otherwise("LLM")
+def formula_type(parameter: Column, text: Column, rules: list[Rule] = FORMULAS) -> Column:
+    """STEP, BAND, PER_UNIT, QUAL, BINARY or LLM: the first rule that the text meets; a parameter about a person is QUAL before BINARY."""
+    said = first_rule(text, CLASSES, rules)
+    return F.when(F.coalesce(said == "BINARY", F.lit(True)) & first_rule(parameter, CLASSES, PERSONAL).isNotNull(), "QUAL").otherwise(F.coalesce(said, F.lit("LLM")))
 
 
 def code_number(code: Column) -> Column:
@@ -86,8 +111,8 @@ def with_hierarchy(criteria: DataFrame) -> DataFrame:
 
 def comparative(criteria: DataFrame) -> DataFrame:
     """criteria with comparative: the row's text says so, or any text of the document does and the row is about methodology."""
-    own = has_shape(F.col("criteria_text"), COMPARATIVE)
-    return criteria.withColumn("comparative", own | (F.max(own).over(W.partitionBy("doc")) & has_shape(F.col("parameter"), METHODOLOGY)))
+    own = first_rule("criteria_text", CLASSES, RELATIVE).isNotNull()
+    return criteria.withColumn("comparative", own | (F.max(own).over(W.partitionBy("doc")) & first_rule("parameter", CLASSES, METHOD).isNotNull()))
 
 
 def most_marks(text: Column) -> Column:

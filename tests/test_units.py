@@ -170,3 +170,33 @@ def test_folders_are_scanned(spark, tmp_path):
     (tmp_path / "b.xls").write_text("no")
     got = {r["path"][-5:]: r["error"] for r in tables.scan(spark, str(tmp_path)).collect()}
     assert got == {"a.txt": None, "b.xls": "unsupported type: xls"}
+
+
+FORMULAS = {
+    "Base 50 Cr, every additional 10 crore gets 2": "STEP", "for turnover of the firm more than 50": "STEP", "above 1,000 Crs gets 5 marks": "STEP", "5 marks above 50 cr": "LLM", "more than 5, for turnover": "LLM",
+    "20 professionals 5, 40 Professional 9": "BAND", "20 employees, 40 employees": "BAND", "20 employees, 40 professionals": "LLM", "up to 50 lakhs: 2 marks, more: 5 marks": "BAND", "up to 50 lakhs: 2 marks": "LLM",
+    "2 marks for each project": "PER_UNIT", "2 marks for 01 assignment": "PER_UNIT", "per assignment in the sector 2 marks": "PER_UNIT", "2 marks are for firms per project": "LLM",
+    "CV of the lead": "QUAL", "curriculum vitae": "QUAL", "ten years of experience": "QUAL", "recvd": "LLM", "ISO 9001": "BINARY", "ISO 100": "BINARY", "under Startup India": "BINARY", "iso": "LLM", "MSMEs": "BINARY", "": "LLM", None: "LLM",
+}
+
+
+def test_formulas_by_words(spark):
+    rows = [(k, "x", t) for k, t in enumerate(FORMULAS)] + [(99, "Qualification of staff", "registered"), (98, "Competence", "none"), (97, "Qualification", "every additional 5 cr")]
+    got = {r["k"]: r["f"] for r in spark.createDataFrame(rows, "k int, p string, t string").select("k", criteria.formula_type(F.col("p"), F.col("t")).alias("f")).collect()}
+    assert [got[k] for k in range(len(FORMULAS))] == list(FORMULAS.values())
+    assert (got[99], got[98], got[97]) == ("QUAL", "QUAL", "STEP")
+
+
+def test_comparative_by_words(spark):
+    yes = ["proportionate scores apply", "the highest number gets the maximum score", "maximum score, others proportionate", "ranked from highest to lowest", "comparative quality", "QCBS", "Quality and Cost Based Selection", "Sf = 100 x Fm", "SF=100×FM", "combined technical and financial score", "combined score"]
+    no = ["maximum score to the highest number", "proportionate", "cost and quality based selection", "relative", "sf = 90 x fm", "", None]
+    rows = [(k, k, "x", t) for k, t in enumerate(yes + no)] + [(100, 0, "Work plan", "none"), (101, 50, "Methodology", "none")]
+    got = {r["k"]: r["comparative"] for r in criteria.comparative(spark.createDataFrame(rows, "k int, doc int, parameter string, criteria_text string")).collect()}
+    assert [got[k] for k in range(len(yes + no))] == [True] * len(yes) + [False] * len(no) and got[100] and not got[101]
+
+
+def test_payment_and_replacement_by_words(spark):
+    texts = [("payment", "Payment within 30", "no approval timeline"), ("payment", "30 days from billing; 15 days for comments", ""), ("payment", "days after invoice; deemed to be fully approved", "no invoice cycle"), ("payment", "approved, deemed", "no invoice cycle,no approval timeline"), ("personnel", "45 days, replacement in 60 days or 90 days", "60"), ("personnel", "60 days, replacement at once", "")]
+    frame = spark.createDataFrame([(k, c, t) for k, (c, t, _) in enumerate(texts)], "k int, clause_type string, clause_text string")
+    got = {r["k"]: ",".join(r["triggers"]) for r in risk.assessed(frame).collect()}
+    assert [got[k] for k in range(len(texts))] == [x for _, _, x in texts]
