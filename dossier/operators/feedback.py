@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from dossier.functions.frames import first_of
 from dossier.functions.text import upper_trimmed
+from dossier.operators.similarity import within, with_blanks
 
 #: Risk levels in ascending order, and the valid answers.
 RISK_ORDER = ["ACCEPTABLE", "LOW", "MEDIUM", "HIGH"]
@@ -30,19 +31,24 @@ def submitted(feedback: DataFrame, clause_types: list[str]) -> DataFrame:
     return latest(valid(feedback, clause_types), ["doc", "clause_type", "user_id"], ["created_at", "id"])
 
 
-def _meets(a: Column, b: Column) -> Column:
-    return (b == "") | F.contains(a, b) | F.contains(b, a)
+def context_pairs(rows: DataFrame, targets: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """Distinct contexts of rows (row_offering, row_solution) that match those of targets (offering, solution), in one scope if columns are named.
 
-
-def context_pairs(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """Distinct contexts of rows (row_offering, row_solution) that match those of targets (offering, solution).
-
-    Names match where, upper-cased and trimmed, either holds the other; a blank matches all. Contexts are distinct
-    before they meet, so the substring join is as small as the two dimensions.
+    Names match where, upper-cased and trimmed, either holds the other; a blank matches all. Distinct names meet first,
+    by their rarest grams; contexts then meet by equal names, those with a blank offering by their solutions first.
     """
-    a = rows.select(upper_trimmed("offering").alias("row_offering"), upper_trimmed("solution").alias("row_solution")).distinct()
-    b = targets.select(upper_trimmed("offering").alias("offering"), upper_trimmed("solution").alias("solution")).distinct()
-    return a.join(b, _meets(F.col("row_offering"), F.col("offering")) & _meets(F.col("row_solution"), F.col("solution")))
+    scope = scope or []
+    a = rows.select(*scope, upper_trimmed("offering").alias("row_offering"), upper_trimmed("solution").alias("row_solution")).distinct()
+    b = targets.select(*scope, upper_trimmed("offering").alias("offering"), upper_trimmed("solution").alias("solution")).distinct()
+    column = lambda df, c: df.select(*scope, F.col(c).alias("text"))
+    offerings = within(column(a, "row_offering"), column(b, "offering"), scope).select(*scope, F.col("a").alias("row_offering"), F.col("b").alias("offering"))
+    x, y = column(a, "row_solution"), column(b, "solution")
+    solutions = with_blanks(within(x, y, scope), x, y, scope).select(*scope, F.col("a").alias("row_solution"), F.col("b").alias("solution"))
+    named = a.where("row_offering <> ''").join(offerings, [*scope, "row_offering"]).join(b, [*scope, "offering"]).join(solutions, [*scope, "row_solution", "solution"])
+    by_solution = lambda p, q: p.join(solutions, [*scope, "row_solution"]).join(q, [*scope, "solution"])
+    blank = by_solution(a.where("row_offering = ''"), b).unionByName(by_solution(a.where("row_offering <> ''"), b.where("offering = ''")), allowMissingColumns=True)
+    columns = [*scope, "row_offering", "row_solution", "offering", "solution"]
+    return named.select(columns).unionByName(blank.select(columns))
 
 
 def _top(df: DataFrame, keys: list[str], level: str, name: str) -> DataFrame:
@@ -58,8 +64,19 @@ def bumped(level: Column, by: int, unknown: int) -> Column:
     return F.element_at(order, F.least(F.greatest(F.when(at > 0, at).otherwise(unknown + 1) + by, F.lit(1)), F.lit(len(RISK_ORDER))).cast("int"))
 
 
+def context_counts(feedback: DataFrame) -> DataFrame:
+    """clause_type, row_offering, row_solution, suggested_level with n rows, how many found the level too high and too low, and the first id."""
+    return feedback.groupBy("clause_type", upper_trimmed("offering").alias("row_offering"), upper_trimmed("solution").alias("row_solution"), "suggested_level").agg(
+        F.count("*").alias("n"), F.count_if(F.col("agreement") == "too_high").alias("high"), F.count_if(F.col("agreement") == "too_low").alias("low"), F.min("id").alias("first"))
+
+
 def adjustments(feedback: DataFrame, targets: DataFrame, *, least: int = 1, share: float = 0.5) -> DataFrame:
-    """targets (clause_type, offering, solution, system_level) with the level that past feedback calls for.
+    """targets (clause_type, offering, solution, system_level) with the level that past feedback calls for; see adjusted."""
+    return adjusted(context_counts(feedback), targets, least=least, share=share)
+
+
+def adjusted(counts: DataFrame, targets: DataFrame, *, least: int = 1, share: float = 0.5) -> DataFrame:
+    """targets (clause_type, offering, solution, system_level) with the level that counts of feedback (see context_counts) call for.
 
     Feedback of the clause type whose context matches is counted; where a share of at least `share` found the level too high it
     falls to the most suggested level, else one lower; too low likewise, one higher. Adds feedback_count, direction,
@@ -67,9 +84,8 @@ def adjustments(feedback: DataFrame, targets: DataFrame, *, least: int = 1, shar
     """
     key = ["clause_type", "offering", "solution"]
     named = targets.withColumns({"_o": upper_trimmed("offering"), "_s": upper_trimmed("solution")})
-    pairs = context_pairs(feedback, targets)
-    met = feedback.withColumns({"row_offering": upper_trimmed("offering"), "row_solution": upper_trimmed("solution")}).drop("offering", "solution").join(pairs, ["row_offering", "row_solution"])
-    by_level = met.groupBy(*key, "suggested_level").agg(F.count("*").alias("n"), F.count_if(F.col("agreement") == "too_high").alias("high"), F.count_if(F.col("agreement") == "too_low").alias("low"), F.min("id").alias("first"))
+    pairs = context_pairs(counts.select(F.col("row_offering").alias("offering"), F.col("row_solution").alias("solution")), targets)
+    by_level = counts.join(pairs, ["row_offering", "row_solution"]).groupBy(*key, "suggested_level").agg(F.sum("n").alias("n"), F.sum("high").alias("high"), F.sum("low").alias("low"), F.min("first").alias("first"))
     top = F.min_by("suggested_level", F.when(F.col("suggested_level").isNotNull(), F.struct(-F.col("n"), "first"))).alias("top_suggested")
     counts = by_level.groupBy(*key).agg(F.sum("n").alias("feedback_count"), (F.sum("high") / F.sum("n")).alias("high"), (F.sum("low") / F.sum("n")).alias("low"), top)
     stats = counts.select(F.col("clause_type").alias("_c"), F.col("offering").alias("_o"), F.col("solution").alias("_s"), "feedback_count", "high", "low", "top_suggested")
@@ -137,11 +153,12 @@ def merged(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def learned_rule(rules: DataFrame, targets: DataFrame) -> DataFrame:
     """targets (clause_type, offering, solution) with the active rule (rule_id, rule_text) of the smallest id whose context matches."""
-    active = rules.where("active").select("clause_type", "rule_id", "rule_text", upper_trimmed("offering").alias("row_offering"), upper_trimmed("solution").alias("row_solution"))
+    active = rules.where("active").withColumns({"row_offering": upper_trimmed("offering"), "row_solution": upper_trimmed("solution")})
+    first = active.groupBy("clause_type", "row_offering", "row_solution").agg(F.min_by(F.struct("rule_id", "rule_text"), "rule_id").alias("r"))
     wanted = targets.select("clause_type", "offering", "solution", upper_trimmed("offering").alias("_o"), upper_trimmed("solution").alias("_s"))
-    met = wanted.select("clause_type", "_o", "_s").distinct().join(active, "clause_type").where(_meets(F.col("row_offering"), F.col("_o")) & _meets(F.col("row_solution"), F.col("_s")))
-    first = met.groupBy("clause_type", "_o", "_s").agg(F.min_by(F.struct("rule_id", "rule_text"), "rule_id").alias("r"))
-    return wanted.join(first, ["clause_type", "_o", "_s"], "left").select("clause_type", "offering", "solution", "r.*")
+    pairs = context_pairs(active, targets, ["clause_type"]).withColumnsRenamed({"offering": "_o", "solution": "_s"})
+    met = pairs.join(first, ["clause_type", "row_offering", "row_solution"]).groupBy("clause_type", "_o", "_s").agg(F.min_by("r", "r.rule_id").alias("r"))
+    return wanted.join(met, ["clause_type", "_o", "_s"], "left").select("clause_type", "offering", "solution", "r.*")
 
 
 def without(parents: DataFrame, children: DataFrame, gone: DataFrame, key: str, link: str) -> tuple[DataFrame, DataFrame]:

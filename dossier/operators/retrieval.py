@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from dossier.functions.frames import small
-from dossier.functions.text import jaccard, tokens
+from dossier.functions.text import tokens
+from dossier.operators.similarity import close, in_order, with_blanks, within
 
 
 def _unit(v: str) -> Column:
@@ -71,9 +72,15 @@ def keyword_overlap(queries: DataFrame, chunks: DataFrame, *, most: int = 20) ->
 
 def section_matches(queries: DataFrame, sections: DataFrame, *, most: int = 20) -> DataFrame:
     """query_id, section_no of sections (doc, section_no, heading) whose heading holds a query's title (doc, title), or is held, or shares over half its words."""
-    a, b = F.lower("title"), F.lower(F.coalesce("heading", F.lit("")))
-    words = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda x: x != ""))
-    met = queries.join(sections, "doc").where(F.contains(b, a) | F.contains(a, b) | (jaccard(words(a), words(b)) > 0.5))
+    q = queries.withColumn("_a", F.lower("title"))
+    s = sections.withColumn("_b", F.lower(F.coalesce("heading", F.lit(""))))
+    words = lambda c: in_order(F.filter(F.split(c, r"\s+"), lambda x: x != "")).alias("words")
+    a, b = q.select("doc", F.col("_a").alias("text")), s.select("doc", F.col("_b").alias("text"))
+    held = with_blanks(within(a, b, ["doc"]), a, b, ["doc"])
+    x, y = (t.where("text is not null").distinct().select("doc", "text", words("text")) for t in (a, b))
+    near = close(x, y, ["doc"], 0.5).where("share > 0.5").join(x.select("doc", F.col("words").alias("x"), F.col("text").alias("a")), ["doc", "x"]).join(y.select("doc", F.col("words").alias("y"), F.col("text").alias("b")), ["doc", "y"])
+    pairs = held.unionByName(near.select("doc", "a", "b")).distinct().select("doc", F.col("a").alias("_a"), F.col("b").alias("_b"))
+    met = q.join(pairs, ["doc", "_a"]).join(s, ["doc", "_b"])
     return met.withColumn("k", F.row_number().over(W.partitionBy("query_id").orderBy("section_no"))).where(F.col("k") <= most).select("query_id", "doc", "section_no")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from dossier.functions.text import tokens
+from dossier.operators.similarity import closest, in_order
 
 #: Weights of the evidence flags of a qualification criterion.
 QUAL_WEIGHTS = {"named_experts": 0.10, "education_stated": 0.25, "experience_years_stated": 0.25, "relevant_projects_listed": 0.25, "cvs_attached": 0.15}
@@ -75,20 +76,17 @@ def matched_rows(criteria: DataFrame, rows: DataFrame, *, doc: str = "doc", leas
     """Each criterion (doc, item_code, parameter) with row_code and match: code, prefix, name or none.
 
     An equal code wins, then the code without its last character, then the row whose name shares most words of
-    four letters and more, `least` at least, the first code of several. Names are compared only where they share a word.
+    four letters and more, `least` at least, the first code of several. Names meet as sets of words, by a prefix filter.
     """
     r = rows.select(F.col(doc), F.col("item_code").alias("row_code"), F.col("parameter").alias("row_parameter"))
     code = criteria.join(r.select(doc, "row_code"), (criteria[doc] == r[doc]) & (criteria["item_code"] == r["row_code"]), "left").drop(r[doc])
     short = F.expr("left(item_code, length(item_code) - 1)")
     p = r.select(F.col(doc).alias("_d"), F.col("row_code").alias("prefix_code"))
     both = code.withColumn("_short", short).join(p, (F.col(doc) == F.col("_d")) & (F.col("_short") == F.col("prefix_code")) & (F.col("_short") != ""), "left").drop("_d", "_short")
-    # Names meet by the words that they share, which are then counted; a hash stands for a name's words.
-    a, b = tokens("parameter", 4), tokens("row_parameter", 4)
-    left = both.where("row_code is null and prefix_code is null").select(doc, "item_code", F.xxhash64(a).alias("of_a"), F.size(a).alias("n_a"), a.alias("w")).distinct()
-    words = r.select(F.col(doc), "row_code", F.xxhash64(b).alias("of_b"), F.size(b).alias("n_b"), b.alias("w")).distinct()
-    met = left.withColumn("w", F.explode("w")).join(words.withColumn("w", F.explode("w")), [doc, "w"]).groupBy(doc, "item_code", "row_code", "of_a", "of_b").agg(F.count("*").alias("both"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
-    best = met.withColumn("overlap", F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).where(F.col("overlap") >= least)
-    best = best.groupBy(doc, "item_code").agg(F.min(F.struct(-F.col("overlap"), F.col("row_code")))["row_code"].alias("name_code"))
+    words = lambda c: in_order(tokens(c, 4)).alias("words")
+    left = both.where("row_code is null and prefix_code is null").select(doc, "item_code", words("parameter"))
+    near = left.join(closest(left, r.select(doc, words("row_parameter"), F.col("row_code").alias("rank")), [doc], least), [doc, "words"])
+    best = near.groupBy(doc, "item_code").agg(F.min(F.struct(-F.col("share"), "rank"))["rank"].alias("name_code"))
     got = both.join(best, [doc, "item_code"], "left")
     how = F.when(F.col("row_code").isNotNull(), "code").when(F.col("prefix_code").isNotNull(), "prefix").when(F.col("name_code").isNotNull(), "name").otherwise("none")
     return got.select(*criteria.columns, F.coalesce("row_code", "prefix_code", "name_code").alias("row_code"), how.alias("match"))
