@@ -45,15 +45,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are told apart by doc_id and text, so a null or repeated doc_id costs no text; rows equal in both are one.
     """
+    flat, back = _set_aside(docs)
+    number = F.col(f"column_{docs.columns.index('doc_id')}")
     text = F.col("text").cast("string")
-    own = F.xxhash64(F.col("doc_id").isNull(), "doc_id", text.isNull(), text)
-    tie = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(F.struct("*").alias("whole"), own.alias("own"), tie.alias("tie"), "doc_id", "text")
+    own = F.xxhash64(number.isNull(), number, text.isNull(), text)
+    rows = flat.withColumn("own", own)
     groups = minhash.near_duplicates(rows.select(F.col("own").alias("doc_id"), "text")).select(F.col("doc_id").alias("own"), "component_id").distinct()
-    ids = rows.select("own", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(text).alias("hash"), "own").alias("rank"))
+    ids = rows.select("own", F.struct(number.isNull().alias("none"), number.alias("doc_id"), F.xxhash64(text).alias("hash"), "own").alias("rank"))
     kept = groups.join(ids, "own").groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank.own")
-    one = F.row_number().over(W.partitionBy("own").orderBy("tie"))
-    return rows.select("whole", "own", "tie").join(kept, "own", "left_semi").withColumn("one", one).where("one = 1").select("whole.*")
+    one = F.row_number().over(W.partitionBy("own").orderBy(F.xxhash64(*flat.columns)))
+    return rows.join(kept, "own", "left_semi").withColumn("one", one).where("one = 1").select(*back)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
