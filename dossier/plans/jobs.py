@@ -204,7 +204,7 @@ def _(t: Tables):
 
 @R.query("st1_live_levels", f"WITH {ADJUSTED_SQL} SELECT clause_type, offering, solution, feedback_count, direction, adjusted_level FROM adj")
 def _(t: Tables):
-    # The batch twin of consensus_stream, which a test runs on the same rows, restarts included.
+    # The batch twin of keyed_state.consensus_stream, which a test runs on the same rows, restarts included.
     from dossier.operators.feedback import adjustments, latest
 
     return adjustments(latest(feedback(t), ["doc", "clause_type", "user_id"], ["created_at", "id"]), targets(t), share=0.25).select("clause_type", "offering", "solution", "feedback_count", "direction", "adjusted_level")
@@ -222,12 +222,12 @@ def _(t: Tables):
 
 
 @R.query("st4_call_rates", """WITH c AS (SELECT event_type AS provider, event_id AS call_id, epoch(date_trunc('second', ts))::BIGINT AS at_, CASE WHEN event_id % 7 = 0 THEN 429 ELSE 200 END AS status FROM events),
-w AS (SELECT *, count(*) OVER (PARTITION BY provider ORDER BY at_ RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS recent, max(CASE WHEN status = 429 THEN at_ END) OVER (PARTITION BY provider ORDER BY at_ RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS refused FROM c)
-SELECT provider, call_id, recent, recent > CASE provider WHEN 'click' THEN 4 WHEN 'view' THEN 5 END IS TRUE AS over_cap, coalesce(at_ < refused + 180, false) AS in_cooldown FROM w""")
+w AS (SELECT *, count(*) OVER (PARTITION BY provider ORDER BY at_ RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS recent, max(CASE WHEN status = 429 THEN at_ END) OVER (PARTITION BY provider ORDER BY at_ RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS refused, row_number() OVER (PARTITION BY provider ORDER BY at_, call_id) AS place, CASE provider WHEN 'click' THEN 4 WHEN 'view' THEN 5 END AS cap FROM c)
+SELECT w.provider, w.call_id, w.recent, w.recent > w.cap IS TRUE AS over_cap, coalesce(w.at_ < w.refused + 180, false) AS in_cooldown, greatest(coalesce(e.at_ + 3600 - w.at_, 0), coalesce(w.refused + 180 - w.at_, 0), 0)::BIGINT AS wait FROM w LEFT JOIN w e ON e.provider = w.provider AND e.place = w.place - w.cap""")
 def _(t: Tables):
     calls = t.events.select(F.col("event_type").alias("provider"), F.col("event_id").alias("call_id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), F.when(F.col("event_id") % 7 == 0, 429).otherwise(200).alias("status"), F.lit(None).cast("int").alias("retry_after"))
     caps = t.spark.createDataFrame([("click", 4), ("view", 5)], "provider string, cap int")
-    return J.call_rates(calls, caps, window=3600).select("provider", "call_id", "recent", "over_cap", "in_cooldown")
+    return J.call_rates(calls, caps, window=3600).select("provider", "call_id", "recent", "over_cap", "in_cooldown", "wait")
 
 
 @R.query("st5_ingest", "SELECT left(sha256(text), 16) AS fingerprint, min(doc_id) AS doc_id FROM documents WHERE doc_id % 4 <> 0 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 4 = 0) GROUP BY text")

@@ -128,17 +128,20 @@ class KeyedTable:
 
         If another commit comes first, the change starts over from that one's version.
         """
-        keys = documents.distinct()
-        for _ in range(attempts):
-            base = self.manifest()
-            if base["schema"] is None and schema is None:
-                raise ValueError(f"nothing was committed under {self.root}")
-            base = base | {"schema": base["schema"] or schema.json()}
-            added, touched = self._write(base, keys, build)
-            left = [f for f in base["files"] if f[0] not in touched]
-            if self._commit(base | {"version": base["version"] + 1, "files": left + added}):
-                return base["version"] + 1
-        raise Conflict(f"{attempts} attempts at a commit under {self.root}")
+        keys = documents.distinct().persist()
+        try:
+            for _ in range(attempts):
+                base = self.manifest()
+                if base["schema"] is None and schema is None:
+                    raise ValueError(f"nothing was committed under {self.root}")
+                base = base | {"schema": base["schema"] or schema.json()}
+                added, touched = self._write(base, keys, build)
+                left = [f for f in base["files"] if f[0] not in touched]
+                if self._commit(base | {"version": base["version"] + 1, "files": left + added}):
+                    return base["version"] + 1
+            raise Conflict(f"{attempts} attempts at a commit under {self.root}")
+        finally:
+            keys.unpersist()
 
     def _commit(self, manifest: dict) -> bool:
         return self._files.create(f"log/{manifest['version']:020d}.json", json.dumps(manifest))

@@ -10,8 +10,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window as W
 
-from dossier.operators.feedback import adjustments
-
 
 def stream(spark: SparkSession, path: str, like: DataFrame, time: str | None = None, files: int = 1) -> DataFrame:
     """Parquet files of a folder as a stream of like's schema; a time column without zone becomes a timestamp."""
@@ -80,18 +78,6 @@ def upsert_stream(rows: DataFrame, path: str, keys: list[str], order: list[str],
     return once.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def consensus_stream(rows: DataFrame, targets: DataFrame, path: str, levels: str, checkpoint: str, *, share: float = 0.5, late: str = "1 day") -> StreamingQuery:
-    """Live consensus: each batch of feedback is merged under path, and the adjusted level of every target is written under levels.
-
-    levels holds a folder for each batch, number=n; the last one counts, and a batch that is run again overwrites its own.
-    """
-
-    def adjust(kept: DataFrame, number: int) -> None:
-        adjustments(kept, targets, share=share).write.mode("overwrite").parquet(f"{levels}/number={number}")
-
-    return upsert_stream(rows, path, ["doc", "clause_type", "user_id"], ["created_at", "id"], checkpoint, late=late, after=adjust)
-
-
 def ingest_stream(rows: DataFrame, registry: str, key: str, checkpoint: str, *, buckets: int = 64) -> StreamingQuery:
     """Add to the registry only rows whose key it does not hold yet, each key once; a batch reads the buckets of its own keys."""
 
@@ -107,10 +93,11 @@ def ingest_stream(rows: DataFrame, registry: str, key: str, checkpoint: str, *,
 
 
 def call_rates(calls: DataFrame, caps: DataFrame, *, window: int = 60, cooldown: int = 180, least: int = 10, spans: int = 64) -> DataFrame:
-    """calls (provider, call_id, at in seconds, status, retry_after) with calls in the trailing window, over_cap and in_cooldown.
+    """calls (provider, call_id, at in seconds, status, retry_after) with calls in the trailing window, over_cap, in_cooldown and wait.
 
     caps: provider, cap. A call is in a cooldown if the provider's last refusal (429) before it was under its
-    retry_after (`cooldown` if unknown, `least` at least) seconds ago; of refusals at one time the longest counts. A
+    retry_after (`cooldown` if unknown, `least` at least) seconds ago; of refusals at one time the longest counts. wait is the least
+    number of seconds after which the call would be within the cap and out of the cooldown: the call `cap` places before it, by at and call_id, must have left the window. A
     provider's calls are cut into spans of `spans` windows, each with the last window of the one before and the last
     refusal of all before, so a busy provider is the work of many tasks.
     """
@@ -122,5 +109,11 @@ def call_rates(calls: DataFrame, caps: DataFrame, *, window: int = 60, cooldown:
     seen = rows.unionByName(again).withColumns({"recent": F.count("*").over(in_span.rangeBetween(-window, 0)), "_r": F.max("_refused").over(in_span.rangeBetween(W.unboundedPreceding, -1))}).where("_own")
     last = rows.groupBy("provider", "_span").agg(F.max("_refused").alias("_last"))
     before = last.select("provider", "_span", F.max("_last").over(W.partitionBy("provider").orderBy("_span").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
-    got = seen.join(before, ["provider", "_span"]).withColumn("_r", F.coalesce("_r", "_before")).join(caps, "provider", "left")
-    return got.withColumns({"over_cap": F.coalesce(F.col("recent") > F.col("cap"), F.lit(False)), "in_cooldown": F.coalesce(F.col("at") < F.col("_r.at") + F.col("_r.wait"), F.lit(False))}).drop("_r", "_refused", "_before", "_span", "_own", "cap")
+    # A call's place in its provider's order: its place in the span, after all calls of the spans before.
+    sizes = rows.groupBy("provider", "_span").agg(F.count("*").alias("_n"))
+    starts = sizes.select("provider", "_span", F.coalesce(F.sum("_n").over(W.partitionBy("provider").orderBy("_span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    place = F.row_number().over(W.partitionBy("provider", "_span").orderBy("at", "call_id"))
+    got = seen.withColumn("_place", place).join(before, ["provider", "_span"]).join(starts, ["provider", "_span"]).withColumns({"_r": F.coalesce("_r", "_before"), "_place": F.col("_place") + F.col("_start")}).join(caps, "provider", "left")
+    earlier = got.select("provider", F.col("_place").alias("_freed"), F.col("at").alias("_left"))
+    got = got.withColumn("_freed", F.col("_place") - F.col("cap")).join(earlier, ["provider", "_freed"], "left")
+    return got.withColumns({"over_cap": F.coalesce(F.col("recent") > F.col("cap"), F.lit(False)), "in_cooldown": F.coalesce(F.col("at") < F.col("_r.at") + F.col("_r.wait"), F.lit(False)), "wait": F.greatest(F.coalesce(F.col("_left") + window - F.col("at"), F.lit(0)), F.coalesce(F.col("_r.at") + F.col("_r.wait") - F.col("at"), F.lit(0)), F.lit(0)).cast("long")}).drop("_r", "_place", "_start", "_freed", "_left", "_refused", "_before", "_span", "_own", "cap")
