@@ -112,10 +112,10 @@ def _(t: Tables):
     return _tree(t).groupBy("doc").agg(F.count("*").alias("n_nodes"))
 
 
-@R.query("x10_external_ranking", f"WITH {_HITS_SQL}, r AS (SELECT *, CASE WHEN chunk_id % 2 = 0 THEN chunk_id % 4 END AS place FROM hits) SELECT query_id, chunk_id, CASE WHEN place IS NOT NULL THEN round(greatest(1 - 0.1 * place, 0), 2) ELSE 0.3 END::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY place IS NULL, place, rank, chunk_id)::INT AS position FROM r QUALIFY position <= 4")
+@R.query("x10_external_ranking", f"WITH {_HITS_SQL}, r AS (SELECT *, CASE WHEN chunk_id % 2 = 0 THEN chunk_id % 4 END AS place FROM hits) SELECT query_id, chunk_id, CASE WHEN place IS NOT NULL THEN round(greatest(1 - 0.1 * place, 0), 2) ELSE 0.3 END::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY place IS NULL, place, rank, chunk_id)::INT AS position FROM r QUALIFY position <= 10")
 def _(t: Tables):
     hits = _hits(t).select("query_id", "chunk_id", "rank")
-    return X.externally_ranked(hits, hits.where("chunk_id % 2 = 0").select("query_id", "chunk_id", (F.col("chunk_id") % 4).alias("place")), k=2)
+    return X.externally_ranked(hits, hits.where("chunk_id % 2 = 0").select("query_id", "chunk_id", (F.col("chunk_id") % 4).alias("place")))
 
 
 _TOPICS = [("the", ["the ", "and ", "that"]), ("tion", ["thtion", "attion", "tion"]), ("none", ["zzqq"])]

@@ -18,9 +18,8 @@ def test_same_as_sql(spark, sf, con, name):
     assert_same(QUERIES[name](spark, sf), con, ORACLE[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
-def test_has_rows(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() > 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_flagship(spark, sf):
