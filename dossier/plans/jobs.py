@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from xml.sax.saxutils import escape
 
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from dossier.plans.scores import PLAIN_GAPS_SQL, SUMMARY_SQL
 from dossier.plans.reviews import _ADJ_SQL as ADJUSTED_SQL, _targets as targets
 from dossier.plans.risks import _SQL as ASSESSED_SQL
 from dossier.sources import tables as S
+from dossier.sources.files import document_files, document_stream, write_files
 from dossier.sources.keyed import KeyedTable, shared_folder
 from dossier.streaming import jobs as J
 
@@ -25,10 +29,30 @@ def _table(t: Tables, key: str) -> KeyedTable:
 
 
 
-@R.query("s1_scan", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'unsupported type: xls' END AS error, CASE WHEN doc_id % 5 <> 0 THEN length(text) END AS n FROM documents")
+def _docx(text: str) -> bytes:
+    """A docx file with a paragraph for each line of a text."""
+    paragraphs = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(x)}</w:t></w:r></w:p>' for x in text.split("\n"))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{paragraphs}</w:body></w:document>')
+    return out.getvalue()
+
+
+def _as_files(t: Tables):
+    """The documents as files of mixed types: xls, txt, md, docx, pdf, and pdf files that are none."""
+    kind, text = F.col("doc_id") % 6, F.col("text").cast("binary")
+    name = F.when(kind == 0, "XLS").when(kind == 1, "txt").when(kind == 2, "md").when(kind == 3, "docx").otherwise("pdf")
+    content = F.when(kind == 3, F.udf(_docx, "binary", useArrow=True)("text")).when(kind == 4, F.concat(F.lit("%PDF-1.7\n").cast("binary"), text)).otherwise(text)
+    return t.documents.select("doc_id", "text", F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), name).alias("path"), content.alias("content"))
+
+
+@R.query("s1_scan", """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'xls' WHEN 1 THEN 'txt' WHEN 2 THEN 'md' WHEN 3 THEN 'docx' ELSE 'pdf' END AS kind, CASE WHEN doc_id % 6 IN (1, 2, 3) THEN sha256(text) END AS digest,
+CASE doc_id % 6 WHEN 0 THEN 'unsupported type: xls' WHEN 5 THEN 'unreadable: ValueError' END AS error FROM documents""")
 def _(t: Tables):
-    files = t.documents.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 5 == 0, ".XLS").otherwise(".txt")).alias("path"), F.col("text").alias("content"))
-    return S.typed(files).select("doc_id", "error", F.length("content").alias("n"))
+    # Every document is written as a file of its kind and read back from the folder.
+    folder = f"{shared_folder(t.spark)}/files-{uuid.uuid4().hex}"
+    write_files(_as_files(t), folder)
+    return document_files(t.spark, folder, content="false").select(F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long").alias("doc_id"), "kind", F.sha2("text", 256).alias("digest"), "error")
 
 
 @R.query("s2_fingerprint", "SELECT doc_id, left(sha256(text), 16) AS fingerprint FROM documents")
@@ -230,10 +254,17 @@ def _(t: Tables):
     return J.call_rates(calls, caps, window=3600).select("provider", "call_id", "recent", "over_cap", "in_cooldown", "wait")
 
 
-@R.query("st5_ingest", "SELECT left(sha256(text), 16) AS fingerprint, min(doc_id) AS doc_id FROM documents WHERE doc_id % 4 <> 0 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 4 = 0) GROUP BY text")
+@R.query("st5_ingest", "SELECT left(sha256(text), 16) AS fingerprint, coalesce(min(CASE WHEN doc_id % 4 = 0 THEN doc_id END), min(doc_id)) AS doc_id FROM documents GROUP BY text")
 def _(t: Tables):
-    rows = t.documents.select("doc_id", S.fingerprint(F.col("text"), 1 << 30).alias("fingerprint"))
-    return S.pending(rows, rows.where("doc_id % 4 = 0"), ["fingerprint"]).groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
+    # Files arrive in two lots; the stream is started for each, goes on at its offset, and skips texts that the registry holds.
+    at = f"{shared_folder(t.spark)}/ingest-{uuid.uuid4().hex}"
+    files = t.documents.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"))
+    for lot in (files.where("doc_id % 4 = 0"), files.where("doc_id % 4 <> 0")):
+        write_files(lot, f"{at}/files")
+        new = document_stream(t.spark, f"{at}/files", f"{at}/log", content="false").where("error IS NULL")
+        rows = new.select(S.fingerprint(F.col("text"), 1 << 30).alias("fingerprint"), F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("doc_id"))
+        J.ingest_stream(rows, f"{at}/registry", "fingerprint", f"{at}/checkpoint", order=["doc_id"], buckets=8).awaitTermination()
+    return t.spark.read.parquet(f"{at}/registry").select("fingerprint", "doc_id")
 
 
 QUERIES, ORACLE = R.queries, R.oracle

@@ -78,11 +78,18 @@ def upsert_stream(rows: DataFrame, path: str, keys: list[str], order: list[str],
     return once.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ingest_stream(rows: DataFrame, registry: str, key: str, checkpoint: str, *, buckets: int = 64) -> StreamingQuery:
-    """Add to the registry only rows whose key it does not hold yet, each key once; a batch reads the buckets of its own keys."""
+def ingest_stream(rows: DataFrame, registry: str, key: str, checkpoint: str, *, order: list[str] | None = None, buckets: int = 64) -> StreamingQuery:
+    """Add to the registry only rows whose key it does not hold yet, each key once; a batch reads the buckets of its own keys.
+
+    Of several rows of a key in one batch the first by order is kept, any without order.
+    """
 
     def add(batch: DataFrame, number: int) -> None:
-        new = batch.dropDuplicates([key]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        if order is None:
+            new = batch.dropDuplicates([key])
+        else:
+            new = batch.groupBy(key).agg(F.min_by(F.struct(*batch.columns), F.struct(*order)).alias("r")).select("r.*")
+        new = new.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
         if number:
             touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # `buckets` at most
             known = _versions(batch.sparkSession, registry, batch.schema, number).where(F.col("bucket").isin(touched))

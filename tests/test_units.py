@@ -165,13 +165,6 @@ def test_expansion_of_first_place_only(spark):
     assert one(spark, graph.expanded(F.col("t"), [("LD", "damages")]), t="LD and LD, not LDX") == "LD (damages) and LD, not LDX"
 
 
-def test_folders_are_scanned(spark, tmp_path):
-    (tmp_path / "a.txt").write_text("hello")
-    (tmp_path / "b.xls").write_text("no")
-    got = {r["path"][-5:]: r["error"] for r in tables.scan(spark, str(tmp_path)).collect()}
-    assert got == {"a.txt": None, "b.xls": "unsupported type: xls"}
-
-
 FORMULAS = {
     "Base 50 Cr, every additional 10 crore gets 2": "STEP", "for turnover of the firm more than 50": "STEP", "above 1,000 Crs gets 5 marks": "STEP", "5 marks above 50 cr": "LLM", "more than 5, for turnover": "LLM",
     "20 professionals 5, 40 Professional 9": "BAND", "20 employees, 40 employees": "BAND", "20 employees, 40 professionals": "LLM", "up to 50 lakhs: 2 marks, more: 5 marks": "BAND", "up to 50 lakhs: 2 marks": "LLM",
