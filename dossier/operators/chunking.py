@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from dossier.functions.frames import small
+from dossier.functions.phrases import hits
 
 #: Line shapes that open a section, and shapes of a clause reference.
 HEADINGS = [r"^\d+\.\s+[A-Z]", r"^\d+\.\d+\s+[A-Z]", r"^\d+\.\d+\.\d+\s+[A-Z]", r"^(Clause|Section|Article|Part|Schedule)\s+\d+", r"^[A-Z][A-Z\s]{5,50}$", r"^(SCOPE|PAYMENT|LIABILITY|INSURANCE|TERMINATION|PENALTY|LIQUIDATED)"]
@@ -130,9 +130,12 @@ def repaired(pages: DataFrame, corrected: DataFrame, keys: list[str], subjects:
 
 
 def term_coverage(chunks: DataFrame, terms: DataFrame, pages: int = 5) -> DataFrame:
-    """For each term (term): chunks that hold it and the first pages. Terms are a small dimension."""
-    met = chunks.select("page_no", F.lower("text").alias("_t")).join(small(terms), F.contains("_t", F.lower("term")))
-    found = met.groupBy("term").agg(F.count("*").alias("n_chunks"), F.slice(F.array_sort(F.collect_set("page_no")), 1, pages).alias("pages"))
+    """For each term (term): chunks that hold it and the first pages, in one pass over a chunk (see phrases.hits)."""
+    met = hits(chunks.select("page_no", F.lower("text").alias("_t")), F.col("_t"), terms.select(F.col("term").alias("label"), F.lit(0).alias("place"), F.lower("term").alias("phrase")).distinct())
+    # Distinct pages first, so that no term's aggregate holds more than its pages, and of these only the first.
+    by_page = met.groupBy(F.col("label").alias("term"), "page_no").agg(F.count("*").alias("n"))
+    ranked = by_page.withColumn("_k", F.row_number().over(W.partitionBy("term").orderBy(F.asc_nulls_last("page_no"))))
+    found = ranked.groupBy("term").agg(F.sum("n").alias("n_chunks"), F.array_sort(F.collect_list(F.when(F.col("_k") <= pages, F.col("page_no")))).alias("pages"))
     return terms.join(found, "term", "left").select("term", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.coalesce("pages", F.array().cast("array<int>")).alias("pages"))
 
 

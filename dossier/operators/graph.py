@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from dossier.functions.frames import small
+from dossier.functions.phrases import hits
 
 
 def ontology(terms: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -37,9 +38,9 @@ def amounts(chunks: DataFrame, *, most: int = 5) -> DataFrame:
 
 
 def signals(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Edges from a risk (phrase, risk) to the documents that hold a phrase; phrases are few."""
-    met = chunks.select("doc", F.lower("text").alias("_t")).join(small(phrases), F.contains("_t", F.col("phrase")))
-    return met.select(F.col("risk").alias("source"), F.col("doc").cast("string").alias("target"), F.lit("DETECTED_IN").alias("label")).distinct()
+    """Edges from a risk (phrase, risk) to the documents that hold a phrase, found in one pass over a text (see phrases.hits)."""
+    met = hits(chunks.select("doc", F.lower("text").alias("_t")), F.col("_t"), phrases.select(F.col("risk").alias("label"), F.lit(0).alias("place"), "phrase"))
+    return met.select(F.col("label").alias("source"), F.col("doc").cast("string").alias("target"), F.lit("DETECTED_IN").alias("label")).distinct()
 
 
 def expanded(text: Column, terms: list[tuple[str, str]]) -> Column:
@@ -53,8 +54,8 @@ def expanded(text: Column, terms: list[tuple[str, str]]) -> Column:
 def first_offering(chunks: DataFrame, keywords: DataFrame, *, searched: int = 50) -> DataFrame:
     """doc, offering: that of the first keyword (place, keyword, offering) which stands in a document's first `searched` chunks."""
     rows = chunks.withColumn("_k", F.row_number().over(W.partitionBy("doc").orderBy("chunk"))).where(F.col("_k") <= searched)
-    met = rows.select("doc", F.lower("text").alias("_t")).join(small(keywords), F.contains("_t", F.col("keyword")))
-    return met.groupBy("doc").agg(F.min_by("offering", "place").alias("offering"))
+    met = hits(rows.select("doc", F.lower("text").alias("_t")), F.col("_t"), keywords.select(F.col("keyword").alias("label"), "place", F.col("keyword").alias("phrase")))
+    return met.select("doc", F.col("label").alias("keyword")).distinct().join(keywords, "keyword").groupBy("doc").agg(F.min_by("offering", "place").alias("offering"))
 
 
 def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:

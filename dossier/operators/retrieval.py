@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from dossier.functions.frames import small
+from dossier.functions.phrases import hits
 from dossier.functions.text import jaccard, tokens
 
 
@@ -112,15 +113,12 @@ def externally_ranked(candidates: DataFrame, ranking: DataFrame, *, k: int = 5)
 def keyword_pages(pages: DataFrame, keywords: DataFrame, *, most: int = 8, occurrences: bool = False) -> DataFrame:
     """doc, topic, page_no, hits, rank: pages (doc, page_no, text) by the keywords (topic, words array) that they hold.
 
-    Hits are keywords present, or all their occurrences; more first, then later pages. Keyword sets are a small
-    dimension.
+    Hits are keywords present, or all their occurrences; more first, then later pages. A page is read once, whatever
+    the number of keywords (see phrases.hits).
     """
-    met = pages.withColumn("_t", F.lower("text")).crossJoin(small(keywords))
-    if occurrences:
-        hits = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + ((F.length("_t") - F.length(F.replace(F.col("_t"), w, F.lit("")))) / F.length(w)).cast("long"))
-    else:
-        hits = F.size(F.filter("words", lambda w: F.contains(F.col("_t"), w)))
-    got = met.select("doc", "topic", "page_no", hits.alias("hits")).where("hits > 0")
+    phrases = keywords.select(F.col("topic").alias("label"), F.posexplode("words").alias("place", "phrase"))
+    met = hits(pages.select("doc", "page_no", F.lower("text").alias("_t")), F.col("_t"), phrases)
+    got = met.select("doc", F.col("label").alias("topic"), "page_no", F.col("times" if occurrences else "words").alias("hits")).where("hits > 0")
     return got.withColumn("rank", F.row_number().over(W.partitionBy("doc", "topic").orderBy(F.desc("hits"), F.desc("page_no")))).where(F.col("rank") <= most)
 
 

@@ -162,10 +162,11 @@ def _(t: Tables):
 
 @R.query("e13_binary_presence", f"WITH {_PAGES_SQL} SELECT DISTINCT doc, topic AS criterion FROM ptext, topics WHERE page_no <= 200 AND len(list_filter(words, lambda w: contains(lower(text), w))) > 0")
 def _(t: Tables):
-    from dossier.plans.evidence import _topics
+    from dossier.plans.evidence import _TOPICS
 
     pages = page_texts(t)
-    criteria = pages.select("doc").distinct().crossJoin(_topics(t).withColumnRenamed("topic", "criterion").withColumnRenamed("words", "terms"))
+    asked = F.explode(F.array(*[F.struct(F.lit(c).alias("criterion"), F.array(*map(F.lit, w)).alias("terms")) for c, w in _TOPICS]))
+    criteria = pages.select("doc").distinct().select("doc", asked.alias("c")).select("doc", "c.*")
     return E.present_in_pages(criteria, pages).select("doc", "criterion")
 
 
