@@ -137,11 +137,28 @@ def few_shot(examples: DataFrame, feedback: DataFrame, *, most: int = 4, least:
     return ranked.groupBy("clause_type").agg(F.array_join(F.transform(lines, lambda x: F.concat(x["at"].cast("string"), F.lit(". "), x["line"])), "\n").alias("block"), F.count("*").alias("used"))
 
 
-def digest(feedback: DataFrame, keys: list[str], *, least: int = 5) -> DataFrame:
-    """One text for each key with at least `least` rows: a line for each row in order of time."""
+def digest(feedback: DataFrame, keys: list[str], *, least: int = 5, budget: int = 2_000, span: str = "month") -> DataFrame:
+    """keys, n, part, n_parts, n_lines, digest: a line for each row in order of time and id, of keys with at least `least` rows.
+
+    A key's lines are cut into parts, a row each: a part takes the lines that begin within its `budget` characters, so it
+    holds at most that and one line, and no row is left out. Rows without a time come last. Places come from the sizes of
+    spans of time and the places within one, so a key's rows are the work of as many tasks as they fill spans.
+    """
     line = F.concat_ws(" | ", "agreement", F.concat_ws("->", "system_level", "suggested_level"), "comment")
-    rows = F.array_sort(F.collect_list(F.struct("created_at", "id", line.alias("line"))))
-    return feedback.groupBy(*keys).agg(F.count("*").alias("n"), F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("digest")).where(F.col("n") >= least)
+    rows = feedback.select(*keys, "created_at", "id", line.alias("line"), F.date_trunc(span, "created_at").alias("_span")).withColumn("_n", F.length("line") + 1)
+    order = [F.asc_nulls_last("created_at"), F.asc_nulls_last("id"), F.col("line")]
+    # No column of keys and spans travels twice: sizes are summed before they meet the lines again.
+    spans = rows.groupBy(*keys, "_span").agg(F.sum("_n").alias("_size"), F.count("*").alias("_rows"))
+    every, before = W.partitionBy(*keys), W.partitionBy(*keys).orderBy(F.asc_nulls_last("_span")).rowsBetween(W.unboundedPreceding, -1)
+    starts = spans.select(*keys, "_span", F.sum("_rows").over(every).alias("n"), F.sum("_size").over(every).alias("_all"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"), F.lit(True).alias("_of"))
+    inner = W.partitionBy(*keys, "_span").orderBy(*order)
+    placed = rows.withColumns({"_in": F.coalesce(F.sum("_n").over(inner.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "_k": F.row_number().over(inner)})
+    same = [placed[c].eqNullSafe(starts[c]) for c in [*keys, "_span"]]
+    met = placed.join(starts, same).where(F.col("n") >= least).select(*[placed[c] for c in keys], placed["_span"], "line", "_k", "n", F.floor((F.col("_start") + F.col("_in")) / budget).alias("_part"))
+    parts = met.groupBy(*keys, "n", "_part").agg(F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.struct(F.col("_span").isNull().alias("last"), "_span", "_k", "line"))).alias("_lines"))
+    # A line longer than a budget leaves numbers out; parts are numbered anew.
+    number = F.row_number().over(every.orderBy("_part")).cast("long")
+    return parts.select(*keys, "n", number.alias("part"), F.count("*").over(every).alias("n_parts"), "n_lines", F.array_join(F.transform("_lines", lambda r: r["line"]), "\n").alias("digest"))
 
 
 def merged(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

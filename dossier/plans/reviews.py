@@ -133,7 +133,10 @@ def _(t: Tables):
     return B.few_shot(examples, feedback(t))
 
 
-@R.query("b13_digest", f"""WITH {FEEDBACK_SQL} SELECT user_id, clause_type, count(*) AS n, string_agg(concat_ws(' | ', agreement, concat_ws('->', system_level, suggested_level), comment), chr(10) ORDER BY created_at, id) AS digest FROM feedback GROUP BY ALL HAVING count(*) >= 5""")
+@R.query("b13_digest", f"""WITH {FEEDBACK_SQL}, l AS (SELECT user_id, clause_type, created_at, id, concat_ws(' | ', agreement, concat_ws('->', system_level, suggested_level), comment) AS line, count(*) OVER (PARTITION BY user_id, clause_type) AS n FROM feedback),
+s AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY user_id, clause_type ORDER BY created_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 2000 AS p FROM l WHERE n >= 5),
+d AS (SELECT *, dense_rank() OVER (PARTITION BY user_id, clause_type ORDER BY p) AS part FROM s)
+SELECT user_id, clause_type, n, part, max(max(part)) OVER (PARTITION BY user_id, clause_type) AS n_parts, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY created_at, id) AS digest FROM d GROUP BY user_id, clause_type, n, part""")
 def _(t: Tables):
     return B.digest(feedback(t), ["user_id", "clause_type"])
 
