@@ -197,7 +197,7 @@ class DocumentFiles(DataSource):
     `supported` kinds get content, and text if they are plain or docx; all other files, those over `maxBytes`, and those
     that cannot be read as what their name says get an error instead of text. Names that begin with _ or . are
     hidden. The driver lists the folder, as Spark's own file sources do, and packs files into partitions of
-    `partitionBytes`. A stream needs `log`, a folder that it keeps its entries in. Without `content` bytes stay where they are read.
+    `partitionBytes`. Paths are those that pyarrow can open (local and mounted ones, hdfs, s3, gs), not all that Hadoop can. A stream needs `log`, a folder that it keeps its entries in. Without `content` bytes stay where they are read.
     """
 
     @classmethod
