@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -21,3 +23,8 @@ def first_of(rows: DataFrame, keys: list[str], order: list[Column], n: int, *, s
     slices = rows.withColumn("_s", F.pmod(F.xxhash64(salt), F.lit(salts)))
     cut = slices.withColumn("_k", F.row_number().over(W.partitionBy(*keys, "_s").orderBy(*order))).where(F.col("_k") <= n)
     return cut.withColumn(place, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(place) <= n).drop("_s", "_k")
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often use names it, as the only element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from dossier.functions.frames import bound
+
 Text = Column | str
 
 
@@ -82,58 +83,64 @@ class Rule(NamedTuple):
     in_order: bool = False
 
 
-def typed(text: Text, classes: dict[str, list[str]], *, back: int = 4) -> Column:
-    """Words and numbers of a lower-cased text: an array of (place from 1, kind, unit, value, lead).
+_WORD = r"([a-z]+|\d[\d,]*(?:\.\d+)?)"
 
-    The kind of a word is the class that lists it, else the word; of a number `#`, and its unit is the next word's kind. lead is the kinds
-    of the `back` words before, each after a space.
-    """
-    said = F.regexp_extract_all(F.lower(F.coalesce(_col(text), F.lit(""))), F.lit(r"([a-z]+|\d[\d,]*(?:\.\d+)?)"), F.lit(1))
-    class_of = F.create_map(*[F.lit(x) for name, words in classes.items() for w in words for x in (w, name)])
-    number = lambda w: F.replace(w, F.lit(","), F.lit("")).try_cast("double")
-    both = F.transform(said, lambda w: F.struct(F.coalesce(class_of[w], F.when(F.rlike(w, F.lit("^[0-9]")), "#"), w).alias("kind"), number(w).alias("value")))
 
-    def one(ws: Column) -> Column:
-        kinds = lambda start, n: F.transform(F.slice(ws, start, n), lambda x: F.concat(F.lit(" "), x["kind"]))
-        return F.transform(ws, lambda w, i: F.struct((i + 1).alias("place"), w["kind"].alias("kind"), F.get(ws, i + 1)["kind"].alias("unit"), w["value"].alias("value"), F.array_join(kinds(F.greatest(i - back + 1, F.lit(1)), F.least(i, F.lit(back))), "").alias("lead")))
+def _said(text: Text) -> Column:
+    """Words and numbers of a lower-cased text, a space before, between and behind them."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(_col(text), F.lit(""))), F.lit(_WORD), F.lit(1))
+    return F.concat(F.lit(" "), F.array_join(found, " "), F.lit(" "))
 
-    return F.flatten(F.transform(F.array(both), one))
 
+def _named(classes: dict[str, list[str]]) -> str:
+    """A look ahead that refuses numbers which a class lists as words."""
+    digits = [w for words in classes.values() for w in words if w[0].isdigit()]
+    return f"(?!(?:{'|'.join(digits)}) )" if digits else ""
 
-def fitting(tokens: Column, cue: Cue, after: Column | None = None) -> Column:
-    """The typed tokens that a cue finds, behind a place if one is given."""
 
-    def fits(w: Column) -> Column:
-        out = w["kind"].isin(*cue.kind)
-        if cue.lead:
-            out = out & reduce(Column.__or__, [F.endswith(w["lead"], F.lit(f" {x}")) for x in cue.lead])
-        if cue.unit:
-            out = out & F.coalesce(w["unit"].isin(*cue.unit), F.lit(False))
-        return out if after is None else out & F.coalesce(w["place"] > after, F.lit(False))
+def _either(kinds: tuple[str, ...], classes: dict[str, list[str]], number: str = "#") -> str:
+    """A pattern of the words of any of these kinds: what the class lists, and the kind as a word unless another class lists it."""
+    listed = {w for words in classes.values() for w in words}
+    words = [w for k in kinds for w in ([number] if k == "#" else [*classes.get(k, []), *([] if k in listed else [k])])]
+    return f"(?:{'|'.join(dict.fromkeys(words))})" if words else "(?!)"
 
-    return F.filter(tokens, fits)
 
+def _fit(cue: Cue, classes: dict[str, list[str]], number: str = "#") -> str:
+    """A pattern of a word that a cue finds; behind and before it only looks."""
+    leads = ["".join(f" {_either((k,), classes)}" for k in x.split()) + " " for x in cue.lead]
+    behind = f"(?:{'|'.join(f'(?<={x})' for x in leads)})" if leads else "(?<= )"
+    return f"{behind}{_either(cue.kind, classes, number)}(?= {_either(cue.unit, classes) + ' ' if cue.unit else ''})"
 
-def holds(tokens: Column, rule: Rule) -> Column:
-    """Whether typed tokens hold all cues of a rule."""
-    if not rule.in_order:
-        return reduce(Column.__and__, [F.size(fitting(tokens, c)) >= c.times for c in rule.cues])
-    at = F.lit(0)
-    for cue in rule.cues:
-        at = F.array_min(F.transform(fitting(tokens, cue, at), lambda w: w["place"]))
-    return at.isNotNull()
+
+def pattern_of(rule: Rule, classes: dict[str, list[str]]) -> str:
+    """One pattern for all cues of a rule. Each looks for its first word and never goes back, so time grows with the text."""
+    if rule.in_order:
+        return "^" + "".join(f"(?>.*?{_fit(c, classes)})" for c in rule.cues)
+    return "^" + "".join("(?=" + f"(?>.*?{_fit(c, classes)})" * c.times + ")" for c in rule.cues)
 
 
 def first_rule(text: Text, classes: dict[str, list[str]], rules: list[Rule]) -> Column:
-    """The label of the first rule that a text meets, else null. The text is cut into words once."""
+    """The label of the first rule that a text meets, else null.
 
-    def chosen(tokens: Column) -> Column:
+    The kind of a word is the class that lists it, else the word; of a number `#`. The text is cut into words once, and a rule is
+    one pattern over them.
+    """
+    kinds = F.regexp_replace(_said(text), rf" {_named(classes)}\d[\d,.]*(?= )", " #")
+
+    def chosen(said: Column) -> Column:
         out = F.lit(None).cast("string")
         for rule in reversed(rules):
-            out = F.when(holds(tokens, rule), rule.label).otherwise(out)
+            out = F.when(F.rlike(said, F.lit(pattern_of(rule, classes))), rule.label).otherwise(out)
         return out
 
-    return F.get(F.transform(F.array(typed(text, classes)), chosen), F.lit(0))
+    return bound(kinds, chosen)
+
+
+def value_behind(text: Text, classes: dict[str, list[str]], name: Cue, number: Cue) -> Column:
+    """The first number that one cue finds behind the first word that another finds; their leads are not looked at."""
+    digits = rf"(?:{_named(classes)}\d[\d,]*(?:\.\d+)?)"
+    pattern = f"^(?>.*?{_fit(name._replace(lead=()), classes, digits)})(?>.*?(?<= )({digits})(?= {_either(number.unit, classes, digits)} ))"
+    return F.replace(F.regexp_extract(_said(text), pattern, 1), F.lit(","), F.lit("")).try_cast("double")
 
 
 def mentions(text: Column, window: int = 5) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from dossier.functions.frames import bound
 from dossier.functions.text import Cue, Rule, first_rule, normalised
 
 #: Rows that are no criteria, sub-items and tasks.
@@ -65,8 +66,8 @@ def deduplicated(criteria: DataFrame, order: str) -> DataFrame:
 
 def formula_type(parameter: Column, text: Column, rules: list[Rule] = FORMULAS) -> Column:
     """STEP, BAND, PER_UNIT, QUAL, BINARY or LLM: the first rule that the text meets; a parameter about a person is QUAL before BINARY."""
-    said = first_rule(text, CLASSES, rules)
-    return F.when(F.coalesce(said == "BINARY", F.lit(True)) & first_rule(parameter, CLASSES, PERSONAL).isNotNull(), "QUAL").otherwise(F.coalesce(said, F.lit("LLM")))
+    personal = first_rule(parameter, CLASSES, PERSONAL).isNotNull()
+    return bound(first_rule(text, CLASSES, rules), lambda said: F.when(F.coalesce(said == "BINARY", F.lit(True)) & personal, "QUAL").otherwise(F.coalesce(said, F.lit("LLM"))))
 
 
 def code_number(code: Column) -> Column:
