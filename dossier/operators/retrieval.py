@@ -2,35 +2,124 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from dossier.functions.frames import small
 from dossier.functions.phrases import hits
 from dossier.functions.text import jaccard, tokens
 
+#: Chunks of one slice and queries of one slice: what a task holds. A cell of more than LEAST chunks is cut so that more tasks share it.
+CANDIDATES, QUERIES, LEAST = 8192, 2048, 1024
+#: Cells into which documents are dealt, and chunks that are scored together.
+CELLS, CHUNK = 256, 1024
+
+
+def _units(vectors: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length of vectors their rows and the vectors as doubles of length 1; null and zero vectors and those with null components go."""
+    lists = pa.chunked_array(vectors.chunks, vectors.type).combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    none, values = flat.is_null().to_numpy(zero_copy_only=False), pc.cast(flat, pa.float64()).to_numpy(zero_copy_only=False)
+    starts, out = np.cumsum(sizes) - sizes, {}
+    for size in np.unique(sizes[sizes > 0]):
+        rows = np.flatnonzero(sizes == size)
+        at = starts[rows][:, None] + np.arange(size)
+        rows, x = rows[~none[at].any(axis=1)], values[at[~none[at].any(axis=1)]]
+        with np.errstate(all="ignore"):
+            norm = np.sqrt(np.cumsum(x * x, axis=1)[:, -1])
+            held = ~(norm <= 0)
+            out[int(size)] = rows[held], x[held] / norm[held, None]
+    return out
+
+
+def _places(scores: np.ndarray) -> np.ndarray:
+    """Scores times 10,000, rounded half up by their decimal digits as round() does; infinity for NaN, which Spark holds to be the largest."""
+    x = np.abs(scores) * 1e4 + 0.5
+    out, near = np.floor(x), np.abs(x - np.rint(x)) < 1e-6
+    if near.any():
+        values, at = np.unique(np.abs(scores[near]), return_inverse=True)
+        out[near] = np.array([float(Decimal(repr(float(v))).scaleb(4).quantize(Decimal(1), ROUND_HALF_UP)) for v in values])[at]
+    return np.where(np.isnan(scores), np.inf, np.where(scores < 0, -out, out))
 
-def _unit(v: str) -> Column:
-    """A vector as doubles of length 1; null for a zero vector."""
-    d = F.transform(v, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(d, lambda x: x / norm))
+
+def _nearest(q: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of q, row of c and cosine of the k nearest of c to each of q (unit vectors): by the cosine rounded to 4 places, then in c's order.
+
+    A product of matrices tells which pairs of a chunk may be among the k best; only their cosines are summed component by component.
+    """
+    i, j, s, r = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+    floor, step = np.full(len(q), -np.inf), max(1, (1 << 22) // q.shape[1])
+    for a in range(0, len(c), CHUNK):
+        about = q @ c[a : a + CHUNK].T * 1e4
+        # Earlier chunks win ties: who comes now must be rounded above the k-th so far.
+        alive = ~(about < floor[:, None] + 0.5 - 1e-4) & (floor < np.inf)[:, None]
+        rows = np.flatnonzero(alive.sum(axis=1) > k)
+        if len(rows):
+            alive[rows] &= ~(about[rows] < np.partition(about[rows], -k, axis=1)[:, -k, None] - 1 - 1e-4)
+        x, y = np.nonzero(alive)
+        exact = [np.cumsum(q[x[b : b + step]] * c[y[b : b + step] + a], axis=1)[:, -1] for b in range(0, len(x), step)]
+        if not exact:
+            continue
+        s = np.concatenate([s, *exact])
+        i, j, r = np.concatenate([i, x]), np.concatenate([j, y + a]), np.concatenate([r, _places(np.concatenate(exact))])
+        order = np.lexsort((j, -r, i))
+        rank = np.arange(len(i)) - np.searchsorted(i[order], i[order])
+        order, rank = order[rank < k], rank[rank < k]
+        i, j, s, r = i[order], j[order], s[order], r[order]
+        floor[i[rank == k - 1]] = r[rank == k - 1]
+    return i, j, s
+
+
+def _meet(k: int):
+    """The k nearest chunks of a slice for each query of a slice, document by document."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.take(pc.array_sort_indices(pa.chunked_array(right["chunk_id"].chunks, right["chunk_id"].type).combine_chunks(), null_placement="at_start"))
+        docs = pa.chunked_array(left["doc"].chunks + right["doc"].chunks, left["doc"].type).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        ours, theirs, found = _units(left["vector"]), _units(right["vector"]), []
+        for size in ours.keys() & theirs.keys():
+            (qs, q), (cs, c) = ours[size], theirs[size]
+            for doc in np.intersect1d(docs[qs], docs[len(left) + cs]):
+                m, n = np.flatnonzero(docs[qs] == doc), np.flatnonzero(docs[len(left) + cs] == doc)
+                i, j, score = _nearest(q[m], c[n], k)
+                found.append((qs[m[i]], cs[n[j]], score))
+        i, j, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"query_id": left["query_id"].take(i), "doc": left["doc"].take(i), "chunk_id": right["chunk_id"].take(j), "score": pa.array(score, pa.float64(), from_pandas=False)})
+
+    return run
 
 
 def cosine_top_k(queries: DataFrame, chunks: DataFrame, *, k: int = 5, salts: int = 8) -> DataFrame:
     """query_id, doc, chunk_id, score, rank: the k nearest chunks (doc, chunk_id, vector) of each query (query_id, doc, vector).
 
-    A query only meets its own document's chunks. A large document is cut into `salts` slices, each ranked by
-    itself before the final ranking. Scores are rounded to 4 places, ties go to the smaller chunk_id.
+    A query only meets its own document's chunks. Documents are dealt into cells by a hash; a large cell is cut into slices
+    (up to `salts`, and more where one would hold over CANDIDATES chunks or QUERIES queries). A slice of queries meets a slice of
+    chunks in one task, which keeps k for each query, so pairs never become rows. Scores are rounded to 4 places, ties go
+    to the smaller chunk_id.
     """
-    q = queries.select("query_id", "doc", _unit("vector").alias("q")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    c = chunks.select("doc", "chunk_id", _unit("vector").alias("c"), F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int").alias("_salt"))
-    dot = F.aggregate(F.zip_with("q", "c", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    met = q.join(c, ["doc", "_salt"]).select("query_id", "doc", "chunk_id", "_salt", F.round(dot, 4).alias("score")).where("score is not null")
-    best = [F.desc("score"), F.col("chunk_id")]
-    first = met.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "_salt").orderBy(*best))).where(F.col("rank") <= k)
-    return first.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*best))).where(F.col("rank") <= k).drop("_salt")
+    cell = F.pmod(F.xxhash64("doc"), F.lit(CELLS)).cast("int").alias("_cell")
+    asked = queries.where("doc is not null").select("query_id", F.col("doc").alias("doc"), F.col("vector").alias("vector"), cell)
+    given = chunks.where("doc is not null").select(F.col("doc").alias("doc"), "chunk_id", F.col("vector").alias("vector"), cell)
+    count = lambda rows, name: rows.groupBy("_cell").agg(F.count("*").alias(name))
+    parts = lambda n, size: F.ceil(F.col(n) / size)
+    slices = F.greatest(parts("_c", CANDIDATES), F.least(F.lit(salts), parts("_c", LEAST)))
+    sizes = F.broadcast(count(asked, "_q").join(count(given, "_c"), "_cell").select("_cell", parts("_q", QUERIES).alias("_qn"), slices.alias("_cn")))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = asked.join(sizes, "_cell").select("query_id", "doc", "vector", "_cell", own("query_id", "_qn").alias("_qs"), every("_cn").alias("_cs"))
+    right = given.join(sizes, "_cell").select("doc", "chunk_id", "vector", "_cell", every("_qn").alias("_qs"), own("chunk_id", "_cn").alias("_cs"))
+    schema = T.StructType([T.StructField(n, rows.schema[n].dataType) for n, rows in (("query_id", queries), ("doc", queries), ("chunk_id", chunks))] + [T.StructField("score", T.DoubleType())])
+    keys = ["_cell", "_qs", "_cs"]
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_meet(k), schema).withColumn("score", F.round("score", 4))
+    return met.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.col("chunk_id")))).where(F.col("rank") <= k)
 
 
 def multi_query(hits: DataFrame, group: str, key: str, *, per_query: int = 3, least: float = 0.25, most: int = 6) -> DataFrame:
